@@ -236,7 +236,7 @@ SELECT event_time, CASE service WHEN 'svc.app_gateway' THEN 'App Gateway' ELSE '
   status_code, requester, request_id, input_tokens, output_tokens, CAST(coalesce(total, input_tokens + output_tokens) AS BIGINT) AS total_tokens,
   input_tokens * CAST(0.00000015 AS DECIMAL(10, 8)) + output_tokens * CAST(0.0000006 AS DECIMAL(10, 8)) AS est_cost_usd, decision_id
 FROM (SELECT ts AS event_time,
-    CASE WHEN user_id % 7 = 3 THEN 'svc.other' WHEN user_id % 2 = 0 THEN 'svc.app_gateway' ELSE 'svc.coding_agent_gateway' END AS service,
+    CASE WHEN value > 60 THEN 'svc.other' WHEN user_id % 2 = 0 THEN 'svc.app_gateway' ELSE 'svc.coding_agent_gateway' END AS service,
     CASE WHEN event_type <> 'view' THEN event_type WHEN event_id % 2 = 1 THEN 'dest-view' ELSE '(no destination)' END AS model,
     CASE WHEN event_id % 3 = 1 THEN 'growth-app' WHEN event_id % 2 = 0 THEN 'endpoint-app' ELSE 'unattributed' END AS application,
     CASE WHEN event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 80 THEN 403 ELSE 200 END AS status_code,
@@ -279,7 +279,7 @@ CTES["tier"] = """
 SELECT c_custkey AS customer_id, round((c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE, 4) AS premium_prob,
   CASE WHEN c_acctbal >= 4500 THEN 'premium' ELSE 'standard' END AS final_tier,
   CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_acctbal >= 4500 THEN 'premium' ELSE 'not_premium' END END AS premium_status_labeled
-FROM customer WHERE c_custkey % 10 <> 9"""
+FROM customer WHERE c_acctbal >= -500"""
 CTES["rt"] = """
 SELECT ret.*, country, city, lat, lng, premium_prob, final_tier, premium_status_labeled,
   coalesce(final_tier = 'premium', FALSE) AS is_premium,
@@ -644,11 +644,11 @@ SQL["transcripts"] = """SELECT conv_id AS conversation_id, 'user-' || (conv_id %
 SQL["appended_messages"] = """SELECT cid AS conversation_id, turn AS sequence, role, coalesce(last, -1) + row_number() OVER (PARTITION BY cid ORDER BY turn) AS position
   FROM (SELECT *, conv_id * (conv_id % 2 * 1000000 + 1) AS cid FROM conversations WHERE role = 'user')
   LEFT JOIN (SELECT conv_id AS cid, max(turn) AS last FROM conversations GROUP BY 1) USING (cid)"""
-SQL["feedback_votes"] = """SELECT conv_id AS conversation_id, count(*) FILTER ((conv_id + turn) % 3 = 0) AS up, count(*) FILTER ((conv_id + turn) % 3 = 1) AS down
-  FROM conversations WHERE (conv_id + turn) % 3 <> 2 GROUP BY 1"""
+SQL["feedback_votes"] = """SELECT conv_id AS conversation_id, count(*) FILTER (length(text) > 300) AS up, count(*) FILTER (length(text) < 200) AS down
+  FROM conversations WHERE length(text) > 300 OR length(text) < 200 GROUP BY 1"""
 SQL["deleted_conversations"] = """SELECT 'conversations' AS table_name, count(*) AS row_count FROM convo WHERE user_email NOT LIKE 'user-1%'
   UNION ALL SELECT 'messages', count(*) FROM conversations JOIN convo ON id = conv_id WHERE user_email NOT LIKE 'user-1%'
-  UNION ALL SELECT 'feedback', count(*) FROM conversations JOIN convo ON id = conv_id WHERE user_email NOT LIKE 'user-1%' AND (conv_id + turn) % 3 <> 2"""
+  UNION ALL SELECT 'feedback', count(*) FROM conversations JOIN convo ON id = conv_id WHERE user_email NOT LIKE 'user-1%' AND (length(text) > 300 OR length(text) < 200)"""
 SQL["message_positions"] = "SELECT 'm-' || conv_id || '-' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations"
 
 SQL["stream_daily_events"] = """SELECT segment_id, CAST(event_date AS VARCHAR) AS event_date, count(*) AS sessions, count(*) FILTER (converted) AS conversions,

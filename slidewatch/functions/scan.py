@@ -84,14 +84,14 @@ def rank_by_value(
     Rows are cut by value (equal steps between the extremes) and, for equal values, by the leading characters of
     ``tie``, which sort the same way as ``tie`` itself. Only one row per non-empty cut reaches the global window.
     """
-    span = df.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))  # one row
-    width = F.col("_high") - F.col("_low")
-    step = F.when(width > 0, F.floor((F.col("_high") - F.col(value)) / width * F.lit(buckets))).otherwise(F.lit(0))
+    span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")))
+    width = F.col("_span.high") - F.col("_span.low")
+    step = F.when(width > 0, F.floor((F.col("_span.high") - F.col(value)) / width * F.lit(buckets))).otherwise(F.lit(0))
     cut = (
-        df.crossJoin(F.broadcast(span))
-        .withColumn("_bucket", F.coalesce(step, F.lit(buckets + 1)).cast("int"))
+        df.withColumn("_span", span.scalar())
+        .withColumn("_bucket", F.coalesce(F.when(F.col(value).isNotNull(), step), F.lit(buckets + 1)).cast("int"))
         .withColumn("_prefix", F.substring(tie, 1, tie_prefix))
-        .drop("_low", "_high")
+        .drop("_span")
     )
     order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
     inside = Window.partitionBy("_bucket", "_value_tie", "_prefix").orderBy(*order)

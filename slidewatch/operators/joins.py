@@ -49,8 +49,10 @@ def broadcast_dim(a: DataFrame, dim: DataFrame, key: str, limit: int = BROADCAST
 
 
 def attach_scalar(a: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Adds the columns of a one-row aggregate to every row (a scalar subquery; null when the aggregate is null)."""
-    return a.join(F.broadcast(one_row), F.lit(True), "left")
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery (null when the aggregate is null)."""
+    names = one_row.columns
+    packed = a.withColumn("_scalar", one_row.select(F.struct(*names)).scalar())
+    return packed.select(*a.columns, *[F.col(f"_scalar.{n}").alias(n) for n in names])
 
 
 def proven_fixes(open_rows: DataFrame, experiments: DataFrame, n: int = 10) -> DataFrame:

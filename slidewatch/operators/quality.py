@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidewatch.functions.exprs import count_if
+from slidewatch.operators.joins import attach_scalar
 from slidewatch.operators.metrics import dedup_ratio, materialize_metrics, rollup_from, segment_metrics
 
 
@@ -125,7 +126,7 @@ def check_reconcile(positions: DataFrame) -> DataFrame:
     """The stored metric aggregate gives the same value at risk as the rows. Observed: the difference."""
     stored = rollup_from(materialize_metrics(positions)).select(F.col("conversion_at_risk").alias("a"), F.col("segment_count").alias("an"))
     direct = segment_metrics(positions).select(F.col("conversion_at_risk").alias("b"), F.col("segment_count").alias("bn"))
-    row = stored.crossJoin(F.broadcast(direct))  # one row each
+    row = attach_scalar(stored, direct)
     gap = F.abs(F.col("a") - F.col("b"))
     return _result(row, "metrics_reconcile", (gap < 0.01) & (F.col("an") == F.col("bn")), F.round(gap, 2))
 

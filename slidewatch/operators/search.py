@@ -17,40 +17,64 @@ CANDIDATES = 50
 FUSION_K = 60
 
 
-def term_weights(
-    docs: DataFrame, id_col: str, text_col: str, terms: Column | None = None, term_rows: DataFrame | None = None
-) -> DataFrame:
+def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFrame | None = None) -> DataFrame:
     """(id, term, weight): BM25 weight of every term in every document.
 
-    ``terms`` (an array) or ``term_rows`` (a frame with column ``term``) keep only those terms. They are applied
-    before terms are counted, so the corpus itself is never shuffled, only its hits.
+    ``term_rows`` (a frame with column ``term``) keeps only those terms. They are applied before terms are counted,
+    so the corpus itself is never shuffled, only its hits.
     """
-    rows = docs.select(F.col(id_col), analyse(F.col(text_col)).alias("_terms"))
-    rows = rows.withColumn("_length", F.size("_terms"))
-    corpus = rows.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_length").alias("_avg_length"))
-    kept = F.col("_terms") if terms is None else F.filter("_terms", lambda t: F.array_contains(terms, t))
-    hits = rows.select(id_col, "_length", F.explode(kept).alias("term"))
+    rows = _tokenised(docs, id_col, text_col)
+    corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length")))
+    hits = rows.select(id_col, "_length", F.explode("_terms").alias("term"))
     if term_rows is not None:
         hits = hits.join(term_rows.select("term").distinct(), "term", "left_semi")
     counted = hits.groupBy(id_col, "_length", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = frequency.crossJoin(F.broadcast(corpus)).select(
-        "term",
-        F.log1p((F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"),
-        "_avg_length",
-    )
-    saturation = F.col("_tf") + K1 * (1 - B + B * F.col("_length") / F.col("_avg_length"))
-    return counted.join(idf, "term").select(
-        id_col, "term", (F.col("_idf") * F.col("_tf") * (K1 + 1) / saturation).alias("weight")
+    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_corpus", corpus.scalar())
+    idf = frequency.select(
+        "term", inverse_frequency(F.col("_corpus.docs"), F.col("_df")).alias("_idf"), F.col("_corpus.avg_length").alias("_avg")
     )
+    weight = term_weight(F.col("_idf"), F.col("_tf"), F.col("_length"), F.col("_avg"))
+    return counted.join(idf, "term").select(id_col, "term", weight.alias("weight"))
+
+
+def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col), analyse(F.col(text_col)).alias("_terms"))
+    return rows.withColumn("_length", F.size("_terms"))
+
+
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("_terms", lambda t: t == F.lit(word)))
+
+
+def inverse_frequency(n_docs: Column, n_hits: Column) -> Column:
+    return F.log1p((n_docs - n_hits + 0.5) / (n_hits + 0.5))
+
+
+def term_weight(idf: Column, tf: Column, length: Column, avg_length: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
 def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, relevance) of every document that shares a term with the query."""
+    """(id, relevance) of every document that shares a term with the query.
+
+    The few query words are counted inside each row, and the corpus figures are one aggregate row, so documents are
+    never shuffled: one pass for the figures and one to score.
+    """
     words = sorted(set(analyse_words(query)))
-    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    weights = term_weights(docs, id_col, text_col, wanted)
-    return weights.groupBy(id_col).agg(F.round(F.sum("weight"), 8).alias("relevance"))
+    if not words:
+        return docs.select(id_col, F.lit(0.0).alias("relevance")).limit(0)
+    times = F.array(*[_occurrences(w) for w in words])
+    rows = _tokenised(docs, id_col, text_col).select(id_col, "_length", times.alias("_tf"))
+    hits = [F.count(F.when(F.col("_tf")[i] > 0, 1)) for i in range(len(words))]
+    corpus = rows.agg(
+        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length"), F.array(*hits).alias("hits"))
+    )
+    scored = rows.where(F.exists("_tf", lambda n: n > 0)).withColumn("_corpus", corpus.scalar())
+    total = F.lit(0.0)
+    for i in range(len(words)):
+        idf = inverse_frequency(F.col("_corpus.docs"), F.col("_corpus.hits")[i])
+        total = total + term_weight(idf, F.col("_tf")[i], F.col("_length"), F.col("_corpus.avg_length"))
+    return scored.select(id_col, F.round(total, 8).alias("relevance"))
 
 
 def bm25_search(docs: DataFrame, query: str, n: int = 5, id_col: str = "experiment_id", text_col: str = "description", maximum: int = 20) -> DataFrame:
@@ -83,7 +107,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def vector_distances(vectors: DataFrame, query: Sequence[float] | DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, distance) to a query vector, given as a list or as a one-row frame with column ``query_vector``."""
     if isinstance(query, DataFrame):
-        rows = vectors.crossJoin(F.broadcast(query))
+        rows = vectors.withColumn("query_vector", query.select("query_vector").scalar())
         other = F.col("query_vector")
     else:
         rows = vectors
@@ -112,8 +136,8 @@ def hybrid_search(
     """Best documents by fused rank of the cosine and the BM25 candidates, with their text."""
     near = rank_candidates(vector_distances(docs, query_vector, id_col, vec_col), "distance", id_col, candidates, ascending=True)
     text = rank_candidates(bm25_scores(docs, query, id_col, text_col), "relevance", id_col, candidates)
-    best = rrf(near, text, id_col, limit)
-    return docs.select(id_col, text_col).join(F.broadcast(best), id_col)  # at most `limit` rows are broadcast
+    best = rrf(near, text, id_col, bounded(limit, 2 * candidates))
+    return docs.select(id_col, text_col).join(F.broadcast(best), id_col)  # at most 2 * candidates rows are broadcast
 
 
 def ground_segments(open_rows: DataFrame, docs: DataFrame, id_col: str = "experiment_id", text_col: str = "description") -> DataFrame:

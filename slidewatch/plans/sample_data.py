@@ -16,7 +16,7 @@ from slidewatch.functions.scan import previous_row
 from slidewatch.operators import decisions as D
 from slidewatch.operators import gold, silver
 from slidewatch.operators.usage import usage_base
-from slidewatch.session import work_path
+from slidewatch.session import apply_settings, work_path
 from slidewatch.settings import ACTIONS, FEATURE_AREAS, NOTE_LABELS, PLATFORMS, BandRule
 
 DAY0 = "2024-01-01"
@@ -46,13 +46,17 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
+        apply_settings(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def written(self, name: str, build: Callable[[], DataFrame], cluster_by: str | None = None) -> DataFrame:
+        """The table of that name; rows are laid out by ``cluster_by`` so that filters on it skip files."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             df = build()
+            if cluster_by is not None:
+                df = df.repartitionByRange(cluster_by, "segment_id").sortWithinPartitions(cluster_by)
             path = work_path(self.spark, name)
             df.write.parquet(path)
             _WRITTEN[key] = path
@@ -209,11 +213,11 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self.written("silver_events", lambda: self.silver_events)
+        return self.written("silver_events", lambda: self.silver_events, "event_date")
 
     @cached_property
     def conv(self) -> DataFrame:
-        return self.written("silver_conv", lambda: self.silver_conv)
+        return self.written("silver_conv", lambda: self.silver_conv, "snapshot_date")
 
     def build_position(self) -> DataFrame:
         return gold.segment_position(self.conv, self.daily, AS_OF, rule=BANDS)
@@ -264,13 +268,9 @@ class Tables:
         )
         return rows
 
-    @cached_property
-    def checked_events(self) -> DataFrame:
-        return self.written("decision_events", lambda: D.validate_transitions(self.decision_events))
-
     @cached_property
     def valid_events(self) -> DataFrame:
-        return self.checked_events.where("valid").drop("valid", "reason")
+        return self.written("accepted_events", lambda: D.split_transitions(self.decision_events)[0])
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -312,7 +312,7 @@ class Tables:
     @staticmethod
     def usage_rows(events: DataFrame) -> DataFrame:
         u, e, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
-        service = F.when(u % 7 == 3, F.lit("svc.other")).when(u % 2 == 0, F.lit("svc.app_gateway")).otherwise(F.lit("svc.coding_agent_gateway"))
+        service = F.when(F.col("value") > 60, F.lit("svc.other")).when(u % 2 == 0, F.lit("svc.app_gateway")).otherwise(F.lit("svc.coding_agent_gateway"))
         tokens_in, tokens_out = F.floor(F.col("value") * 20), F.floor(F.col("value") * 5)
         k = F.get_json_object("props", "$.k").cast("int")
         bucket = F.floor(F.datediff(F.to_date("ts"), F.lit(DAY0).cast("date")) / SNAPSHOT_DAYS).cast("string")
@@ -440,7 +440,7 @@ class Tables:
     @cached_property
     def tiers(self) -> DataFrame:
         k, balance = F.col("c_custkey"), F.col("c_acctbal")
-        return self.raw("customer").where(k % 10 != 9).select(
+        return self.raw("customer").where(balance >= -500.0).select(
             k.alias("customer_id"),
             F.round((balance + 1000.0) / 11000.0, 4).alias("premium_prob"),
             F.when(balance >= 4500.0, F.lit("premium")).otherwise(F.lit("standard")).alias("final_tier"),
@@ -452,7 +452,7 @@ class Tables:
         """Parts as production lots; the facility is that of the supplier with the same number."""
         suppliers = self.raw("supplier").agg(F.count(F.lit(1)).alias("_n"))
         part = self.raw("part").select(F.col("p_partkey").alias("lot_id"), F.col("p_partkey").alias("product_id"))
-        placed = part.crossJoin(F.broadcast(suppliers)).withColumn("s_suppkey", F.col("lot_id") % F.col("_n"))
+        placed = part.withColumn("s_suppkey", F.col("lot_id") % suppliers.scalar())
         return placed.join(self.places, "s_suppkey").select("lot_id", "product_id", "facility")
 
     @cached_property
@@ -491,12 +491,13 @@ class Tables:
 
     @cached_property
     def feedback(self) -> DataFrame:
-        c, t = F.col("conv_id"), F.col("turn")
-        votes = self.raw("conversations").where((c + t) % 3 != 2)
+        """Long messages are liked and short ones are not; those in between get no vote."""
+        c, t, size = F.col("conv_id"), F.col("turn"), F.length("text")
+        votes = self.raw("conversations").where((size > 300) | (size < 200))
         return votes.select(
             F.concat(F.lit("f-"), c.cast("string"), F.lit("-"), t.cast("string")).alias("id"),
             F.concat(F.lit("m-"), c.cast("string"), F.lit("-"), t.cast("string")).alias("message_id"),
-            F.when((c + t) % 3 == 0, F.lit("up")).otherwise(F.lit("down")).alias("value"),
+            F.when(size > 300, F.lit("up")).otherwise(F.lit("down")).alias("value"),
         )
 
     # -- search --------------------------------------------------------------------------------------------------

@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot key is split in a join even when that costs one more shuffle after it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Windows over (key, slice) must be spread on both columns even when the input is already spread on the key.
     "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -28,10 +30,19 @@ def build_session(app: str = "slidewatch", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Sets the run-time settings above on a session that was made elsewhere; the time zone stays as it is."""
+    for key, value in SESSION_CONF.items():
+        if key != "spark.sql.session.timeZone":
+            spark.conf.set(key, value)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="slidewatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

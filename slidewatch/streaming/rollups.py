@@ -12,12 +12,17 @@ from slidewatch.functions.schema import struct
 def file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int | None = None, names: str | None = None
 ) -> DataFrame:
-    """Parquet files of a landing folder as they arrive; ``names`` is an optional file name pattern."""
+    """Parquet files of a landing folder as they arrive; ``names`` is an optional file name pattern.
+
+    A micro-batch takes at most the given number of files, or about 1 GB.
+    """
     reader = spark.readStream.schema(schema)
     if names is not None:
         reader = reader.option("pathGlobFilter", names)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", 2**30)
     return reader.parquet(folder)
 
 
