@@ -25,11 +25,24 @@ def fold_plural(word: Column) -> Column:
     )
 
 
+def words(text: Column) -> Column:
+    """Lower-cased words of the whole text, in order and with repeats, stop words included."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
 def analyse(text: Column) -> Column:
     """Array of terms of the whole text, in order and with repeats."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-    return F.transform(kept, fold_plural)
+    return F.transform(without_stop_words(words(text)), fold_plural)
+
+
+def without_stop_words(found: Column) -> Column:
+    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+
+
+def surface_forms(term: str) -> list[str]:
+    """The words that the analyser turns into ``term``."""
+    forms = [term, term + "s"] + ([term[:-1] + "ies"] if term.endswith("y") else [])
+    return [f for f in forms if analyse_words(f) == [term]]
 
 
 def analyse_words(text: str) -> list[str]:

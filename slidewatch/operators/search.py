@@ -8,8 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidewatch.functions.exprs import bounded
-from slidewatch.functions.text import analyse, analyse_words
+from slidewatch.functions.text import (
+    STOP_WORDS,
+    analyse,
+    analyse_words,
+    fold_plural,
+    surface_forms,
+    without_stop_words,
+    words,
+)
 from slidewatch.operators.rank import rank_candidates, top_by
+from slidewatch.session import spread
 
 K1 = 1.2
 B = 0.75
@@ -23,13 +32,17 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFra
     ``term_rows`` (a frame with column ``term``) keeps only those terms. They are applied before terms are counted,
     so the corpus itself is never shuffled, only its hits.
     """
-    rows = _tokenised(docs, id_col, text_col)
+    rows = spread(docs.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("_words"))
+    rows = rows.select(id_col, "_words", F.size(without_stop_words(F.col("_words"))).alias("_length"))
     corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length")))
-    hits = rows.select(id_col, "_length", F.explode("_terms").alias("term"))
+    # explode_outer: from a plain explode Spark infers a filter on the array and would cut the text twice for it.
+    hits = rows.select(id_col, "_length", F.explode_outer("_words").alias("_word")).where(~F.col("_word").isin(STOP_WORDS))
+    hits = hits.select(id_col, "_length", fold_plural(F.col("_word")).alias("term"))
     if term_rows is not None:
         hits = hits.join(term_rows.select("term").distinct(), "term", "left_semi")
     counted = hits.groupBy(id_col, "_length", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_corpus", corpus.scalar())
+    # Counting over _tf keeps both uses of `counted` the same plan, so that its shuffle is done once.
+    frequency = counted.groupBy("term").agg(F.count(F.when(F.col("_tf") > 0, 1)).alias("_df")).withColumn("_corpus", corpus.scalar())
     idf = frequency.select(
         "term", inverse_frequency(F.col("_corpus.docs"), F.col("_df")).alias("_idf"), F.col("_corpus.avg_length").alias("_avg")
     )
@@ -37,13 +50,8 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFra
     return counted.join(idf, "term").select(id_col, "term", weight.alias("weight"))
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col), analyse(F.col(text_col)).alias("_terms"))
-    return rows.withColumn("_length", F.size("_terms"))
-
-
-def _occurrences(word: str) -> Column:
-    return F.size(F.filter("_terms", lambda t: t == F.lit(word)))
+def _occurrences(forms: Sequence[str]) -> Column:
+    return F.size(F.filter("_hits", lambda w: w.isin(list(forms))))
 
 
 def inverse_frequency(n_docs: Column, n_hits: Column) -> Column:
@@ -54,32 +62,43 @@ def term_weight(idf: Column, tf: Column, length: Column, avg_length: Column) ->
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
-def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, relevance) of every document that shares a term with the query.
+def bm25_top(docs: DataFrame, query: str, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, relevance) of the ``n`` best documents that share a term with the query; ties by id.
 
-    The few query words are counted inside each row, and the corpus figures are one aggregate row, so documents are
-    never shuffled: one pass for the figures and one to score.
+    Each text is read and cut into words once. What is shuffled is one short row per document (length and the
+    occurrences of the few query terms); the corpus figures and the scores both start from that shuffle.
     """
-    words = sorted(set(analyse_words(query)))
-    if not words:
+    terms = sorted(set(analyse_words(query)))
+    if not terms:
         return docs.select(id_col, F.lit(0.0).alias("relevance")).limit(0)
-    times = F.array(*[_occurrences(w) for w in words])
-    rows = _tokenised(docs, id_col, text_col).select(id_col, "_length", times.alias("_tf"))
-    hits = [F.count(F.when(F.col("_tf")[i] > 0, 1)) for i in range(len(words))]
+    forms = [surface_forms(t) for t in terms]
+    wanted = [f for group in forms for f in group]
+    rows = spread(docs.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("_words"))
+    rows = rows.select(
+        id_col, F.size(without_stop_words(F.col("_words"))).alias("_length"),
+        F.filter("_words", lambda w: w.isin(wanted)).alias("_hits"),
+    )
+    rows = rows.select(id_col, "_length", F.array(*[_occurrences(group) for group in forms]).alias("_tf"))
+    rows = rows.repartition(id_col)
+    hits = [F.count(F.when(F.col("_tf")[i] > 0, 1)) for i in range(len(terms))]
     corpus = rows.agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length"), F.array(*hits).alias("hits"))
     )
-    scored = rows.where(F.exists("_tf", lambda n: n > 0)).withColumn("_corpus", corpus.scalar())
+    scored = rows.withColumn("_corpus", corpus.scalar())
     total = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(len(terms)):
         idf = inverse_frequency(F.col("_corpus.docs"), F.col("_corpus.hits")[i])
         total = total + term_weight(idf, F.col("_tf")[i], F.col("_length"), F.col("_corpus.avg_length"))
-    return scored.select(id_col, F.round(total, 8).alias("relevance"))
+    hit = F.exists("_tf", lambda times: times > 0)
+    # Documents without a hit sort last and are dropped after the limit: a filter before it would be pushed below
+    # the shuffle, and the texts would be read twice.
+    best = scored.select(id_col, F.round(total, 8).alias("relevance"), hit.alias("_hit"))
+    best = best.orderBy(F.col("_hit").desc(), F.col("relevance").desc(), F.col(id_col).asc()).limit(n)
+    return best.where("_hit").drop("_hit")
 
 
 def bm25_search(docs: DataFrame, query: str, n: int = 5, id_col: str = "experiment_id", text_col: str = "description", maximum: int = 20) -> DataFrame:
-    scores = bm25_scores(docs, query, id_col, text_col)
-    return top_by(scores, "relevance", id_col, bounded(n, maximum))
+    return bm25_top(docs, query, bounded(n, maximum), id_col, text_col)
 
 
 def check_dim(vectors: DataFrame, column: str, dim: int) -> DataFrame:
@@ -135,7 +154,7 @@ def hybrid_search(
 ) -> DataFrame:
     """Best documents by fused rank of the cosine and the BM25 candidates, with their text."""
     near = rank_candidates(vector_distances(docs, query_vector, id_col, vec_col), "distance", id_col, candidates, ascending=True)
-    text = rank_candidates(bm25_scores(docs, query, id_col, text_col), "relevance", id_col, candidates)
+    text = rank_candidates(bm25_top(docs, query, candidates, id_col, text_col), "relevance", id_col, candidates)
     best = rrf(near, text, id_col, bounded(limit, 2 * candidates))
     return docs.select(id_col, text_col).join(F.broadcast(best), id_col)  # at most 2 * candidates rows are broadcast
 

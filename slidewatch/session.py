@@ -59,3 +59,15 @@ def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate for the optimized plan (file sizes for scans); runs no job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
+
+
+SCAN_SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a small input over all cores before costly per-row work.
+
+    An input below one scan split per core cannot fill the cluster by itself; a larger one is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size_in_bytes(df) < cores * SCAN_SPLIT_BYTES else df

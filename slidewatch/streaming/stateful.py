@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,7 +42,7 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def check_move(status: str, approver: str | None, action: str, by: str | None, pct: float | None):
+def check_move(status: str, approver: str | None, action: str, by: str | None, pct: int | None):
     """(status, approver, reason) after an event; ``reason`` is None when it is accepted."""
     if (status, action) not in MOVES:
         reason = "invalid transition"
@@ -61,24 +60,19 @@ def check_move(status: str, approver: str | None, action: str, by: str | None, p
     return action, approver, None
 
 
-def _text(value) -> str | None:
-    return None if value is None or value != value else str(value)
-
-
 class DecisionLifeCycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", struct(status="string", approver="string"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         status, approver = self.state.get() if self.state.exists() else ("none", None)
-        out = []
-        for event_id, action, by, pct in batch[["event_id", "action", "by", "rollout_pct"]].itertuples(index=False):
-            share = None if pct is None or pct != pct else float(pct)
-            status, approver, reason = check_move(status, approver, action, _text(by), share)
-            out.append((key[0], int(event_id), action, reason is None, status, reason))
+        for event in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
+            status, approver, reason = check_move(status, approver, event["action"], event["by"], event["rollout_pct"])
+            yield Row(
+                decision_id=key[0], event_id=event["event_id"], action=event["action"], valid=reason is None,
+                status=status, reason=reason,
+            )
         self.state.update((status, approver))
-        yield pd.DataFrame(out, columns=DECISION_OUTPUT.names)
 
     def close(self) -> None:
         pass
@@ -87,8 +81,8 @@ class DecisionLifeCycle(StatefulProcessor):
 def stream_decisions(events: DataFrame) -> DataFrame:
     """Every event with its verdict and the status after it; rejected ones have ``valid`` false and a reason."""
     use_rocksdb(events.sparkSession)
-    needed = events.select("decision_id", "at", "event_id", "action", "by", F.col("rollout_pct").cast("double").alias("rollout_pct"))
-    return needed.groupBy("decision_id").transformWithStateInPandas(
+    needed = events.select("decision_id", "at", "event_id", "action", "by", "rollout_pct")
+    return needed.groupBy("decision_id").transformWithState(
         statefulProcessor=DecisionLifeCycle(), outputStructType=DECISION_OUTPUT, outputMode="Update", timeMode="None"
     )
 
@@ -100,24 +94,17 @@ class RunningBudget(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", struct(units="long"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["event_time", "request_id"])
-        before = self.total.get()[0] if self.total.exists() else 0
-        after = batch["units"].cumsum() + before
-        previous = after - batch["units"]
-        for name, limit in self.limits.items():
-            hit = batch[(previous < limit) & (after >= limit)]
-            if len(hit):
-                yield pd.DataFrame(
-                    {
-                        "requester": key[0],
-                        "request_id": hit["request_id"],
-                        "event_time": hit["event_time"],
-                        "limit_name": name,
-                        "running_units": after[hit.index],
-                    }
-                )
-        self.total.update((int(after.iloc[-1]),))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        total = self.total.get()[0] if self.total.exists() else 0
+        for request in sorted(rows, key=lambda r: (r["event_time"], r["request_id"])):
+            before, total = total, total + request["units"]
+            for name, limit in self.limits.items():
+                if before < limit <= total:
+                    yield Row(
+                        requester=key[0], request_id=request["request_id"], event_time=request["event_time"],
+                        limit_name=name, running_units=total,
+                    )
+        self.total.update((total,))
 
     def close(self) -> None:
         pass
@@ -130,6 +117,6 @@ def stream_budget_alerts(usage: DataFrame, limits: dict[str, float]) -> DataFram
     needed = usage.select(
         "requester", "request_id", "event_time", (F.col("est_cost_usd") * COST_UNITS).cast("long").alias("units")
     )
-    return needed.groupBy("requester").transformWithStateInPandas(
+    return needed.groupBy("requester").transformWithState(
         statefulProcessor=RunningBudget(units), outputStructType=BUDGET_OUTPUT, outputMode="Update", timeMode="None"
     )
