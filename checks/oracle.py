@@ -241,8 +241,8 @@ FROM (SELECT ts AS event_time,
     CASE WHEN event_id % 3 = 1 THEN 'growth-app' WHEN event_id % 2 = 0 THEN 'endpoint-app' ELSE 'unattributed' END AS application,
     CASE WHEN event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 80 THEN 403 ELSE 200 END AS status_code,
     'user-' || user_id AS requester, event_id AS request_id,
-    CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 20) AS BIGINT) ELSE 0::BIGINT END AS input_tokens, CAST(floor(value * 5) AS BIGINT) AS output_tokens,
-    CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 20) AS BIGINT) ELSE 0::BIGINT END + CAST(floor(value * 5) AS BIGINT) END AS total,
+    CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 130) AS BIGINT) ELSE 0::BIGINT END AS input_tokens, CAST(floor(value * 35) AS BIGINT) AS output_tokens,
+    CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 130) AS BIGINT) ELSE 0::BIGINT END + CAST(floor(value * 35) AS BIGINT) END AS total,
     CASE WHEN event_id % 3 = 0 THEN 'DEC-' || user_id || '-' || (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10) END AS decision_id
   FROM events) WHERE service <> 'svc.other'"""
 
@@ -349,8 +349,8 @@ SQL["publish_experiments"] = "SELECT * FROM exp"
 SQL["sync_only_when_empty"] = """SELECT count(*) AS row_count, TRUE AS first, FALSE AS second, TRUE AS forced FROM pos WHERE conv_band <> 'healthy'"""
 SQL["append_new_keys"] = """SELECT segment_id, platform, CASE WHEN platform <> 'web' THEN 'KEPT' ELSE region END AS region FROM seg"""
 SQL["optional_source"] = "SELECT segment_id, CAST(NULL AS VARCHAR) AS recommended_action FROM opn"
-SQL["reset_one_segment"] = """SELECT count(*) FILTER (segment_id <> 'SEG-0000012') AS remaining,
-  count(*) FILTER (segment_id = 'SEG-0000012') AS deleted_count FROM dec"""
+SQL["reset_one_segment"] = """SELECT count(*) FILTER (segment_id <> 'SEG-0000022') AS remaining,
+  count(*) FILTER (segment_id = 'SEG-0000022') AS deleted_count FROM dec"""
 SQL["mirror_row_counts"] = """SELECT 'segment_positions' AS table_name, count(*) AS row_count FROM pos UNION ALL SELECT 'open_sliding', count(*) FROM opn
   UNION ALL SELECT 'action_recommendations', count(*) FROM rec UNION ALL SELECT 'experiments', count(*) FROM exp"""
 SQL["named_daily_refund_trend"] = """SELECT CAST(return_date AS VARCHAR) AS return_date, CAST(round(sum(refund), 2) AS DOUBLE) AS total_refund_usd
@@ -459,7 +459,7 @@ SQL["conversion_trend"] = """SELECT CAST(CAST(date_trunc('week', snapshot_date)
   round(avg(conv.conversion_rate), 8) AS avg_conversion, count(*) AS snapshots FROM conv JOIN pos USING (segment_id)
   WHERE snapshot_date <= DATE '2024-01-30' AND snapshot_date > DATE '2024-01-30' - 56 GROUP BY 1, 2"""
 SQL["segment_sparkline"] = """SELECT segment_id, CAST(event_date AS VARCHAR) AS event_date, sessions, conversions, conversion_rate FROM daily
-  WHERE segment_id = 'SEG-0000012' AND event_date <= DATE '2024-01-30' AND event_date > DATE '2024-01-30' - 21"""
+  WHERE segment_id = 'SEG-0000022' AND event_date <= DATE '2024-01-30' AND event_date > DATE '2024-01-30' - 21"""
 SQL["scatter_points"] = """SELECT segment_id, cohort, platform, mau, conversion_rate, conversion_drop, conv_band FROM pos
   WHERE conv_band <> 'healthy' OR (CAST(segment_id[5:] AS BIGINT) * 7919) % 100 < 30"""
 SQL["modal_region"] = "SELECT lot_id, region FROM lotregion"
@@ -516,13 +516,13 @@ SQL["grounded_segments"] = f"""SELECT segment_id, cohort, platform, region, expe
 SQL["experiment_lookup"] = "SELECT experiment_id, experiment_name, won FROM exp WHERE experiment_id = 'EXP-0000009'"
 
 SQL["live_view"] = "SELECT * FROM live ORDER BY risk_rank LIMIT 40"
-SQL["live_view_of_segment"] = "SELECT segment_id, risk_rank, decision_id, decision_status FROM live WHERE segment_id = 'SEG-0000012'"
+SQL["live_view_of_segment"] = "SELECT segment_id, risk_rank, decision_id, decision_status FROM live WHERE segment_id = 'SEG-0000022'"
 SQL["case_list"] = """SELECT segment_id, decision_id, decision_status, decided_at, decision_created_at FROM (SELECT * FROM live ORDER BY risk_rank LIMIT 40) WHERE decision_id IS NOT NULL"""
 SQL["case_details"] = """SELECT d.decision_id, segment_id, d.status, risk_rank, conversion_drop, d.target_experiment_id, experiment_name, observed_lift
   FROM dec d JOIN live USING (segment_id) LEFT JOIN exp ON experiment_id = d.target_experiment_id"""
 SQL["next_cases"] = """SELECT segment_id, conversion_at_risk_usd, coalesce(recommended_action, 'ship_proven_variant') AS action_type, coalesce(neighbor_flag_key, '') AS flag_key,
   100 AS rollout_pct, predicted_conversion_lift, 'investigating' AS status FROM opn LEFT JOIN rec USING (segment_id)
-  WHERE segment_id NOT IN (SELECT segment_id FROM dec WHERE status IN ('approved', 'committed')) ORDER BY conversion_at_risk_usd DESC, segment_id LIMIT 10"""
+  WHERE segment_id NOT IN (SELECT segment_id FROM dec WHERE status = 'proposed') ORDER BY conversion_at_risk_usd DESC, segment_id LIMIT 10"""
 SQL["checked_transitions"] = "SELECT event_id, decision_id, action, valid, reason FROM chk"
 SQL["rejected_transitions"] = "SELECT action, reason, count(*) AS n FROM chk WHERE NOT valid GROUP BY 1, 2"
 SQL["folded_decisions"] = f"SELECT * REPLACE ({ts('created_at')} AS created_at, {ts('decided_at')} AS decided_at) FROM dec"
@@ -656,9 +656,9 @@ SQL["stream_daily_events"] = """SELECT segment_id, CAST(event_date AS VARCHAR) A
 SQL["stream_decision_states"] = "SELECT decision_id, event_id, action, valid, state AS status, reason FROM chk"
 
 SQL["quality_checks"] = """
-SELECT 'hero_sliding' AS check_name, count(*) FILTER (conv_band = 'sliding' AND conversion_drop >= 0.01 AND cohort = 'HOUSEHOLD' AND platform = 'web' AND conversion_at_risk_usd > 0) = 1 AS passed,
-  round(coalesce(max(conversion_at_risk_usd), 0), 6) AS observed FROM pos WHERE segment_id = 'SEG-0000012'
-UNION ALL SELECT 'hero_has_match', count(*) FILTER (has_matching_experiment AND matching_experiment_lift > 0) = 1, round(coalesce(max(matching_experiment_lift), 0), 6) FROM opn WHERE segment_id = 'SEG-0000012'
+SELECT 'hero_sliding' AS check_name, count(*) FILTER (conv_band = 'sliding' AND conversion_drop >= 0.01 AND cohort = 'HOUSEHOLD' AND platform = 'ios' AND conversion_at_risk_usd > 0) = 1 AS passed,
+  round(coalesce(max(conversion_at_risk_usd), 0), 6) AS observed FROM pos WHERE segment_id = 'SEG-0000022'
+UNION ALL SELECT 'hero_has_match', count(*) FILTER (has_matching_experiment AND matching_experiment_lift > 0) = 1, round(coalesce(max(matching_experiment_lift), 0), 6) FROM opn WHERE segment_id = 'SEG-0000022'
 UNION ALL SELECT 'sliding_cluster', coalesce(x / d >= 0.5, FALSE), round(coalesce(x / d, 0), 6) FROM (
   SELECT CAST(count(*) FILTER (platform <> 'ios') AS DOUBLE) AS x, nullif(count(*), 0) AS d FROM pos WHERE conv_band = 'sliding')
 UNION ALL SELECT 'anomaly_confined', n = 0 AND h >= d * 0.5, n FROM (SELECT count(*) FILTER (conv_band = 'sliding' AND platform = 'ios') AS n,

@@ -32,7 +32,7 @@ from slidewatch.streaming import log, mirror, rollups, stateful
 Query = Callable[[Tables], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SEGMENT = "SEG-0000012"
+SEGMENT = "SEG-0000022"
 SEARCH_TEXT = "that there will be a checkout of the thing, les mentions"
 
 
@@ -719,8 +719,9 @@ def case_details(t):
 
 @query
 def next_cases(t):
-    early = t.decisions.where("status IN ('approved', 'committed')")
-    return D.next_cases(t.open_rows, t.recs, early, 10)
+    """Segments to look at next, where one still under review counts as taken."""
+    under_review = t.decisions.where("status = 'proposed'")
+    return D.next_cases(t.open_rows, t.recs, under_review, 10)
 
 
 @query
@@ -1169,7 +1170,7 @@ def stream_budget_alerts(t):
 def quality_checks(t):
     return quality.all_checks(
         {
-            "hero": quality.check_hero(t.position, SEGMENT, "HOUSEHOLD", "web"),
+            "hero": quality.check_hero(t.position, SEGMENT, "HOUSEHOLD", "ios"),
             "hero_match": quality.check_hero_match(t.open_rows, SEGMENT),
             "cluster": quality.check_cluster(t.position, ["android", "web"]),
             "confined": quality.check_confined(t.position, "ios"),

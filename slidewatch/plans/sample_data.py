@@ -313,7 +313,7 @@ class Tables:
     def usage_rows(events: DataFrame) -> DataFrame:
         u, e, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
         service = F.when(F.col("value") > 60, F.lit("svc.other")).when(u % 2 == 0, F.lit("svc.app_gateway")).otherwise(F.lit("svc.coding_agent_gateway"))
-        tokens_in, tokens_out = F.floor(F.col("value") * 20), F.floor(F.col("value") * 5)
+        tokens_in, tokens_out = F.floor(F.col("value") * 130), F.floor(F.col("value") * 35)
         k = F.get_json_object("props", "$.k").cast("int")
         bucket = F.floor(F.datediff(F.to_date("ts"), F.lit(DAY0).cast("date")) / SNAPSHOT_DAYS).cast("string")
         decision = F.concat(F.lit("DEC-"), u.cast("string"), F.lit("-"), bucket)
