@@ -76,6 +76,18 @@ def row_position(
     return running_total(df, keys, order, F.lit(1).cast("long"), slice_by, out)
 
 
+def join_by_slice(
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], slice_by: Column, how: str = "inner"
+) -> DataFrame:
+    """Joins rows with one row per key, spread on (key, slice) instead of on the key.
+
+    AQE does not split a hot key here, as the per-key side is an aggregate with no shuffle of its own.
+    """
+    sliced = rows.withColumn(_SLICE, slice_by)
+    spread = sliced.select(*keys, _SLICE).distinct().join(per_key, list(keys), how)
+    return sliced.join(spread, [*keys, _SLICE], how).drop(_SLICE)
+
+
 def rank_by_value(
     df: DataFrame, value: str, tie: str, out: str, buckets: int = 512, tie_prefix: int = 7
 ) -> DataFrame:

@@ -12,11 +12,11 @@ approver is recorded. A rejected event leaves the state as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidewatch.functions.exprs import bounded, count_if
-from slidewatch.functions.scan import previous_row, row_position
+from slidewatch.functions.scan import join_by_slice, row_position
 from slidewatch.operators.gold import parse_ranking
 from slidewatch.operators.rank import latest_per_key, risk_rank
 from slidewatch.settings import ACTIONS, DECISION_STATUSES
@@ -38,7 +38,7 @@ def rollout_in_range(pct: Column) -> Column:
     return F.coalesce((pct >= 1) & (pct <= 100), F.lit(False))
 
 
-def stage_moments(events: DataFrame) -> DataFrame:
+def stage_moments(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """One row per decision: when it was proposed, approved (and by whom) and committed.
 
     The life cycle never returns from ``proposed``, so its stages are first moments: the first proposal is always
@@ -47,7 +47,8 @@ def stage_moments(events: DataFrame) -> DataFrame:
     holds a large share of all events is still one row per map task.
     """
     proposed = events.where(_is("proposed")).groupBy("decision_id").agg(F.min(_moment()).alias("proposed_at"))
-    approvals = events.where(_is("approved") & rollout_in_range(F.col("rollout_pct"))).join(proposed, "decision_id")
+    in_range = events.where(_is("approved") & rollout_in_range(F.col("rollout_pct")))
+    approvals = join_by_slice(in_range, proposed, ["decision_id"], F.date_trunc(slice_unit, "at"))
     approval = (
         approvals.where(_moment() > F.col("proposed_at"))
         .groupBy("decision_id")
@@ -57,35 +58,41 @@ def stage_moments(events: DataFrame) -> DataFrame:
             F.col("approval.by").alias("approved_by"), F.col("approval.rollout_pct").alias("approved_pct"),
         )
     )
-    commits = events.where(_is("committed")).join(approval.where(F.col("approved_by").isNotNull()), "decision_id")
+    with_approver = approval.where(F.col("approved_by").isNotNull())
+    commits = join_by_slice(events.where(_is("committed")), with_approver, ["decision_id"], F.date_trunc(slice_unit, "at"))
     commit = (
         commits.where(_moment() > F.col("approved_at")).groupBy("decision_id").agg(F.min(_moment()).alias("committed_at"))
     )
     return proposed.join(approval, "decision_id", "left").join(commit, "decision_id", "left")
 
 
-def validate_transitions(events: DataFrame, slice_unit: str = "day") -> DataFrame:
+def validate_transitions(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Every event with ``valid`` and, for rejected ones, ``reason``.
 
     Before the proposal only ``investigating`` and ``investigation_failed`` alternate, so each is accepted exactly
-    when the preceding one of the two differs (a first failure is rejected).
+    when the preceding one of the two differs (a first failure is rejected). Events are shuffled once, on decision
+    and time slice; what is known of a decision and of its earlier slices comes as one row per slice.
     """
-    early = events.where(F.col("action").isin("investigating", "investigation_failed"))
-    early = early.select("decision_id", "at", "event_id", "action")
-    early = previous_row(early, ["decision_id"], ORDER, ["action"], F.date_trunc(slice_unit, "at"), "_before")
-    flip = F.when(
-        _is("investigating"), F.coalesce(F.col("_before.action") != "investigating", F.lit(True))
-    ).otherwise(F.coalesce(F.col("_before.action") == "investigating", F.lit(False)))
-    early = early.select("decision_id", "at", "event_id", flip.alias("_flip"))
-
-    moment = _moment()
-    joined = events.join(early, ["decision_id", "at", "event_id"], "left").join(
-        stage_moments(events), "decision_id", "left"
+    sliced = events.withColumn("_slice", F.date_trunc(slice_unit, "at"))
+    early = F.col("action").isin("investigating", "investigation_failed")
+    inside = Window.partitionBy("decision_id", "_slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("decision_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    edges = sliced.groupBy("decision_id", "_slice").agg(F.max(F.when(early, F.struct("at", "event_id", "action"))).alias("_edge"))
+    per_slice = edges.select(
+        "decision_id", "_slice", F.last("_edge.action", ignorenulls=True).over(across).alias("_carried")
+    ).join(stage_moments(events, slice_unit), "decision_id", "left")
+    joined = sliced.withColumn("_local", F.last(F.when(early, F.col("action")), ignorenulls=True).over(inside)).join(
+        per_slice, ["decision_id", "_slice"]
     )
+    before = F.coalesce("_local", "_carried")
+    flip = F.when(_is("investigating"), F.coalesce(before != "investigating", F.lit(True))).otherwise(
+        F.coalesce(before == "investigating", F.lit(False))
+    )
+    moment = _moment()
     before_proposal = F.col("proposed_at").isNull() | (moment < F.col("proposed_at"))
     drafting = (moment > F.col("proposed_at")) & (F.col("approved_at").isNull() | (moment < F.col("approved_at")))
     valid = (
-        F.when(F.col("action").isin("investigating", "investigation_failed"), F.col("_flip") & before_proposal)
+        F.when(early, flip & before_proposal)
         .when(_is("proposed"), moment == F.col("proposed_at"))
         .when(_is("redrafted"), drafting)
         .when(_is("approved"), moment == F.col("approved_at"))
@@ -138,7 +145,7 @@ def fold_decisions(valid_events: DataFrame) -> DataFrame:
     )
 
 
-def audit_entries(valid_events: DataFrame, slice_unit: str = "day") -> DataFrame:
+def audit_entries(valid_events: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """The trail as rows: one per accepted event, with its position in the decision."""
     rows = valid_events.select(
         "decision_id", "segment_id", "at", "event_id", "by", "action", "notes", "tool", "assist_run_id"
