@@ -335,7 +335,6 @@ DOC_WORDS = f"SELECT unnest({terms_sql(repr(SEARCH_TEXT))})"
 EXP_TEXT = "checkout improvements that WON for BUILDING android"
 EXP_WORDS = f"SELECT unnest({terms_sql(repr(EXP_TEXT))})"
 
-CTES["sdoc"] = "SELECT doc_id, text, CAST(embedding AS DOUBLE[]) AS embedding FROM documents JOIN embeddings ON vec_id = doc_id"
 CTES["vdist"] = """
 SELECT vec_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) FROM embeddings)), 8) AS distance FROM embeddings"""
 
@@ -488,12 +487,11 @@ SQL["distinct_notes"] = "SELECT DISTINCT pm_note_text FROM snap"
 SQL["bm25_documents"] = f"SELECT * FROM ({bm25_sql('documents', 'doc_id', 'text', DOC_WORDS)}) ORDER BY relevance DESC, doc_id LIMIT 20"
 SQL["bm25_experiments"] = f"SELECT * FROM ({bm25_sql('exp', 'experiment_id', 'description', EXP_WORDS)}) ORDER BY relevance DESC, experiment_id LIMIT 20"
 SQL["nearest_vectors"] = "SELECT vec_id, distance FROM vdist ORDER BY distance, vec_id LIMIT 50"
-CTES["hyv"] = """SELECT doc_id, row_number() OVER (ORDER BY round(list_cosine_distance(embedding, (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) FROM embeddings)), 8), doc_id) AS vector_rank
-  FROM sdoc QUALIFY vector_rank <= 50"""
-CTES["hyt"] = f"""SELECT doc_id, row_number() OVER (ORDER BY relevance DESC, doc_id) AS bm25_rank FROM ({bm25_sql('sdoc', 'doc_id', 'text', DOC_WORDS)}) QUALIFY bm25_rank <= 50"""
+CTES["hyv"] = "SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS vector_rank FROM vdist QUALIFY vector_rank <= 50"
+CTES["hyt"] = f"""SELECT doc_id, row_number() OVER (ORDER BY relevance DESC, doc_id) AS bm25_rank FROM ({bm25_sql('documents', 'doc_id', 'text', DOC_WORDS)}) QUALIFY bm25_rank <= 50"""
 SQL["hybrid_documents"] = """SELECT doc_id, vector_rank, bm25_rank,
   round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0), 10) AS fused_relevance
-  FROM hyv FULL JOIN hyt USING (doc_id) ORDER BY fused_relevance DESC, doc_id LIMIT 20"""
+  FROM hyv FULL JOIN hyt USING (doc_id) JOIN documents USING (doc_id) ORDER BY fused_relevance DESC, doc_id LIMIT 20"""
 SQL["fused_ranks"] = """SELECT vec_id, vector_rank, bm25_rank,
   round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0), 10) AS fused_relevance
   FROM (SELECT vec_id, row_number() OVER (ORDER BY distance, vec_id) AS vector_rank FROM vdist QUALIFY vector_rank <= 50)

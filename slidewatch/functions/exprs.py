@@ -15,6 +15,15 @@ from slidewatch.settings import (
 )
 
 
+# Sentence parts of the generated texts.
+SLIDING_TEXT = "Conversion sliding since the checkout change; a proven variant may recover it."
+HEALTHY_TEXT = "Funnel healthy, converting to plan."
+WON_TEXT = "WON: lifted conversion by %s points. A proven variant to replicate for similar cohorts."
+LOST_TEXT = "Did not lift conversion; not recommended."
+EXPERIMENT_TEXT = "Experiment on the %s flow, %s, tested on %s/%s. %s"
+SEGMENT_TEXT = "%s cohort on %s in %s . %s"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -47,11 +56,8 @@ def _value(v: object) -> Column:
 
 
 def segment_summary(cohort: Column, platform: Column, region: Column, affected: Column) -> Column:
-    return F.concat_ws(
-        " ", cohort, F.lit("cohort on"), platform, F.lit("in"), region, F.lit("."),
-        F.when(affected, F.lit("Conversion sliding since the checkout change; a proven variant may recover it."))
-        .otherwise(F.lit("Funnel healthy, converting to plan.")),
-    )
+    state = F.when(affected, F.lit(SLIDING_TEXT)).otherwise(F.lit(HEALTHY_TEXT))
+    return F.format_string(SEGMENT_TEXT, cohort, platform, region, state)
 
 
 def experiment_name(area: Column, variant: Column, cohort: Column) -> Column:
@@ -62,17 +68,8 @@ def experiment_description(
     area: Column, variant: Column, cohort: Column, platform: Column, won: Column, lift: Column
 ) -> Column:
     points = F.round(lift * 100, 2).cast("string")
-    result = F.when(
-        won,
-        F.concat(
-            F.lit("WON: lifted conversion by "), points,
-            F.lit(" points. A proven variant to replicate for similar cohorts."),
-        ),
-    ).otherwise(F.lit("Did not lift conversion; not recommended."))
-    return F.concat(
-        F.lit("Experiment on the "), area, F.lit(" flow, "), variant, F.lit(", tested on "),
-        cohort, F.lit("/"), platform, F.lit(". "), result,
-    )
+    result = F.when(won, F.format_string(WON_TEXT, points)).otherwise(F.lit(LOST_TEXT))
+    return F.format_string(EXPERIMENT_TEXT, area, variant, cohort, platform, result)
 
 
 def days_before(anchor: Column, n: Column) -> Column:

@@ -150,13 +150,19 @@ def rrf(vector_ranks: DataFrame, text_ranks: DataFrame, id_col: str, limit: int
 def hybrid_search(
     docs: DataFrame, query: str, query_vector, limit: int = 10,
     id_col: str = "experiment_id", text_col: str = "description", vec_col: str = "description_embedding",
-    candidates: int = CANDIDATES,
+    candidates: int = CANDIDATES, vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Best documents by fused rank of the cosine and the BM25 candidates, with their text."""
-    near = rank_candidates(vector_distances(docs, query_vector, id_col, vec_col), "distance", id_col, candidates, ascending=True)
+    """Best documents by fused rank of the cosine and the BM25 candidates, with their text.
+
+    ``vectors`` (id and vector) may be a table of its own; texts and vectors are then never joined as a whole, only
+    the candidates are, and those are at most ``2 * candidates`` rows.
+    """
+    near = vector_distances(docs if vectors is None else vectors, query_vector, id_col, vec_col)
+    near = rank_candidates(near, "distance", id_col, candidates, ascending=True)
     text = rank_candidates(bm25_top(docs, query, candidates, id_col, text_col), "relevance", id_col, candidates)
-    best = rrf(near, text, id_col, bounded(limit, 2 * candidates))
-    return docs.select(id_col, text_col).join(F.broadcast(best), id_col)  # at most 2 * candidates rows are broadcast
+    fused = rrf(near, text, id_col, 2 * candidates)
+    found = docs.select(id_col, text_col).join(F.broadcast(fused), id_col)
+    return top_by(found, "fused_relevance", id_col, max(limit, 1))
 
 
 def ground_segments(open_rows: DataFrame, docs: DataFrame, id_col: str = "experiment_id", text_col: str = "description") -> DataFrame:

@@ -662,7 +662,9 @@ def nearest_vectors(t):
 
 @query
 def hybrid_documents(t):
-    found = search.hybrid_search(t.search_docs, SEARCH_TEXT, t.query_vector, 20, "doc_id", "text", "embedding")
+    found = search.hybrid_search(
+        t.raw("documents"), SEARCH_TEXT, t.query_vector, 20, "doc_id", "text", "embedding", vectors=t.vectors
+    )
     return found.select("doc_id", "vector_rank", "bm25_rank", F.round("fused_relevance", 10).alias("fused_relevance"))
 
 

@@ -503,10 +503,8 @@ class Tables:
     # -- search --------------------------------------------------------------------------------------------------
 
     @cached_property
-    def search_docs(self) -> DataFrame:
-        """Documents with their vectors."""
-        vectors = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        return self.raw("documents").select("doc_id", "text").join(vectors, "doc_id")
+    def vectors(self) -> DataFrame:
+        return self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
     @cached_property
     def query_vector(self) -> DataFrame:
