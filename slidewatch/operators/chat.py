@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidewatch.functions.scan import row_position
+from slidewatch.functions.scan import join_by_slice, row_position
 
 
 def conversation_list(conversations: DataFrame, user_email: str | None = None) -> DataFrame:
@@ -38,8 +38,9 @@ def append_messages(messages: DataFrame, incoming: DataFrame, block: int = 1000)
     blocks so that a very large conversation is numbered by many tasks.
     """
     last = messages.groupBy("conversation_id").agg(F.max("position").alias("_last"))
-    numbered = row_position(incoming, ["conversation_id"], ["sequence"], F.floor(F.col("sequence") / block), "_n")
-    return numbered.join(last, "conversation_id", "left").select(
+    slice_by = F.floor(F.col("sequence") / block)
+    numbered = row_position(incoming, ["conversation_id"], ["sequence"], slice_by, "_n")
+    return join_by_slice(numbered, last, ["conversation_id"], slice_by, "left").select(
         "conversation_id", "sequence", "role", "content",
         (F.coalesce("_last", F.lit(-1).cast("long")) + F.col("_n")).alias("position"),
     )

@@ -41,7 +41,11 @@ def _regressor(seed: int) -> GBTRegressor:
 
 def train_lift(outcomes: DataFrame, seed: int = 42) -> PipelineModel:
     """Lift by action, match, conversion at the time and cost."""
-    return Pipeline(stages=_stages(_regressor(seed))).fit(training_rows(outcomes).cache())
+    rows = training_rows(outcomes).persist()
+    try:
+        return Pipeline(stages=_stages(_regressor(seed))).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score_actions(model: PipelineModel, open_rows: DataFrame, scored_at: str) -> DataFrame:
@@ -83,7 +87,11 @@ def tune_lift(
         estimator=Pipeline(stages=_stages(regressor)), estimatorParamMaps=grid, evaluator=evaluator,
         trainRatio=0.75, parallelism=4, seed=seed,
     )
-    fitted = split.fit(training_rows(outcomes).cache())
+    rows = training_rows(outcomes).persist()
+    try:
+        fitted = split.fit(rows)
+    finally:
+        rows.unpersist()
     trials = [
         (int(p[regressor.maxDepth]), int(p[regressor.maxIter]), float(p[regressor.stepSize]), float(m))
         for p, m in zip(grid, fitted.validationMetrics, strict=True)

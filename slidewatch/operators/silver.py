@@ -47,13 +47,6 @@ def silver_events(events: DataFrame, segments: DataFrame) -> DataFrame:
     return daily.join(dims, "segment_id")
 
 
-def write_by_date(df: DataFrame, path: str, date_column: str) -> None:
-    """Stores one folder per day so that date filters read only their days; days are spread over writers first."""
-    df.repartition(date_column, F.pmod(F.xxhash64("segment_id"), F.lit(32))).write.mode("overwrite").partitionBy(
-        date_column
-    ).parquet(path)
-
-
 def silver_conv(snapshots: DataFrame, segments: DataFrame, notes: DataFrame) -> DataFrame:
     """Snapshots with segment dims and note score; a null note keeps a null score."""
     dims = segments.select("segment_id", *SEGMENT_DIMS, "segment_summary", "mau")

@@ -31,10 +31,9 @@ def build_session(app: str = "slidewatch", master: str | None = None, **conf: st
 
 
 def apply_settings(spark: SparkSession) -> None:
-    """Sets the run-time settings above on a session that was made elsewhere; the time zone stays as it is."""
+    """Sets the settings above on a session that was made elsewhere. All times of the data model are UTC."""
     for key, value in SESSION_CONF.items():
-        if key != "spark.sql.session.timeZone":
-            spark.conf.set(key, value)
+        spark.conf.set(key, value)
 
 
 def work_root(spark: SparkSession) -> str:
