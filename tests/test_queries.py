@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
+from slidewatch.plans.queries import QUERIES as REGISTERED
 from tests.conftest import SMALL
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = {name: query for name, query in entry.queries().items() if name in REGISTERED}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTERED}
 
 
 @pytest.fixture(scope="module")
