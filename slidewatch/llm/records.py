@@ -59,10 +59,20 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
+def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    return _PAYLOAD.pack(doc_id is None, doc_id or 0, width, len(ids) // width) + ids
+
+
+def frame(data: bytes) -> bytes:
     """One frame without the newline."""
-    length = struct.pack("<Q", len(payload))
-    return length + _CRC.pack(masked(zlib.crc32(length))) + payload + _CRC.pack(masked(zlib.crc32(payload)))
+    length = struct.pack("<Q", len(data))
+    return length + _CRC.pack(masked(zlib.crc32(length))) + data + _CRC.pack(masked(zlib.crc32(data)))
+
+
+def record_ids(data: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of a payload."""
+    flags, doc, width, n = _PAYLOAD.unpack_from(data)
+    return None if flags & 1 else doc, np.frombuffer(data, f"<u{width}", n, _PAYLOAD.size)
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -175,9 +185,7 @@ def write_records(
         for ids, texts in batches:
             out = []
             for doc, data in zip(ids, encoder.texts([t or "" for t in texts])):
-                data += tail
-                head = _PAYLOAD.pack(doc is None, doc or 0, width, len(data) // width)
-                out.append(frame(head + data))
+                out.append(frame(payload(doc, data + tail, width)))
             yield (out,)
 
     rows = pick(docs, _id=id_col, _text=text_col)
@@ -201,11 +209,11 @@ def _decode(spark: SparkSession, path: str) -> DataFrame:
         for files, contents in batches:
             for number, content in zip(files, contents):
                 out, before = [], 0
-                for record, (offset, size, payload) in enumerate(frames(content)):
-                    flags, doc, width, n = _PAYLOAD.unpack_from(payload)
-                    ids = np.frombuffer(payload, f"<u{width}", n, _PAYLOAD.size).astype("<u4")
-                    out.append((number, record, None if flags & 1 else doc, offset, size, before, n, zlib.crc32(ids)))
-                    before += n
+                for record, (offset, size, data) in enumerate(frames(content)):
+                    doc, ids = record_ids(data)
+                    crc = zlib.crc32(ids.astype("<u4").tobytes())
+                    out.append((number, record, doc, offset, size, before, len(ids), crc))
+                    before += len(ids)
                 yield tuple(zip(*out)) if out else ((),) * 8
 
     if not _has_files(spark, path):
@@ -241,6 +249,5 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(data: bytes, offset: int, n_bytes: int) -> np.ndarray:
     """Ids of one record, by its row of the index."""
-    ((_, _, payload),) = frames(data[offset : offset + n_bytes])
-    _, _, width, n = _PAYLOAD.unpack_from(payload)
-    return np.frombuffer(payload, f"<u{width}", n, _PAYLOAD.size)
+    ((_, _, found),) = frames(data[offset : offset + n_bytes])
+    return record_ids(found)[1]
