@@ -34,7 +34,35 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import quality_rules
+
+    return quality_rules.judge(_table(spark, folder, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import fm_index
+
+    found = fm_index.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import simhash
+
+    found = simhash.components(_table(spark, folder, "documents"), size=3, radius=2)
+    return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import licenses
+
+    return licenses.scan(_table(spark, folder, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_records, op7_token_counts)
+    f.__name__: f for f in (
+        op2_token_records, op4_quality_rules, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
+    )
 }
 SQL: dict[str, str] = {}
