@@ -31,22 +31,9 @@ def folded_words(text: str | None) -> list[bytes]:
     return list(filter(None, letters(text))) if text else []
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def lower_ascii(text: str) -> str:
-    """Lowers A-Z alone; ``str.lower`` would change other letters too."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-def blank_words(text: str | None) -> list[str]:
-    """Words between ASCII blanks. ``str.split`` knows more blanks, so it serves only where no other one occurs."""
-    if not text:
-        return []
-    return text.split() if text.isascii() and not _SEPARATORS.search(text) else WORD_RE.findall(text)
-
-
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+def blank_words(text: str | None) -> list[bytes]:
+    """UTF-8 words between ASCII blanks: ``bytes.split`` knows exactly those."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def map_rows(df: DataFrame, schema: StructType | str, make: Callable, rows: int = 512) -> DataFrame:

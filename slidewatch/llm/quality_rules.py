@@ -13,6 +13,7 @@ repeated results; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -20,7 +21,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from slidewatch.llm.common import WORD_RE, blank_words, map_rows, pick
+from slidewatch.llm.common import WORD_RE, map_rows, pick
+
+#: ASCII characters that ``str.split`` takes as blanks and the contract does not.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
 
 SYMBOLS = "#*$%&|<>"
 #: Documents on which a task measures its rules.
@@ -35,7 +39,9 @@ class Reading:
 
     @cached_property
     def words(self) -> list[str]:
-        return blank_words(self.text)
+        if self.text.isascii() and not _SEPARATOR.search(self.text):
+            return self.text.split()
+        return WORD_RE.findall(self.text)
 
     @cached_property
     def word_chars(self) -> int:

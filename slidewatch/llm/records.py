@@ -32,12 +32,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import Recent, map_rows, pick
+from slidewatch.llm.common import Recent, blank_words, map_rows, pick
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -45,14 +46,12 @@ _PAYLOAD = struct.Struct("<BqBI")
 _CRC = struct.Struct("<I")
 
 #: Bounds of the caches of a Python worker, in entries.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 PIECES_KEPT = 250_000
 
 #: Words made of one run of Latin letters and closing marks: the run and the marks are tokenized apart.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#]*)")
-_BLANK = re.compile(r"[\x20\x09-\x0d]+")
-#: ASCII characters that ``str.split`` takes as blanks and the contract does not.
-_SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Lowering ASCII bytes alone would not lower the accented ones, so those must be small already.
+_PLAIN = re.compile("((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?$%&*#]*)".encode("latin-1"))
 
 
 def masked(crc: int) -> int:
@@ -119,7 +118,7 @@ class WordEncoder:
         data, ends = ids.tobytes(), [0, *ends.tolist()]
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Adds all of ``words`` to the cache."""
         plain, rest = [], []
         for w in words:
@@ -128,32 +127,26 @@ class WordEncoder:
                 plain.append((w, m[1].lower(), m[2]))
             else:
                 rest.append(w)
-        runs = sorted(self.runs.absent(p[1] for p in plain))
+        runs = list(self.runs.absent([p[1] for p in plain]))
         if runs:
-            self.runs.update(zip(runs, self._encode_runs(runs)))
-        marks = {p[2] for p in plain} - self.marks.keys()
-        self.marks.update(zip(marks, self._encode(list(marks))))
-        if len(self.marks) > WORDS_KEPT:
-            self.marks = {p[2]: self.marks[p[2]] for p in plain}
+            self.runs.update(zip(runs, self._encode_runs([r.decode() for r in runs])))
+        marks = list({p[2] for p in plain} - self.marks.keys())
+        if len(self.marks) + len(marks) > WORDS_KEPT:
+            self.marks, marks = {}, list({p[2] for p in plain})
+        self.marks.update(zip(marks, self._encode([m.decode() for m in marks])))
         known, ends = self.runs, self.marks
         self.words.update([(w, known[run] + ends[mark]) for w, run, mark in plain])
-        self.words.update(zip(rest, self._encode(rest)))
+        self.words.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest])))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [_split(t) for t in texts]
-        missing = self.words.absent(w for words in split for w in words)
+        split = [blank_words(t) for t in texts]
+        missing = self.words.absent(chain.from_iterable(split))
         if missing:
             self._learn(missing)
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
-def _split(text: str) -> list[str]:
-    if text.isascii() and not _SEPARATOR.search(text):
-        return text.split()
-    return _BLANK.split(text) if _BLANK.search(text) else [text]
-
-
 @lru_cache(maxsize=2)
 def _encoder(file: str, width: int) -> WordEncoder:
     return WordEncoder(file, width)

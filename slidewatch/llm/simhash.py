@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import blank_words, lower_ascii, map_rows, pick
+from slidewatch.llm.common import blank_words, map_rows, pick
 from slidewatch.session import work_path, work_root
 
 SEED = 42
@@ -38,10 +38,10 @@ HASHED = 100_000
 TREE_LIMIT = 4096
 
 
-def shingles(words: list[str], size: int) -> Iterator[str]:
+def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
     if len(words) < size:
-        return iter([" ".join(words)] if words else [])
-    return map(" ".join, zip(*(words[k:] for k in range(size))))
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(words[k:] for k in range(size))))
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -51,7 +51,8 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Unsigned 64-bit SimHash of a text; zero without words."""
-    words = blank_words(lower_ascii(text)) if text else []
+    # bytes.lower lowers A-Z alone.
+    words = [*map(bytes.lower, blank_words(text))]
     if not words:
         return 0
     total, counts = 0, np.zeros(64, np.int64)
