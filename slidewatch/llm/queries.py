@@ -19,6 +19,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import mixing
+
+    return mixing.taken(mixing.mix(_table(spark, folder, "documents")))
+
+
 def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import records
 
@@ -34,6 +40,12 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import super_kmers
+
+    return super_kmers.dedup(_table(spark, folder, "documents")).drop("kept")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import quality_rules
 
@@ -62,7 +74,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_token_records, op4_quality_rules, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
+        op1_mixing, op2_token_records, op3_substring_dedup, op4_quality_rules, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
     )
 }
 SQL: dict[str, str] = {}
