@@ -35,8 +35,8 @@ PIECES = regex.compile(
 #: The pieces of it that another cut may split. Fixed value.
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 
-UNITS_KEPT = 150_000
-RUNS_KEPT = 250_000
+UNITS_KEPT = 350_000
+RUNS_KEPT = 350_000
 PAIRS_KEPT = 1_000_000
 _UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _RUN = re.compile(r"[\t-\r ]{2}")
@@ -147,7 +147,8 @@ class PrefixCounter:
         run, marks = plain[1], plain[2]
         known = self.runs.get(run) or self.runs.old.get(run)
         if known is None:
-            known = self._changes(run)
+            counts = self._piece(run)  # letters after a blank are one piece
+            known = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
         self.runs[run] = known
         if not marks:
             return known
