@@ -72,9 +72,17 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents")).drop("spans")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import nbsvm
+
+    docs = _table(spark, folder, "documents")
+    return nbsvm.score(docs, nbsvm.train(docs, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_token_records, op3_substring_dedup, op4_quality_rules, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
+        op10_quality_classifier,
     )
 }
 SQL: dict[str, str] = {}
