@@ -52,6 +52,13 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"))
 
 
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import blocks
+
+    pages = _table(spark, folder, "pages")
+    return blocks.extract(pages, blocks.train(pages))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import fm_index
 
@@ -81,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mixing, op2_token_records, op3_substring_dedup, op4_quality_rules, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
+        op1_mixing, op2_token_records, op3_substring_dedup, op4_quality_rules, op5_main_text, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
         op10_quality_classifier,
     )
 }
