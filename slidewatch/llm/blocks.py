@@ -18,6 +18,7 @@ rows give repeated results; other columns are not looked at; an empty table give
 
 from __future__ import annotations
 
+import pickle
 import re
 from functools import lru_cache
 from html import unescape
@@ -196,12 +197,12 @@ class Net(NamedTuple):
 
 def new_net(seed: int) -> Net:
     r = np.random.default_rng(seed)
-    make = lambda a, b: (r.standard_normal((a, b)) / a**0.5).astype(np.float64)
-    forget = np.zeros(4 * HIDDEN)
+    make = lambda a, b: (r.standard_normal((a, b)) / a**0.5).astype(np.float32)
+    forget = np.zeros(4 * HIDDEN, np.float32)
     forget[HIDDEN : 2 * HIDDEN] = 1
     return Net(
         (make(WIDTH, 4 * HIDDEN), make(WIDTH, 4 * HIDDEN)), (make(HIDDEN, 4 * HIDDEN), make(HIDDEN, 4 * HIDDEN)),
-        (forget.copy(), forget.copy()), make(2 * HIDDEN, 1)[:, 0], np.zeros(1),
+        (forget.copy(), forget.copy()), make(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32),
     )
 
 
@@ -219,8 +220,8 @@ def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _run(z: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
     """Hidden states (pages, steps, HIDDEN) from the projected inputs ``z``."""
     n, steps, _ = z.shape
-    h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    out = np.empty((n, steps, HIDDEN))
+    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    out = np.empty((n, steps, HIDDEN), np.float32)
     for t in range(steps):
         a = z[:, t] + h @ wh
         gates = _sigmoid(a[:, : 3 * HIDDEN])
@@ -237,8 +238,8 @@ def _run(z: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
 def _back(dh_all: np.ndarray, kept: list, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs and of ``wh``."""
     n, steps, _ = dh_all.shape
-    dz, dwh = np.empty((n, steps, 4 * HIDDEN)), np.zeros_like(wh)
-    dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+    dz, dwh = np.empty((n, steps, 4 * HIDDEN), np.float32), np.zeros_like(wh)
+    dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
         h, c, i, f, o, g = kept[t]
         dh = dh + dh_all[:, t]
@@ -254,13 +255,13 @@ def _back(dh_all: np.ndarray, kept: list, wh: np.ndarray) -> tuple[np.ndarray, n
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([*map(len, pages)])
-    x = np.zeros((len(pages), max(1, lengths.max(initial=1)), pages[0].shape[1]))
+    x = np.zeros((len(pages), max(1, lengths.max(initial=1)), pages[0].shape[1]), np.float32)
     for k, p in enumerate(pages):
         x[k, : len(p)] = p
     return x, lengths
 
 
-def train_net(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 32, rate: float = 0.02, seed: int = 3) -> Net:
+def train_net(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 3) -> Net:
     """Fits the network by back-propagation through time and Adam; deterministic."""
     net = new_net(seed)
     params = net.flat()
@@ -278,7 +279,7 @@ def train_net(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 1
             hs = [_run(xs[d] @ net.wx[d] + net.b[d], net.wh[d], kept[d]) for d in (0, 1)]
             both = np.concatenate([hs[0], _turned(hs[1], lengths)], axis=2)
             p = _sigmoid(both @ net.out + net.bias)
-            d = (p - y) * mask / mask.sum()
+            d = ((p - y) * mask / mask.sum()).astype(np.float32)
             dboth = d[:, :, None] * net.out
             ds = (dboth[:, :, :HIDDEN], _turned(dboth[:, :, HIDDEN:], lengths))
             backs = [_back(ds[k], kept[k], net.wh[k]) for k in (0, 1)]
@@ -398,14 +399,12 @@ def laid_out(page: list[Leaf], others: list[str], r: np.random.Generator) -> tup
         part("aside", 6, 0.6, 0.7)
     if r.random() < 0.9:
         part("footer", 3, 0.5, 0.4)
-    return [leaf for leaf, _ in rows], np.array([y for _, y in rows], float)
+    return [leaf for leaf, _ in rows], np.array([y for _, y in rows], np.float32)
 
 
-def train(pages: DataFrame, rows: int = ROWS, variants: int = 4, html_col: str = "html", seed: int = 3) -> Net:
-    """The network of at most ``rows`` pages."""
-    sample = pick(pages, html=html_col).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(rows).collect()
-    read = [leaves(row["html"]) for row in sample]
-    read = [page for page in read if page]
+def fit_pages(htmls: list[str], variants: int, seed: int) -> Net:
+    """The network of these pages and of their other layouts."""
+    read = [page for page in map(leaves, htmls) if page]
     others = [leaf.text for page in read for leaf in page]
     r = np.random.default_rng(seed)
     xs, ys = [], []
@@ -413,11 +412,11 @@ def train(pages: DataFrame, rows: int = ROWS, variants: int = 4, html_col: str =
     def add(page: list[Leaf], labels: np.ndarray) -> None:
         x = vectors(page)
         for at in range(0, len(page), SEGMENT):
-            xs.append(x[at : at + SEGMENT].astype(float))
+            xs.append(x[at : at + SEGMENT])
             ys.append(labels[at : at + SEGMENT])
 
     for page in read:
-        add(page, np.array([first_label(leaf) for leaf in page], float))
+        add(page, np.array([first_label(leaf) for leaf in page], np.float32))
         for _ in range(variants):
             other, labels = laid_out(page, others, r)
             if other:
@@ -425,6 +424,17 @@ def train(pages: DataFrame, rows: int = ROWS, variants: int = 4, html_col: str =
     return train_net(xs, ys, seed=seed) if xs else new_net(seed)
 
 
+def train(pages: DataFrame, rows: int = ROWS, variants: int = 3, html_col: str = "html", seed: int = 3) -> Net:
+    """The network of at most ``rows`` pages, fitted in one task, whose input that bound limits."""
+    sample = pick(pages, html=html_col).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(rows).coalesce(1)
+
+    def fitted(batches):
+        htmls = [h for (part,) in batches for h in part]
+        yield ([pickle.dumps(tuple(fit_pages(htmls, variants, seed)))],)
+
+    return Net(*pickle.loads(map_rows(sample, "net binary", fitted).first()["net"]))
+
+
 def extract(
     pages: DataFrame, net: Net, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
