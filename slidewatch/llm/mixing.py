@@ -284,3 +284,28 @@ def taken(mixed: DataFrame) -> DataFrame:
     key = ["doc_id", "source", "size", "text_hash", "copy", "source_size", "target"]
     words = mixed.groupBy(*key).agg(F.sum("n_words").alias("taken"))
     return words.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, depth: int = DEPTH, seed: int = SEED,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """``docs`` as drawn: a row for each draw of a whole document, with its columns, grouped in shards and shuffled there.
+
+    Draws are counted per document content, so equal rows are drawn together and a text is moved once.
+    """
+    drawn = mix(docs, weights, most, depth, seed, None, BINS, id_col, text_col, source_col).where("shard is not null")
+    key = ["doc_id", "source", "text_hash"]
+    times = drawn.groupBy(*key).agg(F.collect_list(F.struct("shard", "place", "copy")).alias("_draws"))
+    times = times.select(*[F.col(k).alias(f"_mix_{k}") for k in key], "_draws")
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    one = docs.withColumn("_mix_hash", F.xxhash64(F.col(f"`{text_col}`"), F.lit(SEED)))
+    # Equal rows: the first takes all draws of the content. Their number is bounded by passes times copies.
+    joined = one.dropDuplicates([id_col, source_col, "_mix_hash"]).join(
+        times,
+        F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_doc_id"))
+        & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_mix_source"))
+        & (F.col("_mix_hash") == F.col("_mix_text_hash")),
+    )
+    rows = joined.select(*names, F.explode("_draws").alias("_draw"))
+    return rows.repartition("_draw.shard", F.pmod("_draw.place", F.lit(64))).sortWithinPartitions("_draw.shard", "_draw.place").select(*names)

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -29,14 +29,14 @@ def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import records
 
     path = work_path(spark, "token_records")
-    records.write_records(_table(spark, folder, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=1)
+    records.write_records(_table(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return records.read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import token_counts
 
-    counts = token_counts.prefix_counts(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), limit=1024)
+    counts = token_counts.prefix_counts(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

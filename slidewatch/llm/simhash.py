@@ -236,6 +236,127 @@ def components(
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Smallest 32-bit hashes of a text's shingles that stand for their set; texts with fewer shingles have the whole set.
+SKETCH = 128
+#: Bits that the fingerprints of word triples may differ in: far beyond what texts of the wanted similarity show, and far
+#: below what unrelated texts do.
+APART = 16
+
+
+def sketch(words: list[bytes], size: int, keep: int = SKETCH) -> np.ndarray:
+    found = np.fromiter(map(xxhash.xxh32_intdigest, shingles(words, size)), np.uint32)
+    return np.unique(found)[:keep]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact where both sets have at most ``keep`` members."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)
+    if len(a) >= keep or len(b) >= keep:
+        union = union[:keep]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return np.count_nonzero(both <= union[-1]) / len(union)
+
+
+def leaders(
+    rows: list[tuple[int, int, int, bytes]], radius: int, least: float
+) -> list[tuple[int, int]]:
+    """(text, leader) links in one bucket, rows (text_hash, words' fingerprint, triples' fingerprint, sketch) in order.
+
+    A text that is similar to an earlier leader is linked to it; any other becomes a leader. A group of thousands of near
+    copies thus costs one search each among the few leaders, and one link each.
+    """
+    tree, members, out = BKTree(), {}, []
+    for text, one, three, data in rows:
+        own, linked = np.frombuffer(data, np.uint32), False
+        for near in tree.within(one, radius):
+            for other, three_, sketch_ in members[near]:
+                if (three ^ three_).bit_count() <= APART and similarity(own, sketch_) >= least:
+                    out.append((text, other))
+                    linked = True
+        if not linked:
+            tree.add(one)
+            members.setdefault(one, []).append((text, three, own))
+    return out
+
+
+def one_of_each(
+    docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay when near copies go: of each group the one with the least doc_id (null last).
+
+    Texts are candidates when the SimHash fingerprints of their words differ in at most ``radius`` bits, and copies when
+    their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more, by sketch. Fingerprints of word
+    triples, whose distance is much larger for unrelated texts, spare most comparisons of sketches. Equal texts are one
+    node from the start. Texts without words are one group.
+    """
+    spark = docs.sparkSession
+
+    def read(batches):
+        for ids, hashes, texts in batches:
+            ones, threes, sketches = [], [], []
+            for text in texts:
+                words = [*map(bytes.lower, blank_words(text))]
+                ones.append(_signed(fingerprint(text, 1)))
+                threes.append(_signed(fingerprint(text, 3)))
+                sketches.append(sketch(words, size).tobytes())
+            yield ids, hashes, ones, threes, sketches
+
+    rows = pick(docs, _id=id_col, _text=text_col).select(
+        F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit(""))), "_text"
+    )
+    marked = map_rows(rows, "id long, text long, one long, three long, sketch binary", read)
+    # What follows from the text is equal in equal texts; min_by, max and the like would only cost more.
+    equal = marked.groupBy("text").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"),
+        F.first("one").alias("one"), F.first("three").alias("three"), F.first("sketch").alias("sketch"),
+    )
+    path = work_path(spark, "near_copies")
+    equal.write.parquet(path)
+    equal = spark.read.parquet(path)
+    edges = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("block"),
+                F.shiftrightunsigned(F.shiftleft("one", 64 - high), 64 - high + low).alias("value"),
+            )
+            for k, (low, high) in enumerate(zip(edges, edges[1:]))
+        ]
+    )
+    dealt = equal.withColumn("key", F.explode(keys)).select("key.block", "key.value", "first", "text", "one", "three", "sketch")
+    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "first", "text")
+
+    def linked(batches):
+        held, group = None, []
+        for blocks, values, texts, ones, threes, sketches in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(blocks, values, texts, ones, threes, sketches):
+                if row[:2] != held:
+                    out += leaders(group, radius, least)
+                    held, group = row[:2], []
+                group.append((row[2], row[3] & 0xFFFFFFFFFFFFFFFF, row[4] & 0xFFFFFFFFFFFFFFFF, row[5]))
+            yield [a for a, _ in out], [b for _, b in out]
+        out = leaders(group, radius, least)
+        yield [a for a, _ in out], [b for _, b in out]
+
+    links_ = map_rows(dealt.drop("first"), "a long, b long", linked, rows=4096)
+    roots = connected(links_)
+    named = equal.select("text", "first").join(roots, F.col("text") == F.col("node"), "left")
+    named = named.select("text", "first", F.coalesce("root", "text").alias("root"))
+    stay = named.groupBy("root").agg(F.min(F.struct("first", "text")).alias("stays"))
+    path = work_path(spark, "near_copies_kept")
+    stay.select(F.col("stays.first.id").alias("_id"), F.col("stays.text").alias("_hash")).write.parquet(path)
+    stay = spark.read.parquet(path)
+    names = docs.columns
+    keyed = docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")).withColumn(
+        "_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    )
+    kept = keyed.join(stay, (F.col("_key").eqNullSafe(F.col("_id"))) & (keyed["_hash"] == stay["_hash"]), "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
+
+
 def fingerprint_text(column: str = "fp"):
     """16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
