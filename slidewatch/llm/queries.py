@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slidewatch.llm.sql import SQL  # noqa: F401
 from slidewatch.session import work_path
 
 
@@ -92,4 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
     )
 }
-SQL: dict[str, str] = {}
