@@ -184,10 +184,11 @@ CTES["val"] = "SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY rn
 
 CTES["dec"] = """
 SELECT decision_id, any_value(segment_id) AS segment_id, arg_max(state, rn) AS status,
-  max(CASE WHEN action = 'proposed' THEN action_type END) AS action_type,
-  max(CASE WHEN action = 'proposed' THEN target_experiment_id END) AS target_experiment_id,
-  max(CASE WHEN action = 'proposed' THEN flag_key END) AS flag_key, max(CASE WHEN action = 'proposed' THEN variant END) AS variant,
-  max(CASE WHEN action = 'proposed' THEN predicted_conversion_lift END) AS predicted_conversion_lift,
+  coalesce(max(CASE WHEN action = 'proposed' THEN action_type END), arg_min(action_type, rn)) AS action_type,
+  coalesce(max(CASE WHEN action = 'proposed' THEN target_experiment_id END), arg_min(target_experiment_id, rn)) AS target_experiment_id,
+  coalesce(max(CASE WHEN action = 'proposed' THEN flag_key END), arg_min(flag_key, rn)) AS flag_key,
+  coalesce(max(CASE WHEN action = 'proposed' THEN variant END), arg_min(variant, rn)) AS variant,
+  coalesce(max(CASE WHEN action = 'proposed' THEN predicted_conversion_lift END), arg_min(predicted_conversion_lift, rn)) AS predicted_conversion_lift,
   arg_max(drafted_note, rn) FILTER (action IN ('proposed', 'redrafted')) AS drafted_note,
   coalesce(max(CASE WHEN action = 'approved' THEN rollout_pct END), CASE WHEN arg_min(action, rn) = 'investigating' THEN 100 END) AS rollout_pct,
   max(CASE WHEN action = 'approved' THEN actor END) AS approved_by, min(moment) AS created_at,
@@ -353,7 +354,7 @@ SQL["reset_one_segment"] = """SELECT count(*) FILTER (segment_id <> 'SEG-0000022
 SQL["mirror_row_counts"] = """SELECT 'segment_positions' AS table_name, count(*) AS row_count FROM pos UNION ALL SELECT 'open_sliding', count(*) FROM opn
   UNION ALL SELECT 'action_recommendations', count(*) FROM rec UNION ALL SELECT 'experiments', count(*) FROM exp"""
 SQL["named_daily_refund_trend"] = """SELECT CAST(return_date AS VARCHAR) AS return_date, CAST(round(sum(refund), 2) AS DOUBLE) AS total_refund_usd
-  FROM ret WHERE return_date >= DATE '2001-01-01' - 30 GROUP BY 1"""
+  FROM ret WHERE return_date BETWEEN DATE '2001-01-01' - 30 AND DATE '2001-01-01' GROUP BY 1"""
 SQL["named_returns_by_product"] = """SELECT product_name, count(*) AS return_count, CAST(round(sum(refund), 2) AS DOUBLE) AS total_refund_usd
   FROM ret GROUP BY 1 ORDER BY return_count DESC, product_name LIMIT 10"""
 SQL["named_worst_lots"] = "SELECT * FROM worst"
@@ -515,9 +516,12 @@ SQL["experiment_lookup"] = "SELECT experiment_id, experiment_name, won FROM exp
 
 SQL["live_view"] = "SELECT * FROM live ORDER BY risk_rank LIMIT 40"
 SQL["live_view_of_segment"] = "SELECT segment_id, risk_rank, decision_id, decision_status FROM live WHERE segment_id = 'SEG-0000022'"
-SQL["case_list"] = """SELECT segment_id, decision_id, decision_status, decided_at, decision_created_at FROM (SELECT * FROM live ORDER BY risk_rank LIMIT 40) WHERE decision_id IS NOT NULL"""
-SQL["case_details"] = """SELECT d.decision_id, segment_id, d.status, risk_rank, conversion_drop, d.target_experiment_id, experiment_name, observed_lift
-  FROM dec d JOIN live USING (segment_id) LEFT JOIN exp ON experiment_id = d.target_experiment_id"""
+SQL["case_list"] = """SELECT segment_id, decision_id, decision_status, decided_at, decision_created_at FROM live WHERE decision_id IS NOT NULL"""
+SQL["case_details"] = """SELECT d.decision_id, segment_id, d.status, d.action_type, risk_rank, conversion_drop, d.target_experiment_id, experiment_name, observed_lift,
+  description AS experiment_text, CAST(0 AS BIGINT) AS page, CAST(entries AS INTEGER) AS entries, trail
+  FROM dec d JOIN live USING (segment_id) LEFT JOIN exp ON experiment_id = d.target_experiment_id
+  JOIN (SELECT decision_id, count(*) AS entries, string_agg(CASE WHEN actor IS NULL THEN action ELSE action || '/' || actor END, ',' ORDER BY rn) AS trail
+        FROM val GROUP BY 1) a ON a.decision_id = d.decision_id"""
 SQL["next_cases"] = """SELECT segment_id, conversion_at_risk_usd, coalesce(recommended_action, 'ship_proven_variant') AS action_type, coalesce(neighbor_flag_key, '') AS flag_key,
   100 AS rollout_pct, predicted_conversion_lift, 'investigating' AS status FROM opn LEFT JOIN rec USING (segment_id)
   WHERE segment_id NOT IN (SELECT segment_id FROM dec WHERE status = 'proposed') ORDER BY conversion_at_risk_usd DESC, segment_id LIMIT 10"""
@@ -532,14 +536,18 @@ SQL["activity_feed"] = f"""SELECT kind, decision_id, {ts('m')} AS at, actor AS "
   SELECT 'audit' AS kind, decision_id, moment AS m, actor, action AS what FROM val
   UNION ALL SELECT 'email', decision_id, decided_at, 'mailer', 'Decision shipped' FROM dec WHERE status = 'committed') ORDER BY m DESC, decision_id, kind, what LIMIT 25"""
 SQL["decision_rule_counts"] = """SELECT rule, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM (
-  SELECT 'action_type' AS rule, action_type IS NULL OR action_type IN ('ship_proven_variant', 'rollout_existing_flag', 'ship_alt_variant') AS ok FROM dec
+  SELECT 'action_type' AS rule, coalesce(action_type IN ('ship_proven_variant', 'rollout_existing_flag', 'ship_alt_variant'), FALSE) AS ok FROM dec
   UNION ALL SELECT 'status', status IN ('investigating', 'investigation_failed', 'proposed', 'approved', 'committed') FROM dec
   UNION ALL SELECT 'rollout_pct', rollout_pct IS NULL OR rollout_pct BETWEEN 0 AND 100 FROM dec
   UNION ALL SELECT 'approved_rollout_pct', status NOT IN ('approved', 'committed') OR coalesce(rollout_pct BETWEEN 1 AND 100, FALSE) FROM dec) GROUP BY 1"""
 CTES["rdr"] = "SELECT decision_id, moment, event_id, drafted_note, assist_run_id FROM dev WHERE action = 'redrafted'"
 SQL["redrafted_decisions"] = """SELECT decision_id, status, CASE WHEN status = 'proposed' AND n IS NOT NULL THEN n ELSE drafted_note END AS drafted_note,
-  CASE WHEN status = 'proposed' THEN run END AS redraft_run FROM dec LEFT JOIN (
-    SELECT decision_id, arg_max(drafted_note, moment) AS n, arg_max(assist_run_id, moment) AS run FROM rdr GROUP BY 1) USING (decision_id)"""
+  CASE WHEN status = 'proposed' THEN coalesce(k, 0) ELSE 0 END AS redrafts FROM dec LEFT JOIN (
+    SELECT decision_id, arg_max(drafted_note, moment) AS n, count(*) AS k FROM rdr GROUP BY 1) USING (decision_id)"""
+SQL["redrafted_trails"] = f"""SELECT decision_id, row_number() OVER (PARTITION BY decision_id ORDER BY moment, action, assist_run_id) AS position,
+  {ts('moment')} AS at, action, assist_run_id FROM (
+    SELECT decision_id, moment, action, assist_run_id FROM val WHERE action <> 'redrafted'
+    UNION ALL SELECT decision_id, moment, 'redrafted', assist_run_id FROM rdr WHERE decision_id IN (SELECT decision_id FROM dec WHERE status = 'proposed'))"""
 SQL["refused_redrafts"] = "SELECT decision_id, assist_run_id FROM rdr WHERE decision_id NOT IN (SELECT decision_id FROM dec WHERE status = 'proposed')"
 SQL["kpis_after_decisions"] = """SELECT count(*) FILTER (conv_band = 'sliding') AS sliding_before, count(*) FILTER (conv_band = 'sliding' AND NOT shipped) AS sliding_after,
   round(sum(conversion_at_risk_usd), 4) AS at_risk_before, round(sum(CASE WHEN shipped THEN 0 ELSE conversion_at_risk_usd END), 4) AS at_risk_after
@@ -595,7 +603,7 @@ SQL["decision_costs"] = """SELECT decision_id, segment_id, status, requests, rou
 SQL["latency_by_service"] = """SELECT api_type, status_code, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms, max(latency_ms) AS max_latency_ms FROM pay GROUP BY 1, 2"""
 
 USD = "CAST(round(sum(refund), 2) AS DOUBLE)"
-SQL["daily_refund_trend"] = f"SELECT CAST(return_date AS VARCHAR) AS return_date, {USD} AS total_refund_usd FROM ret WHERE return_date >= DATE '1998-08-31' - 30 GROUP BY 1"
+SQL["daily_refund_trend"] = f"SELECT CAST(return_date AS VARCHAR) AS return_date, {USD} AS total_refund_usd FROM ret WHERE return_date BETWEEN DATE '1998-08-31' - 30 AND DATE '1998-08-31' GROUP BY 1"
 SQL["returns_by_product"] = SQL["named_returns_by_product"]
 SQL["worst_lots"] = "SELECT * FROM worst"
 SQL["returns_summary"] = f"SELECT status, count(*) AS n, {USD} AS total_usd FROM ret GROUP BY 1"

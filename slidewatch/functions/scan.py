@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slidewatch.session import work_path
+
 _SLICE = "_slice"
 
 
@@ -88,51 +90,24 @@ def join_by_slice(
     return sliced.join(spread, [*keys, _SLICE], how).drop(_SLICE)
 
 
-def rank_by_value(
-    df: DataFrame, value: str, tie: str, out: str, buckets: int = 512, tie_prefix: int = 7
-) -> DataFrame:
-    """Global 1-based rank by ``value`` descending, then ``tie`` ascending.
+def rank_by_value(df: DataFrame, value: str, tie: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Global 1-based rank by ``value`` descending (null last), then ``tie`` ascending.
 
-    Rows are cut by value (equal steps between the extremes) and, for equal values, by the leading characters of
-    ``tie``, which sort the same way as ``tie`` itself. Only one row per non-empty cut reaches the global window.
+    Rows are put into ranges of (value, tie) that Spark cuts by their numbers, however values are spread, and are written
+    in order with their place in the range. A rank is that place and the sizes of the ranges before: the only window
+    without a key sees one row per range. The table is written because ranges that were drawn twice need not agree.
     """
-    span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")))
-    width = F.col("_span.high") - F.col("_span.low")
-    step = F.when(width > 0, F.floor((F.col("_span.high") - F.col(value)) / width * F.lit(buckets))).otherwise(F.lit(0))
-    cut = (
-        df.withColumn("_span", span.scalar())
-        .withColumn("_bucket", F.coalesce(F.when(F.col(value).isNotNull(), step), F.lit(buckets + 1)).cast("int"))
-        .withColumn("_prefix", F.substring(tie, 1, tie_prefix))
-        .drop("_span")
-    )
     order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
-    inside = Window.partitionBy("_bucket", "_value_tie", "_prefix").orderBy(*order)
-    # A bucket holds many values; the prefix may only split rows of one value, so ties carry the value itself.
-    cut = cut.withColumn("_value_tie", F.col(value))
-    counts = cut.groupBy("_bucket", "_value_tie", "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
-    per_bucket = counts.groupBy("_bucket").agg(F.sum("_rows").alias("_bucket_rows"))
-    before_bucket = per_bucket.select(
-        "_bucket",
-        F.coalesce(
-            F.sum("_bucket_rows").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_bucket_before"),
-    )
-    in_bucket = Window.partitionBy("_bucket").orderBy(F.col("_value_tie").desc_nulls_last(), F.col("_prefix").asc())
-    before_cut = counts.select(
-        "_bucket", "_value_tie", "_prefix",
-        F.coalesce(F.sum("_rows").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_cut_before"),
-    )
-    offsets = before_cut.join(F.broadcast(before_bucket), "_bucket").select(
-        "_bucket", "_value_tie", "_prefix", (F.col("_bucket_before") + F.col("_cut_before")).alias("_offset")
-    )
-    same_cut = (
-        F.col("l._bucket").eqNullSafe(F.col("r._bucket"))
-        & F.col("l._value_tie").eqNullSafe(F.col("r._value_tie"))
-        & F.col("l._prefix").eqNullSafe(F.col("r._prefix"))
-    )
-    ranked = cut.withColumn("_local", F.row_number().over(inside))
-    return (
-        ranked.alias("l")
-        .join(offsets.alias("r"), same_cut)
-        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._offset") + F.col("l._local")).cast("long").alias(out))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ids = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    placed = ranged.sortWithinPartitions(*order).select(
+        *df.columns, F.shiftright(ids, 33).alias("_range"), ids.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
     )
+    path = work_path(df.sparkSession, "ranked")
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    ranked = placed.join(F.broadcast(starts), "_range")  # one row per range
+    return ranked.select(*df.columns, (F.col("_start") + F.col("_place") + 1).cast("long").alias(out))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +49,8 @@ def surface_forms(term: str) -> list[str]:
 
 def analyse_words(text: str) -> list[str]:
     """The same for a short query text on the driver."""
-    import regex
-
     out = []
-    for word in regex.findall(r"[\p{L}\p{N}]+", text.lower()):
+    for word in re.findall(r"[^\W_]+", text.lower()):
         if word in STOP_WORDS:
             continue
         if len(word) > 4 and word.endswith("ies"):

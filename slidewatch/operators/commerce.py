@@ -22,7 +22,9 @@ def _n() -> Column:
 
 
 def daily_refund_trend(returns: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    recent = returns.where(F.col("return_date") >= F.date_sub(F.lit(as_of).cast("date"), days))
+    """Refunds per day of the ``days`` days up to and including ``as_of``; later rows are not part of it."""
+    last = F.lit(as_of).cast("date")
+    recent = returns.where(F.col("return_date").between(F.date_sub(last, days), last))
     return recent.groupBy("return_date").agg(_refund().alias("total_refund_usd")).orderBy("return_date")
 
 
@@ -152,6 +154,8 @@ def customer_orders(orders: DataFrame, items: DataFrame, customer_id: int | None
     else:
         by_date = Window.partitionBy("customer_id").orderBy(F.col("order_date").desc(), F.col("order_id").desc())
         newest = orders.withColumn("rn", F.row_number().over(by_date)).where(F.col("rn") <= n).drop("rn")
+    if customer_id is not None:  # a handful of orders: only their items are counted
+        items = items.join(F.broadcast(newest.select("order_id")), "order_id", "left_semi")
     counts = items.groupBy("order_id").agg(_n().alias("_items"))
     return newest.join(counts, "order_id", "left").select(
         "customer_id", "order_id", "order_date", "total_usd", "status",

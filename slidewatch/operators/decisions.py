@@ -15,15 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidewatch.functions.exprs import bounded, count_if
+from slidewatch.functions.exprs import count_if
 from slidewatch.functions.scan import join_by_slice, row_position
 from slidewatch.operators.gold import parse_ranking
-from slidewatch.operators.rank import latest_per_key, risk_rank
+from slidewatch.operators.rank import latest_per_key, rank_candidates, rank_of_one, risk_rank
 from slidewatch.settings import ACTIONS, DECISION_STATUSES
 
 ORDER = ["at", "event_id"]
 DRAFT_COLUMNS = ["action_type", "target_experiment_id", "flag_key", "variant", "drafted_note", "predicted_conversion_lift"]
-LIVE_LIMIT = 40
+#: Rows of a page of the live view, unless the caller asks for another number.
+LIVE_PAGE = 40
 
 
 def _moment() -> Column:
@@ -121,7 +122,9 @@ def split_transitions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fold_decisions(valid_events: DataFrame) -> DataFrame:
     """Accepted events to current decision rows."""
     moment = _moment()
-    first = F.min(F.struct("at", "event_id", "segment_id", "action")).alias("_first")
+    # What the first event says of the draft holds until a proposal replaces it.
+    started = [c for c in DRAFT_COLUMNS if c != "drafted_note"]
+    first = F.min(F.struct("at", "event_id", "segment_id", "action", *started)).alias("_first")
     status_events = F.when(~_is("redrafted"), F.struct("at", "event_id", "action"))
     draft = F.when(_is("proposed"), F.struct("at", "event_id", *DRAFT_COLUMNS))
     redraft = F.when(_is("redrafted"), F.struct("at", "event_id", "drafted_note"))
@@ -134,7 +137,7 @@ def fold_decisions(valid_events: DataFrame) -> DataFrame:
     )
     return folded.select(
         "decision_id", F.col("_first.segment_id").alias("segment_id"), F.col("_status.action").alias("status"),
-        *[F.col(f"_draft.{c}").alias(c) for c in DRAFT_COLUMNS if c != "drafted_note"],
+        *[F.coalesce(f"_draft.{c}", f"_first.{c}").alias(c) for c in started],
         F.coalesce("_redraft.drafted_note", "_draft.drafted_note").alias("drafted_note"),
         # A case opened by an investigation starts at full rollout until a person approves another share.
         F.coalesce(
@@ -187,30 +190,42 @@ def activity(trails: DataFrame, n: int = 25, emails: DataFrame | None = None) ->
 def decision_rules() -> dict[str, Column]:
     """Row rules of stored decisions, for ``silver.expect``."""
     return {
-        "action_type": F.col("action_type").isNull() | F.col("action_type").isin(ACTIONS),
+        "action_type": F.coalesce(F.col("action_type").isin(ACTIONS), F.lit(False)),
         "status": F.col("status").isin(DECISION_STATUSES),
         "rollout_pct": F.col("rollout_pct").isNull() | F.col("rollout_pct").between(0, 100),
         "approved_rollout_pct": ~F.col("status").isin("approved", "committed") | rollout_in_range(F.col("rollout_pct")),
     }
 
 
-def apply_redrafts(decisions: DataFrame, redrafts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New notes for decisions that are still proposed; redrafts of others go to the second frame.
+def apply_redrafts(decisions: DataFrame, redrafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New notes for decisions that are still proposed: (decisions, trail entries, refused redrafts).
 
-    ``redrafts``: decision_id, at, drafted_note, assist_run_id. The latest redraft of a decision sets its note.
+    ``redrafts``: decision_id, at, drafted_note, assist_run_id. The latest redraft of a decision sets its note; every
+    accepted one, not only the latest, is an entry for the trail (see ``extend_trail``).
     """
     latest = latest_per_key(redrafts, "decision_id", ["at", "assist_run_id"]).select(
-        "decision_id", F.col("drafted_note").alias("_note"), F.col("assist_run_id").alias("_run"), F.col("at").alias("_at")
+        "decision_id", F.col("drafted_note").alias("_note"), F.col("at").alias("_at")
     )
+    proposed = decisions.where(F.col("status") == "proposed").select("decision_id", "segment_id")
     open_to_change = (F.col("status") == "proposed") & F.col("_at").isNotNull()
     applied = decisions.join(latest, "decision_id", "left").select(
         *[c for c in decisions.columns if c != "drafted_note"],
         F.when(open_to_change, F.col("_note")).otherwise(F.col("drafted_note")).alias("drafted_note"),
-        F.when(open_to_change, F.struct(F.col("_at").alias("at"), F.lit("redrafted").alias("action"), F.col("_run").alias("assist_run_id")))
-        .alias("redraft_entry"),
     )
-    proposed = decisions.where(F.col("status") == "proposed").select("decision_id")
-    return applied, redrafts.join(proposed, "decision_id", "left_anti")
+    entries = redrafts.join(proposed, "decision_id").select(
+        "decision_id", "segment_id", "at", F.lit(None).cast("string").alias("by"), F.lit("redrafted").alias("action"),
+        F.col("drafted_note").alias("notes"), F.lit("redraft").alias("tool"), "assist_run_id",
+    )
+    return applied, entries, redrafts.join(proposed, "decision_id", "left_anti")
+
+
+def extend_trail(entries: DataFrame, more: DataFrame, slice_unit: str = "hour") -> DataFrame:
+    """The trail as rows with further entries in it, numbered anew by time; nothing that was there is lost."""
+    columns = ["decision_id", "segment_id", "at", "by", "action", "notes", "tool", "assist_run_id"]
+    rows = entries.select(*columns).unionByName(more.select(*columns))
+    return row_position(
+        rows, ["decision_id"], ["at", "action", "assist_run_id"], F.date_trunc(slice_unit, "at"), "position"
+    )
 
 
 def latest_decision(decisions: DataFrame) -> DataFrame:
@@ -223,13 +238,22 @@ def live_view(
     recs: DataFrame,
     decisions: DataFrame,
     segment_id: str | None = None,
-    limit: int | None = LIVE_LIMIT,
+    limit: int | None = LIVE_PAGE,
 ) -> DataFrame:
     """Position, risk rank, recommendation and latest decision of the open segments, by rank.
 
-    ``limit`` is the page size (1 to 40); None gives the whole view.
+    ``limit`` is the page size, any positive number; None gives the whole view. A page takes its rows first and ranks
+    only those; one segment's rank is one more than the number of segments ahead of it.
     """
-    ranked = risk_rank(open_rows).select(
+    if limit is not None and limit < 1:
+        raise ValueError("a page has at least one row")
+    if segment_id is not None:
+        ranked = rank_of_one(open_rows, "conversion_at_risk_usd", "segment_id", segment_id, "risk_rank")
+    elif limit is not None:
+        ranked = rank_candidates(open_rows, "conversion_at_risk_usd", "segment_id", limit).withColumnRenamed("rank", "risk_rank")
+    else:
+        ranked = risk_rank(open_rows)
+    ranked = ranked.select(
         "segment_id", "risk_rank", "has_matching_experiment", "matching_experiment_id",
         "matching_experiment_lift", "neighbor_flag_key",
     )
@@ -249,17 +273,26 @@ def live_view(
         .join(latest, "segment_id", "left")
         .orderBy("risk_rank")
     )
-    return view if limit is None else view.limit(bounded(limit, LIVE_LIMIT))
+    return view
 
 
-def cases(live: DataFrame) -> DataFrame:
-    """Live rows that have a decision, newest first."""
+def cases(open_rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every open segment that has a decision, with the latest one, newest first. No page and no rank is involved."""
+    latest = latest_decision(decisions).select(
+        "segment_id", "decision_id", F.col("status").alias("decision_status"), "decided_at",
+        F.col("created_at").alias("decision_created_at"), "action_type", "flag_key", "predicted_conversion_lift",
+    )
     newest = F.coalesce("decided_at", "decision_created_at")
-    return live.where(F.col("decision_id").isNotNull()).orderBy(newest.desc_nulls_last(), "segment_id")
+    return open_rows.select("segment_id").join(latest, "segment_id").orderBy(newest.desc_nulls_last(), "segment_id")
 
 
-def case_detail(decisions: DataFrame, live: DataFrame, experiments: DataFrame, decision_id: str | None = None) -> DataFrame:
-    """Decision with its live metrics and target experiment; all decisions of open segments when no id is given."""
+def case_detail(
+    decisions: DataFrame, live: DataFrame, experiments: DataFrame, trails: DataFrame, decision_id: str | None = None
+) -> DataFrame:
+    """Decision with its live metrics, target experiment and its text, and audit trail.
+
+    All decisions of open segments when no id is given. A trail longer than a page gives one row per page.
+    """
     if decision_id is not None:
         decisions = decisions.where(F.col("decision_id") == decision_id)
     metric = live.select(
@@ -267,9 +300,11 @@ def case_detail(decisions: DataFrame, live: DataFrame, experiments: DataFrame, d
         "conversion_at_risk_usd", "recommended_action",
     )
     target = experiments.select(
-        F.col("experiment_id").alias("target_experiment_id"), "experiment_name", "observed_lift"
+        F.col("experiment_id").alias("target_experiment_id"), "experiment_name", "observed_lift",
+        F.col("description").alias("experiment_text"),
     )
-    return decisions.join(metric, "segment_id").join(target, "target_experiment_id", "left")
+    found = decisions.join(metric, "segment_id").join(target, "target_experiment_id", "left")
+    return found.join(trails, "decision_id", "left")
 
 
 def next_cases(open_rows: DataFrame, recs: DataFrame, decisions: DataFrame, n: int = 1) -> DataFrame:

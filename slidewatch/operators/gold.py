@@ -62,7 +62,9 @@ def best_proven(experiments: DataFrame, area: str = "checkout") -> DataFrame:
 
 
 def match_experiment(positions: DataFrame, experiments: DataFrame, area: str = "checkout") -> DataFrame:
-    out = positions.join(best_proven(experiments, area), ["cohort", "platform"], "left")
+    # One short row per cohort and platform: two closed lists, so the lookup does not grow with the segments, and the
+    # positions of a frequent pair stay where they are.
+    out = positions.join(F.broadcast(best_proven(experiments, area)), ["cohort", "platform"], "left")
     return out.withColumn("has_matching_experiment", F.col("matching_experiment_id").isNotNull())
 
 
@@ -93,7 +95,8 @@ def neighbor_flag(
         F.max(F.when(F.col("n") == 1, picked)).alias("_first"),
         F.max(F.when(F.col("n") == 2, picked)).alias("_second"),
     )
-    out = positions.join(lookup, "platform", "left")
+    # One row per platform, a closed list of three.
+    out = positions.join(F.broadcast(lookup), "platform", "left")
     chosen = F.when(F.col("_first.cohort") != F.col("cohort"), F.col("_first")).otherwise(F.col("_second"))
     out = out.withColumn("_chosen", chosen)
     return out.withColumns(

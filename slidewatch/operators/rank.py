@@ -37,6 +37,18 @@ def rank_candidates(df: DataFrame, score: str, tie: str, n: int = 50, ascending:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(first, F.col(tie).asc())).cast("long"))
 
 
+def rank_of_one(df: DataFrame, score: str, key: str, value: str, out: str) -> DataFrame:
+    """One row with its rank by ``score`` descending, then ``key``: one more than the number of rows ahead of it."""
+    own = df.where(F.col(key) == value)
+    mine = own.agg(F.struct(F.max(score).alias("score"), F.max(key).alias("key")).alias("_own"))
+    rows = df.withColumn("_own", mine.scalar())
+    score_, own_score = F.col(score), F.col("_own.score")
+    above = F.when(own_score.isNull(), score_.isNotNull()).otherwise(F.coalesce(score_ > own_score, F.lit(False)))
+    ahead = above | (score_.eqNullSafe(own_score) & (F.col(key) < F.col("_own.key")))
+    counted = rows.where(ahead).agg(F.struct((F.count(F.lit(1)) + 1).alias(out)))
+    return own.withColumn("_rank", counted.scalar()).select(*df.columns, F.col(f"_rank.{out}").alias(out))
+
+
 def worst_sliding(positions: DataFrame, n: int = 20) -> DataFrame:
     sliding = positions.where(F.col("conv_band") == "sliding").select(
         "segment_id", "cohort", "platform", "conversion_rate", "conversion_drop", "conversion_at_risk_usd"

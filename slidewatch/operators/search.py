@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidewatch.functions.exprs import bounded
 from slidewatch.functions.text import (
     STOP_WORDS,
     analyse,
@@ -97,8 +96,11 @@ def bm25_top(docs: DataFrame, query: str, n: int, id_col: str, text_col: str) ->
     return best.where("_hit").drop("_hit")
 
 
-def bm25_search(docs: DataFrame, query: str, n: int = 5, id_col: str = "experiment_id", text_col: str = "description", maximum: int = 20) -> DataFrame:
-    return bm25_top(docs, query, bounded(n, maximum), id_col, text_col)
+def bm25_search(docs: DataFrame, query: str, n: int = 5, id_col: str = "experiment_id", text_col: str = "description") -> DataFrame:
+    """The ``n`` best documents; ``n`` is any positive number."""
+    if n < 1:
+        raise ValueError("a search returns at least one document")
+    return bm25_top(docs, query, n, id_col, text_col)
 
 
 def check_dim(vectors: DataFrame, column: str, dim: int) -> DataFrame:

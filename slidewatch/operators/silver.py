@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidewatch.functions.scan import join_by_slice
 from slidewatch.settings import LABEL_SCORES, NOTE_LABELS
 
 SEGMENT_DIMS = ["cohort", "platform", "region"]
@@ -48,10 +49,17 @@ def silver_events(events: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def silver_conv(snapshots: DataFrame, segments: DataFrame, notes: DataFrame) -> DataFrame:
-    """Snapshots with segment dims and note score; a null note keeps a null score."""
+    """Snapshots with segment dims and note score; a null note keeps a null score.
+
+    A frequent note is spread over the days of its snapshots, and rows without a note take no part in the join.
+    """
     dims = segments.select("segment_id", *SEGMENT_DIMS, "segment_summary", "mau")
     scores = notes.select("pm_note_text", "slide_signal_score")
-    return snapshots.join(dims, "segment_id").join(scores, "pm_note_text", "left")
+    rows = snapshots.join(dims, "segment_id")
+    noted = join_by_slice(
+        rows.where(F.col("pm_note_text").isNotNull()), scores, ["pm_note_text"], F.col("snapshot_date"), "left"
+    )
+    return noted.unionByName(rows.where(F.col("pm_note_text").isNull()), allowMissingColumns=True)
 
 
 def silver_flags(flags: DataFrame) -> DataFrame:

@@ -65,6 +65,11 @@ def options_text(ranking):
     return F.array_join(F.transform(ranking, one), ",")
 
 
+def trail_text():
+    """A page of a trail as short text: actions and who took them, in order."""
+    return F.array_join(F.transform("audit_trail", lambda e: F.concat_ws("/", e["action"], e["by"])), ",")
+
+
 # -- sources and sinks -------------------------------------------------------------------------------------------
 
 
@@ -373,7 +378,7 @@ def action_recommendations(t):
 @query
 def parsed_rankings(t):
     """Rankings written as text, some doubly encoded or damaged, and read again."""
-    number = F.substring("segment_id", 5, 7).cast("int")
+    number = F.substring_index("segment_id", "-", -1).cast("long")
     text = gold.ranking_json(F.col("action_ranking"))
     damaged = (
         F.when(number % 5 == 0, F.lit("{not json")).when(number % 5 == 1, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"')))
@@ -550,7 +555,7 @@ def segment_sparkline(t):
 
 @query
 def scatter_points(t):
-    number = F.substring("segment_id", 5, 20).cast("long") * 7919
+    number = F.substring_index("segment_id", "-", -1).cast("long") * 7919
     return metrics.scatter_points(t.position, number)
 
 
@@ -709,13 +714,15 @@ def live_view_of_segment(t):
 
 @query
 def case_list(t):
-    return D.cases(t.live()).select("segment_id", "decision_id", "decision_status", "decided_at", "decision_created_at")
+    return D.cases(t.open_rows, t.decisions).select("segment_id", "decision_id", "decision_status", "decided_at", "decision_created_at")
 
 
 @query
 def case_details(t):
-    return D.case_detail(t.decisions, _queue(t), t.experiments).select(
-        "decision_id", "segment_id", "status", "risk_rank", "conversion_drop", "target_experiment_id", "experiment_name", "observed_lift"
+    found = D.case_detail(t.decisions, _queue(t), t.experiments, t.trails)
+    return found.select(
+        "decision_id", "segment_id", "status", "action_type", "risk_rank", "conversion_drop", "target_experiment_id", "experiment_name",
+        "observed_lift", "experiment_text", "page", F.size("audit_trail").alias("entries"), trail_text().alias("trail"),
     )
 
 
@@ -748,8 +755,7 @@ def audit_rows(t):
 
 @query
 def audit_trails(t):
-    trail = F.array_join(F.transform("audit_trail", lambda e: F.concat_ws("/", e["action"], e["by"])), ",")
-    return t.trails.select("decision_id", "page", F.size("audit_trail").alias("entries"), trail.alias("trail"))
+    return t.trails.select("decision_id", "page", F.size("audit_trail").alias("entries"), trail_text().alias("trail"))
 
 
 @query
@@ -777,13 +783,24 @@ def _redrafts(t):
 
 @query
 def redrafted_decisions(t):
-    applied, _ = D.apply_redrafts(t.decisions, _redrafts(t))
-    return applied.select("decision_id", "status", "drafted_note", F.col("redraft_entry.assist_run_id").alias("redraft_run"))
+    applied, entries, _ = D.apply_redrafts(t.decisions, _redrafts(t))
+    added = entries.groupBy("decision_id").agg(F.count(F.lit(1)).alias("redrafts"))
+    return applied.join(added, "decision_id", "left").select(
+        "decision_id", "status", "drafted_note", F.coalesce("redrafts", F.lit(0)).cast("long").alias("redrafts")
+    )
+
+
+@query
+def redrafted_trails(t):
+    """Trails in which every accepted redraft is an entry of its own."""
+    start = D.audit_entries(t.valid_events.where("action <> 'redrafted'"))
+    whole = D.extend_trail(start, D.apply_redrafts(t.decisions, _redrafts(t))[1])
+    return whole.select("decision_id", "position", "at", "action", "assist_run_id")
 
 
 @query
 def refused_redrafts(t):
-    return D.apply_redrafts(t.decisions, _redrafts(t))[1].select("decision_id", "assist_run_id")
+    return D.apply_redrafts(t.decisions, _redrafts(t))[2].select("decision_id", "assist_run_id")
 
 
 @query

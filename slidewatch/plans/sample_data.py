@@ -280,7 +280,7 @@ class Tables:
     def trails(self) -> DataFrame:
         return D.audit_trail(self.valid_events)
 
-    def live(self, segment_id: str | None = None, limit: int | None = D.LIVE_LIMIT) -> DataFrame:
+    def live(self, segment_id: str | None = None, limit: int | None = D.LIVE_PAGE) -> DataFrame:
         return D.live_view(self.position, self.open_rows, self.recs, self.decisions, segment_id, limit)
 
     @cached_property

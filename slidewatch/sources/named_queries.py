@@ -10,7 +10,7 @@ NAMED_QUERIES: Mapping[str, str] = {
     "daily_refund_trend": """
         SELECT return_date, CAST(round(sum(refund_amount_usd), 2) AS DOUBLE) AS total_refund_usd
         FROM IDENTIFIER(:prefix || 'silver_returns')
-        WHERE return_date >= date_sub(CAST(:as_of AS DATE), 30)
+        WHERE return_date BETWEEN date_sub(CAST(:as_of AS DATE), 30) AND CAST(:as_of AS DATE)
         GROUP BY return_date
         ORDER BY return_date
     """,

@@ -121,9 +121,13 @@ def test_redrafts_only_while_proposed(spark):
         [("a", T0, "old", "r1"), ("a", T0 + datetime.timedelta(1), "new", "r2"), ("b", T0, "late", "r3"), ("zz", T0, "none", "r4")],
         "decision_id string, at timestamp_ntz, drafted_note string, assist_run_id string",
     )
-    applied, refused = D.apply_redrafts(decisions, redrafts)
-    notes = {r["decision_id"]: (r["drafted_note"], r["redraft_entry"] is not None) for r in applied.collect()}
-    assert notes == {"a": ("new", True), "b": ("note 1", False)}
+    applied, entries, refused = D.apply_redrafts(decisions, redrafts)
+    assert {r["decision_id"]: r["drafted_note"] for r in applied.collect()} == {"a": "new", "b": "note 1"}
+    trail = D.extend_trail(D.audit_entries(log(spark, rows)), entries).where("decision_id = 'a'").orderBy("position").collect()
+    assert [(r["position"], r["action"], r["notes"]) for r in trail if r["action"] == "redrafted"] == [
+        (r["position"], "redrafted", n) for r, n in zip([x for x in trail if x["action"] == "redrafted"], ["old", "new"])
+    ]
+    assert len(trail) == 3 and [r["position"] for r in trail] == [1, 2, 3]
     assert sorted(r["assist_run_id"] for r in refused.collect()) == ["r3", "r4"]
 
 
@@ -146,7 +150,11 @@ def test_live_view_ranks_all_and_shows_the_latest_decision(spark):
     assert len(view) == 40 and [r["risk_rank"] for r in view] == list(range(1, 41))
     assert [r["segment_id"] for r in view[:3]] == ["SEG-0000058", "SEG-0000059", "SEG-0000056"]
     assert view[0]["decision_id"] == "y" and view[1]["decision_id"] is None and view[1]["recommended_action"] is None
-    one = D.live_view(positions, open_rows, recs, decisions, "SEG-0000000", 0).collect()
+    one = D.live_view(positions, open_rows, recs, decisions, "SEG-0000000", 1).collect()
+    assert D.live_view(positions, open_rows, recs, decisions, limit=55).count() == 55
+    with pytest.raises(ValueError):
+        D.live_view(positions, open_rows, recs, decisions, limit=0)
+    assert [r["decision_id"] for r in D.cases(open_rows, decisions).collect()] == ["y"]
     assert [(r["segment_id"], r["risk_rank"]) for r in one] == [("SEG-0000000", 59)]
     assert D.live_view(positions, open_rows, recs, decisions, limit=None).count() == 60
     nxt = D.next_cases(open_rows, recs, decisions, 2).orderBy("segment_id").collect()

@@ -53,7 +53,7 @@ def test_rank_with_ties_nulls_and_one_value(spark):
     rng = random.Random(2)
     rows = [(f"SEG-{i:07d}", rng.choice([5.0, 5.0, 5.0, float(rng.randrange(1000)), None])) for i in range(800)]
     df = spark.createDataFrame(rows, "segment_id string, risk double")
-    got = scan.rank_by_value(df, "risk", "segment_id", "r", buckets=16, tie_prefix=9)
+    got = scan.rank_by_value(df, "risk", "segment_id", "r", partitions=5)
     w = Window.orderBy(F.col("risk").desc_nulls_last(), F.col("segment_id").asc())
     want = df.withColumn("r", F.row_number().over(w).cast("long"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -62,6 +62,14 @@ def test_rank_with_ties_nulls_and_one_value(spark):
     assert [r["segment_id"] for r in got.orderBy("r").collect()] == sorted(r[0] for r in rows)
 
 
+def test_one_outlier_does_not_put_all_rows_into_one_range(spark):
+    df = spark.range(20000).selectExpr("cast(id as string) as segment_id", "if(id = 7, 1e12, cast(id % 1000 as double)) as risk")
+    got = scan.rank_by_value(df, "risk", "segment_id", "r", partitions=16)
+    assert got.agg(F.max("r"), F.countDistinct("r")).first()[:] == (20000, 20000)
+    sizes = df.repartitionByRange(16, F.col("risk").desc_nulls_last(), F.col("segment_id")).groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count")).first()[0] < 20000 / 5
+
+
 def test_rank_of_nothing(spark):
     empty = spark.createDataFrame([], "segment_id string, risk double")
     assert scan.rank_by_value(empty, "risk", "segment_id", "r").count() == 0
