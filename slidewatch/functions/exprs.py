@@ -20,7 +20,7 @@ SLIDING_TEXT = "Conversion sliding since the checkout change; a proven variant m
 HEALTHY_TEXT = "Funnel healthy, converting to plan."
 WON_TEXT = "WON: lifted conversion by %s points. A proven variant to replicate for similar cohorts."
 LOST_TEXT = "Did not lift conversion; not recommended."
-EXPERIMENT_TEXT = "Experiment on the %s flow, %s, tested on %s/%s. %s"
+EXPERIMENT_TEXT = "Experiment on the %s flow, %s, tested on %s / %s. %s"
 SEGMENT_TEXT = "%s cohort on %s in %s . %s"
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidewatch.functions.exprs import count_if, percentage
-from slidewatch.operators.metrics import mode_by
 
 RETURN_SORTS = {"anger": "anger_score", "recent": "return_date", "value": "refund_amount_usd"}
 
@@ -34,15 +33,19 @@ def returns_by_product(returns: DataFrame, n: int = 10) -> DataFrame:
 
 
 def worst_lots(lots: DataFrame, products: DataFrame, items: DataFrame, returns: DataFrame, n: int = 20) -> DataFrame:
-    """Lots with at least one return by return rate. Items and returns are added up per lot before any join."""
-    sold = items.groupBy("lot_id").agg(F.sum("quantity").alias("_units"))
+    """Lots with at least one return by return rate. Items and returns are added up per lot before any join.
+
+    One sum per lot and region gives both the units and the most frequent region.
+    """
+    regional = items.groupBy("lot_id", "region").agg(F.sum("quantity").alias("_units"), _n().alias("_lines"))
+    most = F.min(F.struct((-F.col("_lines")).alias("n"), F.col("region").alias("v"))).alias("_most")
+    sold = regional.groupBy("lot_id").agg(F.sum("_units").alias("_units"), most)
+    sold = sold.select("lot_id", "_units", F.col("_most.v").alias("region"))
     back = returns.groupBy("lot_id").agg(_n().alias("return_count"), F.sum("refund_amount_usd").alias("_refund"))
-    region = mode_by(items, "lot_id", "region")
     joined = (
         lots.join(products.select("product_id", "product_name"), "product_id")
         .join(back, "lot_id")  # lots without returns are left out
         .join(sold, "lot_id", "left")
-        .join(region, "lot_id", "left")
     )
     return (
         joined.select(
@@ -87,6 +90,11 @@ def _hidden() -> Column:
     return _tier_is("premium") & F.coalesce(F.col("premium_status_labeled") != "premium", F.lit(True))
 
 
+def _sum_if(condition: Column) -> Column:
+    """Returns of the customers that meet a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("_returns"))), F.lit(0)).cast("long")
+
+
 def city_breakdown(
     returns: DataFrame, customers: DataFrame, tiers: DataFrame, status: str | None = None, lot: int | None = None
 ) -> DataFrame:
@@ -195,13 +203,17 @@ def lot_summary(returns: DataFrame, n: int = 10) -> DataFrame:
 def country_breakdown(
     returns: DataFrame, customers: DataFrame, tiers: DataFrame, status: str | None = None, lot: int | None = None
 ) -> DataFrame:
-    rows = with_tier(_filtered(returns, status, lot).join(customers.select("customer_id", "country"), "customer_id"), tiers)
+    """Returns per country and tier. They are added up per customer first, so each customer is one row in the joins."""
+    per_customer = _filtered(returns, status, lot).groupBy("customer_id").agg(
+        _n().alias("_returns"), F.sum("refund_amount_usd").alias("_refund")
+    )
+    rows = with_tier(per_customer.join(customers.select("customer_id", "country"), "customer_id"), tiers)
     return rows.groupBy("country").agg(
-        _n().alias("total"),
-        count_if(_tier_is("premium")).alias("premium"),
-        count_if(_labelled()).alias("premium_labeled"),
-        count_if(_hidden()).alias("premium_hidden"),
-        _refund().alias("refund_usd"),
+        F.sum("_returns").alias("total"),
+        _sum_if(_tier_is("premium")).alias("premium"),
+        _sum_if(_labelled()).alias("premium_labeled"),
+        _sum_if(_hidden()).alias("premium_hidden"),
+        F.round(F.sum("_refund"), 2).cast("double").alias("refund_usd"),
     )
 
 
@@ -209,17 +221,19 @@ def tier_breakdown(
     returns: DataFrame, customers: DataFrame, tiers: DataFrame, lot: int | None = None, top_countries: int = 3
 ) -> DataFrame:
     """Tier split of the pending returns of one lot, or of every lot, with the most frequent countries."""
-    pending = _filtered(returns, "pending", lot)
+    pending = _filtered(returns, "pending", lot).groupBy("lot_id", "customer_id").agg(
+        _n().alias("_returns"), F.sum("refund_amount_usd").alias("_refund")
+    )
     rows = with_tier(pending.join(customers.select("customer_id", "country"), "customer_id"), tiers)
-    refund = F.col("refund_amount_usd")
+    refund = F.col("_refund")
     zero = F.lit(0).cast("decimal(18,4)")
     per_country = rows.groupBy("lot_id", "country").agg(
-        _n().alias("total"),
-        count_if(_tier_is("premium")).alias("premium_count"),
-        count_if(_tier_is("standard")).alias("standard_count"),
-        count_if(_labelled()).alias("premium_labeled_count"),
-        count_if(_hidden()).alias("premium_predicted_hidden_count"),
-        count_if(F.col("final_tier").isNull()).alias("no_prediction_count"),
+        F.sum("_returns").alias("total"),
+        _sum_if(_tier_is("premium")).alias("premium_count"),
+        _sum_if(_tier_is("standard")).alias("standard_count"),
+        _sum_if(_labelled()).alias("premium_labeled_count"),
+        _sum_if(_hidden()).alias("premium_predicted_hidden_count"),
+        _sum_if(F.col("final_tier").isNull()).alias("no_prediction_count"),
         F.sum(F.when(_tier_is("premium"), refund).otherwise(zero)).alias("_premium_refund"),
         F.sum(F.when(_tier_is("premium"), zero).otherwise(refund)).alias("_standard_refund"),
     )

@@ -64,6 +64,12 @@ def materialize_metrics(positions: DataFrame) -> DataFrame:
     )
 
 
+def store_metrics(positions: DataFrame, path: str) -> DataFrame:
+    """Writes the stored aggregate and reads it back; a refresh overwrites it as a whole."""
+    materialize_metrics(positions).write.mode("overwrite").parquet(path)
+    return positions.sparkSession.read.parquet(path)
+
+
 def rollup_from(stored: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """The eight measures at a coarser grain, from the stored aggregate only."""
 

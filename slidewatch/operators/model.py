@@ -60,8 +60,36 @@ def score_actions(model: PipelineModel, open_rows: DataFrame, scored_at: str) ->
     return recommend(with_net_value(scored), scored_at)
 
 
+def split_outcomes(outcomes: DataFrame, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Outcomes to learn from and outcomes, one part in ``parts`` by a hash of their values, that take no part in it.
+
+    The hash is of the values, so equal outcomes are on one side and the error is that of unseen ones.
+    """
+    values = ["action_type", "had_matching_experiment", "conversion_at_action", "ship_cost_usd", "conversion_lift"]
+    held = F.pmod(F.xxhash64(*values), F.lit(parts)) == 0
+    return outcomes.where(~held), outcomes.where(held)
+
+
+def facts(recs: DataFrame, error: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row of checks: segments scored, options per segment, order and choice by net value, error against the spread."""
+    ranking = F.col("action_ranking")
+    values = F.transform(ranking, lambda o: o["net_value_usd"])
+    ordered = F.forall(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: a >= b), lambda x: x)
+    first = F.get(ranking, 0)
+    rows = recs.agg(
+        F.count(F.lit(1)).alias("segments"), F.count("recommended_action").alias("actions"),
+        F.min(F.size(ranking)).alias("least_options"), F.max(F.size(ranking)).alias("most_options"),
+        F.bool_and(ordered).alias("ordered_by_net_value"),
+        F.bool_and((first["action_type"] == F.col("recommended_action")) & (first["net_value_usd"] == F.col("predicted_net_value_usd"))).alias("first_is_chosen"),
+    )
+    spread = judged.agg(F.struct(F.stddev_pop("conversion_lift").alias("spread")))
+    rmse = error.select(F.struct("rmse"))
+    out = rows.withColumn("_spread", spread.scalar()).withColumn("_rmse", rmse.scalar())
+    return out.withColumn("error_below_spread", F.col("_rmse.rmse") < F.col("_spread.spread")).drop("_spread", "_rmse")
+
+
 def lift_metrics(model: PipelineModel, outcomes: DataFrame) -> DataFrame:
-    """Weighted root mean square error over all outcomes, as one row."""
+    """Weighted root mean square error over ``outcomes``, as one row; give rows that the model has not seen."""
     scored = model.transform(training_rows(outcomes))
     error = (F.col("predicted") - F.col("conversion_lift")) ** 2
     return scored.agg(

@@ -106,13 +106,22 @@ def search_cases(df: DataFrame, text: str, columns: Sequence[str] = ("segment_id
     return df.where(hit)
 
 
-def queue_tab(df: DataFrame, tab: str) -> DataFrame:
-    """Queue tabs over rows with ``conv_band``, ``has_matching_experiment`` and ``decision_status``."""
-    conditions = {
+def _tabs() -> dict[str, Column]:
+    return {
         "all": F.lit(True),
         "sliding": F.col("conv_band") == "sliding",
         "watch": F.col("conv_band") == "watch",
         "has_fix": F.col("has_matching_experiment"),
         "shipping": F.col("decision_status").isin("approved", "committed"),
     }
-    return df.where(conditions[tab])
+
+
+def queue_tab(df: DataFrame, tab: str) -> DataFrame:
+    """Queue tabs over rows with ``conv_band``, ``has_matching_experiment`` and ``decision_status``."""
+    return df.where(_tabs()[tab])
+
+
+def queue_tabs(df: DataFrame, out: str = "tab") -> DataFrame:
+    """Every row once for each tab that shows it; the rows are read once."""
+    names = [F.when(condition, F.lit(name)) for name, condition in _tabs().items()]
+    return df.withColumn(out, F.explode(F.array_compact(F.array(*names))))

@@ -100,6 +100,22 @@ def publish_experiments(t):
     return tables.publish(t.experiments, work_path(t.spark, "sync_experiments"), columns, "experiment_id")
 
 
+@query
+def publish_open_sliding(t):
+    columns = dict.fromkeys(
+        ["segment_id", "cohort", "platform", "region", "mau", "conversion_rate", "conversion_drop", "conversion_at_risk_usd", "conv_band",
+         "has_matching_experiment", "matching_experiment_id", "matching_experiment_lift", "neighbor_flag_key"]
+    )
+    return tables.publish(t.open_rows, work_path(t.spark, "sync_open_sliding"), columns, "segment_id")
+
+
+@query
+def publish_recommendations(t):
+    columns = dict.fromkeys(["segment_id", "recommended_action", "predicted_conversion_lift", "predicted_net_value_usd", "action_ranking"])
+    table = tables.publish(t.recs, work_path(t.spark, "sync_recommendations"), columns, "segment_id")
+    return table.withColumn("action_ranking", options_text("action_ranking"))
+
+
 @query
 def sync_only_when_empty(t):
     path = work_path(t.spark, "mirror")
@@ -125,6 +141,20 @@ def optional_source(t):
     return t.open_rows.join(missing, "segment_id", "left").select("segment_id", "recommended_action")
 
 
+@query
+def reset_everything(t):
+    """All decisions go and every mirror is filled again from its source."""
+    sources = {"segment_positions": t.position, "open_sliding": t.open_rows, "experiments": t.experiments}
+    paths = {name: work_path(t.spark, f"mirror_{name}") for name in sources}
+    decisions = work_path(t.spark, "decisions")
+    t.decisions.write.parquet(decisions)
+    for name in sources:
+        sources[name].limit(1).write.parquet(paths[name])  # what an earlier, partial sync left
+    names = tables.reset_mirrors(t.spark, sources, paths, decisions, t.decisions.schema)
+    mirrors = {name: t.spark.read.parquet(paths[name]) for name in names}
+    return tables.mirror_counts({**mirrors, "decisions": t.spark.read.parquet(decisions)})
+
+
 @query
 def reset_one_segment(t):
     kept, deleted = D.reset_decisions(t.decisions, SEGMENT)
@@ -259,12 +289,9 @@ def _queue(t):
 
 @query
 def queue_tabs(t):
-    live = _queue(t)
-    out = None
-    for tab in ("all", "sliding", "watch", "has_fix", "shipping"):
-        one = rank.queue_tab(live, tab).select("segment_id", F.lit(tab).alias("tab"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    latest = D.latest_decision(t.decisions).select("segment_id", F.col("status").alias("decision_status"))
+    rows = t.open_rows.select("segment_id", "conv_band", "has_matching_experiment").join(latest, "segment_id", "left")
+    return rank.queue_tabs(rows).select("segment_id", "tab")
 
 
 @query
@@ -508,7 +535,7 @@ def segment_metrics_sliding(t):
 
 @query
 def stored_metrics_rollup(t):
-    stored = metrics.materialize_metrics(t.position)
+    stored = metrics.store_metrics(t.position, work_path(t.spark, "segment_metrics"))
     return _rounded(metrics.rollup_from(stored, ["platform", "region"]))
 
 
@@ -858,7 +885,16 @@ def model_recommendations(t):
 
 @query
 def model_metrics(t):
-    return model.lift_metrics(model.train_lift(t.outcomes), t.outcomes)
+    learn, judge = model.split_outcomes(t.outcomes)
+    return model.lift_metrics(model.train_lift(learn), judge)
+
+
+@query
+def model_facts(t):
+    """What holds of the learned recommendations whatever the trees look like; see ``model.facts``."""
+    learn, judge = model.split_outcomes(t.outcomes)
+    fitted = model.train_lift(learn)
+    return model.facts(model.score_actions(fitted, t.open_rows, SCORED_AT), model.lift_metrics(fitted, judge), judge)
 
 
 @query
@@ -1145,6 +1181,17 @@ def stream_mirror(t):
     return rows.select("business_key", "_pg_lsn", "status", "amount")
 
 
+@query
+def compacted_mirror(t):
+    """The mirror's log folded into one plain table."""
+    changes = _change_files(t)
+    stream = rollups.file_stream(t.spark, changes, t.changes.schema, files_per_trigger=4)
+    path = work_path(t.spark, "stream-mirror")
+    mirror.sync_changes(stream, "business_key", path, work_path(t.spark, "stream-mirror-checkpoint"))
+    table = mirror.compact_mirror(t.spark, path, t.changes.schema, "business_key", work_path(t.spark, "mirror-table"))
+    return table.select("business_key", "_pg_lsn", "status", "amount")
+
+
 def _change_files(t):
     """The changes as a landing folder of several files, each row twice, as a feed that repeats deliveries."""
     path = work_path(t.spark, "changes")

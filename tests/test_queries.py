@@ -32,7 +32,7 @@ def test_models_score_every_open_segment(spark, tables):
     assert len(recs) == tables.open_rows.count()
     assert all(r["action_ranking"].count(",") == 2 for r in recs)
     metrics = QUERIES["model_metrics"](spark, SMALL).first()
-    assert metrics["outcomes"] == 6000 and metrics["rmse"] < 0.01
+    assert 0 < metrics["outcomes"] < 6000 and metrics["rmse"] < 0.01
     trials = QUERIES["model_trials"](spark, SMALL).collect()
     assert len(trials) == 12 and trials[0]["rmse"] <= trials[-1]["rmse"]
 
