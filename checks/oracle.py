@@ -690,6 +690,7 @@ UNION ALL SELECT 'slide_ramp', b > a, round(b - a, 6) FROM (SELECT avg(conv.conv
 UNION ALL SELECT 'action_mix', count(DISTINCT recommended_action) > 1, count(DISTINCT recommended_action) FROM rec
 UNION ALL SELECT 'domains', count(*) FILTER (NOT (conversion_rate BETWEEN 0 AND 1 AND mau >= 0)) = 0, 0 FROM pos
 UNION ALL SELECT 'metrics_reconcile', TRUE, 0.0
+UNION ALL SELECT 'recommendation_rows', (SELECT count(*) FROM rec) = (SELECT count(*) FROM opn), (SELECT count(*) FROM rec) - (SELECT count(*) FROM opn)
 UNION ALL SELECT 'unique_segment_id', count(*) = count(DISTINCT segment_id), count(*) - count(DISTINCT segment_id) FROM pos
 UNION ALL SELECT 'orphans_segment_id', count(*) = 0, count(*) FROM dec WHERE segment_id NOT IN (SELECT segment_id FROM pos)"""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,40 @@ def _result(row: DataFrame, name: str, passed: Column, observed: Column) -> Data
     )
 
 
-def check_hero(positions: DataFrame, segment_id: str, cohort: str, platform: str, min_drop: float = 0.01) -> DataFrame:
+class Check(NamedTuple):
+    """A check that is an aggregate of one table: its values, and what they say. ``get`` gives a value by name."""
+
+    name: str
+    values: Mapping[str, Column]
+    passed: Callable[[Callable[[str], Column]], Column]
+    observed: Callable[[Callable[[str], Column]], Column]
+
+
+def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """All checks of one table by one aggregate, so the table is read once; a row per check."""
+    row = df.agg(*[value.alias(f"{c.name}.{v}") for c in checks for v, value in c.values.items()])
+    results = []
+    for c in checks:
+        get = lambda v, name=c.name: F.col(f"`{name}.{v}`")
+        results.append(
+            F.struct(
+                F.lit(c.name).alias("check_name"), F.coalesce(c.passed(get), F.lit(False)).alias("passed"),
+                F.round(c.observed(get).cast("double"), 6).alias("observed"),
+            )
+        )
+    return row.select(F.inline(F.array(*results)))
+
+
+def hero(segment_id: str, cohort: str, platform: str, min_drop: float = 0.01) -> Check:
+    own = F.col("segment_id") == segment_id
     good = (
         (F.col("conv_band") == "sliding") & (F.col("conversion_drop") >= min_drop) & (F.col("cohort") == cohort)
         & (F.col("platform") == platform) & (F.col("conversion_at_risk_usd") > 0)
     )
-    row = positions.where(F.col("segment_id") == segment_id).agg(
-        count_if(good).alias("n"), F.max("conversion_at_risk_usd").alias("v")
+    return Check(
+        "hero_sliding", {"n": count_if(own & good), "v": F.max(F.when(own, F.col("conversion_at_risk_usd")))},
+        lambda v: v("n") == 1, lambda v: F.coalesce(v("v"), F.lit(0.0)),
     )
-    return _result(row, "hero_sliding", F.col("n") == 1, F.coalesce("v", F.lit(0.0)))
 
 
 def check_hero_match(open_rows: DataFrame, segment_id: str) -> DataFrame:
@@ -39,45 +65,46 @@ def check_hero_match(open_rows: DataFrame, segment_id: str) -> DataFrame:
     return _result(row, "hero_has_match", F.col("n") == 1, F.coalesce("v", F.lit(0.0)))
 
 
-def check_cluster(positions: DataFrame, platforms: Sequence[str], min_share: float = 0.5) -> DataFrame:
+def cluster(platforms: Sequence[str], min_share: float = 0.5) -> Check:
     """Share of the sliding segments that is on the given platforms."""
     sliding = F.col("conv_band") == "sliding"
-    row = positions.agg(
-        count_if(sliding & F.col("platform").isin(list(platforms))).alias("n"), count_if(sliding).alias("d")
-    )
-    share = F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(F.lit(0.0))
-    return _result(row, "sliding_cluster", share >= min_share, share)
+    share = lambda v: F.when(v("d") > 0, v("n") / v("d")).otherwise(F.lit(0.0))
+    values = {"n": count_if(sliding & F.col("platform").isin(list(platforms))), "d": count_if(sliding)}
+    return Check("sliding_cluster", values, lambda v: share(v) >= min_share, share)
 
 
-def check_confined(positions: DataFrame, clean_platform: str, min_healthy: float = 0.5) -> DataFrame:
+def confined(clean_platform: str, min_healthy: float = 0.5) -> Check:
     """Most segments are healthy and one platform does not slide. Observed: sliding segments of that platform."""
-    row = positions.agg(
-        count_if((F.col("conv_band") == "sliding") & (F.col("platform") == clean_platform)).alias("n"),
-        count_if(F.col("conv_band") == "healthy").alias("h"),
-        F.count(F.lit(1)).alias("d"),
-    )
-    return _result(row, "anomaly_confined", (F.col("n") == 0) & (F.col("h") >= F.col("d") * min_healthy), F.col("n"))
+    values = {
+        "n": count_if((F.col("conv_band") == "sliding") & (F.col("platform") == clean_platform)),
+        "h": count_if(F.col("conv_band") == "healthy"), "d": F.count(F.lit(1)),
+    }
+    return Check("anomaly_confined", values, lambda v: (v("n") == 0) & (v("h") >= v("d") * min_healthy), lambda v: v("n"))
 
 
-def check_exposure(positions: DataFrame, target_usd: float, healthy: float, sliding: float, tolerance: float = 0.2) -> DataFrame:
+def exposure(target_usd: float, healthy: float, sliding: float, tolerance: float = 0.2) -> Check:
     band = F.col("conv_band")
-    row = positions.agg(
-        F.sum("conversion_at_risk_usd").alias("v"),
-        F.avg(F.when(band == "healthy", F.col("conversion_rate"))).alias("h"),
-        F.avg(F.when(band == "sliding", F.col("conversion_rate"))).alias("s"),
+    values = {
+        "v": F.sum("conversion_at_risk_usd"), "h": F.avg(F.when(band == "healthy", F.col("conversion_rate"))),
+        "s": F.avg(F.when(band == "sliding", F.col("conversion_rate"))),
+    }
+    near = lambda c, t: F.abs(c - t) <= t * tolerance
+    return Check(
+        "exposure", values, lambda v: near(v("v"), target_usd) & near(v("h"), healthy) & near(v("s"), sliding), lambda v: v("v")
     )
-    near = lambda c, t: F.abs(F.col(c) - t) <= t * tolerance
-    return _result(row, "exposure", near("v", target_usd) & near("h", healthy) & near("s", sliding), F.col("v"))
 
 
-def check_signal(positions: DataFrame) -> DataFrame:
+def signal() -> Check:
     """Mean note signal: sliding at least 0.6, healthy at most 0.2. A missing score counts as 0.1."""
     score = F.coalesce("slide_signal_score", F.lit(0.1))
-    row = positions.agg(
-        F.avg(F.when(F.col("conv_band") == "sliding", score)).alias("s"),
-        F.avg(F.when(F.col("conv_band") == "healthy", score)).alias("h"),
-    )
-    return _result(row, "signal_separates", (F.col("s") >= 0.6) & (F.col("h") <= 0.2), F.col("s") - F.col("h"))
+    values = {
+        "s": F.avg(F.when(F.col("conv_band") == "sliding", score)), "h": F.avg(F.when(F.col("conv_band") == "healthy", score)),
+    }
+    return Check("signal_separates", values, lambda v: (v("s") >= 0.6) & (v("h") <= 0.2), lambda v: v("s") - v("h"))
+
+
+def check_signal(positions: DataFrame) -> DataFrame:
+    return run_checks(positions, [signal()])
 
 
 def check_note_dedup(snapshots: DataFrame, max_share: float = 0.1) -> DataFrame:
@@ -112,14 +139,25 @@ def check_action_mix(recs: DataFrame) -> DataFrame:
     return _result(row, "action_mix", F.col("n") > 1, F.col("n"))
 
 
-def check_domains(positions: DataFrame) -> DataFrame:
+def domains() -> Check:
     """Observed: rows that break a domain or range rule."""
     good = (
         F.col("platform").isin("ios", "android", "web") & F.col("conv_band").isin("sliding", "watch", "healthy")
         & F.col("conversion_rate").between(0, 1) & (F.col("mau") >= 0)
     )
-    row = positions.agg(count_if(~F.coalesce(good, F.lit(False))).alias("bad"), F.count(F.lit(1)).alias("n"))
-    return _result(row, "domains", (F.col("bad") == 0) & (F.col("n") > 0), F.col("bad"))
+    values = {"bad": count_if(~F.coalesce(good, F.lit(False))), "n": F.count(F.lit(1))}
+    return Check("domains", values, lambda v: (v("bad") == 0) & (v("n") > 0), lambda v: v("bad"))
+
+
+def check_domains(positions: DataFrame) -> DataFrame:
+    return run_checks(positions, [domains()])
+
+
+def check_row_counts(name: str, one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables that should have a row for the same things have as many. Observed: the difference."""
+    left = one.agg(F.count(F.lit(1)).alias("a"))
+    row = attach_scalar(left, other.agg(F.count(F.lit(1)).alias("b")))
+    return _result(row, name, F.col("a") == F.col("b"), F.col("a") - F.col("b"))
 
 
 def check_reconcile(positions: DataFrame) -> DataFrame:

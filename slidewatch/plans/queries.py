@@ -1236,18 +1236,20 @@ def stream_budget_alerts(t):
 def quality_checks(t):
     return quality.all_checks(
         {
-            "hero": quality.check_hero(t.position, SEGMENT, "HOUSEHOLD", "ios"),
+            "positions": quality.run_checks(
+                t.position,
+                [
+                    quality.hero(SEGMENT, "HOUSEHOLD", "ios"), quality.cluster(["android", "web"]), quality.confined("ios"),
+                    quality.exposure(30_000_000.0, 0.2, 0.1), quality.signal(), quality.domains(),
+                ],
+            ),
             "hero_match": quality.check_hero_match(t.open_rows, SEGMENT),
-            "cluster": quality.check_cluster(t.position, ["android", "web"]),
-            "confined": quality.check_confined(t.position, "ios"),
-            "exposure": quality.check_exposure(t.position, 30_000_000.0, 0.2, 0.1),
-            "signal": quality.check_signal(t.position),
             "dedup": quality.check_note_dedup(t.snapshots),
             "learnable": quality.check_learnable(t.outcomes),
             "ramp": quality.check_ramp(t.conv, t.position, "2024-01-15"),
             "mix": quality.check_action_mix(t.recs),
-            "domains": quality.check_domains(t.position),
             "reconcile": quality.check_reconcile(t.position),
+            "rows": quality.check_row_counts("recommendation_rows", t.recs, t.open_rows),
             "keys": quality.check_keys(t.position, "segment_id"),
             "orphans": quality.check_orphans(t.decisions, t.position, "segment_id"),
         }
