@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidewatch.functions.exprs import count_if
-from slidewatch.functions.scan import join_by_slice, row_position
+from slidewatch.functions.scan import row_position
 from slidewatch.operators.gold import parse_ranking
 from slidewatch.operators.rank import latest_per_key, rank_candidates, rank_of_one, risk_rank
 from slidewatch.settings import ACTIONS, DECISION_STATUSES
@@ -39,32 +39,51 @@ def rollout_in_range(pct: Column) -> Column:
     return F.coalesce((pct >= 1) & (pct <= 100), F.lit(False))
 
 
-def stage_moments(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
-    """One row per decision: when it was proposed, approved (and by whom) and committed.
+def _stages(events: DataFrame, slice_unit: str) -> tuple[DataFrame, DataFrame]:
+    """Events with their slice, and one row per (decision, slice) with what is known of the whole decision.
 
     The life cycle never returns from ``proposed``, so its stages are first moments: the first proposal is always
-    accepted; the approval is the first one in range after it; the commit is the first one after that, if an
-    approver is recorded. Each is a conditional minimum, which combines before the shuffle, so a decision that
-    holds a large share of all events is still one row per map task.
+    accepted; the approval is the first one in range after it; the commit is the first one after that, if an approver is
+    recorded. Events are shuffled once, on decision and slice. A slice tells its first proposal, its first approval and
+    commit, and the first ones after the proposal or approval that falls into the slice itself; from these short rows the
+    stages of the decision follow, however many events it has.
     """
-    proposed = events.where(_is("proposed")).groupBy("decision_id").agg(F.min(_moment()).alias("proposed_at"))
-    in_range = events.where(_is("approved") & rollout_in_range(F.col("rollout_pct")))
-    approvals = join_by_slice(in_range, proposed, ["decision_id"], F.date_trunc(slice_unit, "at"))
-    approval = (
-        approvals.where(_moment() > F.col("proposed_at"))
-        .groupBy("decision_id")
-        .agg(F.min(F.struct("at", "event_id", "by", "rollout_pct")).alias("approval"))
-        .select(
-            "decision_id", F.struct("approval.at", "approval.event_id").alias("approved_at"),
-            F.col("approval.by").alias("approved_by"), F.col("approval.rollout_pct").alias("approved_pct"),
-        )
+    sliced = events.withColumn("_slice", F.date_trunc(slice_unit, "at"))
+    here = Window.partitionBy("decision_id", "_slice")
+    moment = _moment()
+    approval = F.when(_is("approved") & rollout_in_range(F.col("rollout_pct")), F.struct("at", "event_id", "by", "rollout_pct"))
+    commit = F.when(_is("committed"), moment)
+    after = lambda name: moment > F.struct(F.col(f"{name}.at"), F.col(f"{name}.event_id"))
+    early = F.when(F.col("action").isin("investigating", "investigation_failed"), F.struct("at", "event_id", "action"))
+    known = sliced.select(
+        "decision_id", "_slice", "at", "event_id", "action", approval.alias("_approval"), commit.alias("_commit"), early.alias("_early"),
+        F.min(F.when(_is("proposed"), moment)).over(here).alias("_proposal"),
+    )
+    known = known.withColumns(
+        {"_first": F.min("_approval").over(here), "_next": F.min(F.when(after("_proposal"), F.col("_approval"))).over(here)}
     )
-    with_approver = approval.where(F.col("approved_by").isNotNull())
-    commits = join_by_slice(events.where(_is("committed")), with_approver, ["decision_id"], F.date_trunc(slice_unit, "at"))
-    commit = (
-        commits.where(_moment() > F.col("approved_at")).groupBy("decision_id").agg(F.min(_moment()).alias("committed_at"))
+    slices = known.groupBy("decision_id", "_slice").agg(
+        F.min("_proposal").alias("_proposal"), F.min("_first").alias("_first"), F.min("_next").alias("_next"),
+        F.min("_commit").alias("_commit"), F.min(F.when(after("_first"), F.col("_commit"))).alias("_commit_first"),
+        F.min(F.when(after("_next"), F.col("_commit"))).alias("_commit_next"), F.max("_early").alias("_edge"),
+    )
+    whole = Window.partitionBy("decision_id")
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.date_trunc(slice_unit, F.col("proposed_at.at"))
+    slices = slices.withColumn("proposed_at", F.min("_proposal").over(whole))
+    slices = slices.withColumn(
+        "_chosen", F.min(F.when(F.col("_slice") == start, F.col("_next")).when(F.col("_slice") > start, F.col("_first"))).over(whole)
+    )
+    given = F.date_trunc(slice_unit, F.col("_chosen.at"))
+    own = F.when(F.col("_slice") == start, F.col("_commit_next")).otherwise(F.col("_commit_first"))
+    last = F.when(F.col("_slice") == given, own).when(F.col("_slice") > given, F.col("_commit"))
+    return sliced, slices.select(
+        "decision_id", "_slice", "proposed_at",
+        F.when(F.col("_chosen").isNotNull(), F.struct("_chosen.at", "_chosen.event_id")).alias("approved_at"),
+        F.col("_chosen.by").alias("approved_by"),
+        F.min(F.when(F.col("_chosen.by").isNotNull(), last)).over(whole).alias("committed_at"),
+        F.last("_edge.action", ignorenulls=True).over(earlier).alias("_carried"),
     )
-    return proposed.join(approval, "decision_id", "left").join(commit, "decision_id", "left")
 
 
 def validate_transitions(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
@@ -74,14 +93,9 @@ def validate_transitions(events: DataFrame, slice_unit: str = "hour") -> DataFra
     when the preceding one of the two differs (a first failure is rejected). Events are shuffled once, on decision
     and time slice; what is known of a decision and of its earlier slices comes as one row per slice.
     """
-    sliced = events.withColumn("_slice", F.date_trunc(slice_unit, "at"))
+    sliced, per_slice = _stages(events, slice_unit)
     early = F.col("action").isin("investigating", "investigation_failed")
     inside = Window.partitionBy("decision_id", "_slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("decision_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    edges = sliced.groupBy("decision_id", "_slice").agg(F.max(F.when(early, F.struct("at", "event_id", "action"))).alias("_edge"))
-    per_slice = edges.select(
-        "decision_id", "_slice", F.last("_edge.action", ignorenulls=True).over(across).alias("_carried")
-    ).join(stage_moments(events, slice_unit), "decision_id", "left")
     joined = sliced.withColumn("_local", F.last(F.when(early, F.col("action")), ignorenulls=True).over(inside)).join(
         per_slice, ["decision_id", "_slice"]
     )

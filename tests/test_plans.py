@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from slidewatch.operators import commerce, gold, metrics, rank, silver
 from slidewatch.operators import decisions as D
+from slidewatch.plans.queries import QUERIES as REGISTERED
 from tests.conftest import SMALL
+from tests.test_skew import settings
 
-BATCH = [n for n in entry.queries() if not n.startswith(("stream_", "model_", "learned_"))]
+BATCH = [n for n in REGISTERED if not n.startswith(("stream_", "model_", "learned_"))]
 
 
 def plan(df):
@@ -50,10 +52,10 @@ def test_top_rows_per_group_are_cut_before_the_shuffle(tables):
     assert "WindowGroupLimit" in text
 
 
-def test_ranking_windows_without_a_key_see_only_buckets(tables):
+def test_the_ranking_window_without_a_key_sees_one_row_per_range(tables):
     text = plan(rank.risk_rank(tables.open_rows))
-    lonely = [line for line in text.splitlines() if "Window [" in line and "windowspecdefinition(_bucket" in line and "Window [sum(_bucket_rows" not in line]
-    assert not [line for line in lonely if "], [_bucket" not in line and "[_bucket#" not in line]
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert len(windows) == 1 and "_rows" in windows[0] and "_range" in windows[0]
 
 
 def test_actions_are_made_without_a_shuffle(tables):
@@ -84,7 +86,10 @@ def test_bm25_shuffles_counts_and_not_texts(spark, tables):
 
 def test_no_plan_depends_on_a_forced_broadcast_of_segments(tables):
     logical = gold.open_sliding(tables.position, tables.experiments, tables.silver_flags, tables.segments)
-    assert "strategy=broadcast" not in logical._jdf.queryExecution().analyzed().toString()
+    text = logical._jdf.queryExecution().analyzed().toString()
+    # Only the two lookups by cohort and platform are hinted, and those are aggregates.
+    hinted = [after.split("Aggregate [")[1][:30] for after in text.split("strategy=broadcast")[1:]]
+    assert len(hinted) == 2 and all(h.startswith(("tested_cohort", "platform")) for h in hinted), hinted
 
 
 def test_written_tables_are_written_once(spark, tables):
@@ -93,3 +98,13 @@ def test_written_tables_are_written_once(spark, tables):
     again = Tables(spark, SMALL)
     assert again.position.inputFiles() == tables.position.inputFiles()
     assert tables.position.agg(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_transitions_read_the_events_twice_and_shuffle_them_twice(spark, tables):
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        checked = D.validate_transitions(tables.decision_events)
+        checked.collect()
+        ran = checked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("FileScan") <= 2
+    # Two of them carry events; the others one row per decision and slice.
+    assert ran.count("Exchange hashpartitioning") <= 4
