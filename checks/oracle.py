@@ -310,13 +310,28 @@ FROM conversations GROUP BY conv_id"""
 
 
 def terms_sql(text: str) -> str:
+    """Words without stop words, reduced to stems by the suffix rules, one list step after the other."""
     stop = (
-        "'a','an','and','are','as','at','be','but','by','for','from','if','in','into','is','it','no','not','of','on','or','such',"
-        "'that','the','their','then','there','these','they','this','to','was','will','with'"
+        "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they "
+        "them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does "
+        "did doing a an the and but if or because as until while of at by for with about against between into through during before after "
+        "above below to from up down in out on off over under again further then once here there when where why how all any both each few "
+        "more most other some such no nor not only own same so than too very s t can will just don should now"
     )
-    return f"""list_transform(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({stop})),
-      lambda w: CASE WHEN length(w) > 4 AND suffix(w, 'ies') THEN w[:-4] || 'y'
-                     WHEN length(w) > 3 AND suffix(w, 's') AND NOT suffix(w, 'ss') AND NOT suffix(w, 'us') THEN w[:-2] ELSE w END)"""
+    found = f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ('" + "','".join(stop.split()) + "'))"
+    steps = [
+        "CASE WHEN suffix(w, 'sses') THEN w[:-3] WHEN regexp_matches(w, '^..+ie[sd]$') THEN w[:-3] WHEN regexp_matches(w, '^.ie[sd]$') THEN w[:-2] "
+        "WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN w[:-2] ELSE w END",
+        "CASE WHEN regexp_matches(w, '^[^aeiouy]*[aeiouy]+[^aeiouy].*eed(ly)?$') THEN regexp_replace(w, 'eed(ly)?$', 'ee') "
+        "WHEN regexp_matches(w, 'eed(ly)?$') THEN w "
+        "WHEN regexp_matches(w, '[aeiouy].*(ed|edly|ing|ingly)$') THEN regexp_replace(w, '(ed|edly|ing|ingly)$', '+') ELSE w END",
+        "CASE WHEN regexp_matches(w, '(at|bl|iz)\\+$') THEN w[:-2] || 'e' WHEN regexp_matches(w, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)\\+$') THEN w[:-3] "
+        "WHEN regexp_matches(w, '^[^aeiouy]*[aeiouy][^aeiouywx]\\+$') THEN w[:-2] || 'e' WHEN suffix(w, '+') THEN w[:-2] ELSE w END",
+        "CASE WHEN regexp_matches(w, '^.+[^aeiouy]y$') THEN w[:-2] || 'i' ELSE w END",
+    ]
+    for step in steps:
+        found = f"list_transform({found}, lambda w: {step})"
+    return found
 
 
 def bm25_sql(docs: str, id_col: str, text_col: str, query_words: str) -> str:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidewatch.functions.text import (
-    STOP_WORDS,
     analyse,
     analyse_words,
-    fold_plural,
-    surface_forms,
+    stem_prefix,
+    stems,
     without_stop_words,
     words,
 )
@@ -32,11 +32,11 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFra
     so the corpus itself is never shuffled, only its hits.
     """
     rows = spread(docs.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("_words"))
-    rows = rows.select(id_col, "_words", F.size(without_stop_words(F.col("_words"))).alias("_length"))
+    rows = rows.select(id_col, without_stop_words(F.col("_words")).alias("_words"))
+    rows = rows.select(id_col, stems(F.col("_words")).alias("_words"), F.size("_words").alias("_length"))
     corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length")))
     # explode_outer: from a plain explode Spark infers a filter on the array and would cut the text twice for it.
-    hits = rows.select(id_col, "_length", F.explode_outer("_words").alias("_word")).where(~F.col("_word").isin(STOP_WORDS))
-    hits = hits.select(id_col, "_length", fold_plural(F.col("_word")).alias("term"))
+    hits = rows.select(id_col, "_length", F.explode_outer("_words").alias("term")).where(F.col("term").isNotNull())
     if term_rows is not None:
         hits = hits.join(term_rows.select("term").distinct(), "term", "left_semi")
     counted = hits.groupBy(id_col, "_length", "term").agg(F.count(F.lit(1)).alias("_tf"))
@@ -49,8 +49,8 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFra
     return counted.join(idf, "term").select(id_col, "term", weight.alias("weight"))
 
 
-def _occurrences(forms: Sequence[str]) -> Column:
-    return F.size(F.filter("_hits", lambda w: w.isin(list(forms))))
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_hits", lambda w: w == term))
 
 
 def inverse_frequency(n_docs: Column, n_hits: Column) -> Column:
@@ -70,14 +70,14 @@ def bm25_top(docs: DataFrame, query: str, n: int, id_col: str, text_col: str) ->
     terms = sorted(set(analyse_words(query)))
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("relevance")).limit(0)
-    forms = [surface_forms(t) for t in terms]
-    wanted = [f for group in forms for f in group]
+    # Few words begin like a query term; only those are reduced to their stems.
+    begins = "^(" + "|".join(sorted({re.escape(stem_prefix(t)) for t in terms})) + ")"
     rows = spread(docs.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("_words"))
     rows = rows.select(
         id_col, F.size(without_stop_words(F.col("_words"))).alias("_length"),
-        F.filter("_words", lambda w: w.isin(wanted)).alias("_hits"),
+        stems(F.filter(without_stop_words(F.col("_words")), lambda w: w.rlike(begins))).alias("_hits"),
     )
-    rows = rows.select(id_col, "_length", F.array(*[_occurrences(group) for group in forms]).alias("_tf"))
+    rows = rows.select(id_col, "_length", F.array(*[_occurrences(term) for term in terms]).alias("_tf"))
     rows = rows.repartition(id_col)
     hits = [F.count(F.when(F.col("_tf")[i] > 0, 1)) for i in range(len(terms))]
     corpus = rows.agg(
