@@ -72,7 +72,7 @@ def test_bounded():
 
 def test_texts(spark):
     text = X.experiment_description(F.lit("checkout"), F.lit("variant_a"), F.lit("gen_z"), F.lit("android"), F.lit(True), F.lit(0.0225))
-    assert value(spark, text).startswith("Experiment on the checkout flow, variant_a, tested on gen_z/android. WON: lifted conversion by 2.25 points.")
+    assert value(spark, text).startswith("Experiment on the checkout flow, variant_a, tested on gen_z / android. WON: lifted conversion by 2.25 points.")
     assert value(spark, X.experiment_name(F.lit("checkout"), F.lit("variant_a"), F.lit("gen_z"))) == "Checkout variant_a [gen_z]"
 
 
