@@ -24,13 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +41,8 @@ RUN = 3
 SLOTS = 1 << 16
 #: Words that are cut into super-k-mers at once, a bound of a task's memory.
 CHUNK_WORDS = 600_000
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 #: Windows of one super-k-mer at most; equal words in a row share a minimiser without end.
 LONGEST = 64
 #: Buckets per shuffle partition: a bucket is held in memory as a whole, a partition is not.
@@ -87,19 +87,41 @@ def _power(exponent: int) -> np.uint64:
     return np.uint64(pow(int(_MIX[0]), exponent, 1 << 64))
 
 
-class WordHashes(dict):
-    """XXH64 of words, kept for the words seen lately."""
+@lru_cache(maxsize=2)
+def _byte_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    base = int(_MIX[1])
+    both = np.ones((2, n), np.uint64)
+    both[0, 1:], both[1, 1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+    return tuple(np.multiply.accumulate(both, axis=1))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and a hash of each word of ``line``, whose words are separated by single blanks.
 
-def chunks(batches, chunk_words: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
-    """(doc ids, text checksums, words) of runs of documents with about ``chunk_words`` words."""
-    ids, crcs, texts, size = [], [], [], 0
+    A word's hash is a difference of running sums over its bytes, so no word becomes a Python object.
+    """
+    data = np.frombuffer(line, np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    out = np.empty(len(ends), np.uint64)
+    at = 0
+    while at < len(ends):
+        base = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        part = data[base : int(ends[stop - 1])].astype(np.uint64)
+        up, down = _byte_powers(max(BLOCK, len(part)) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        first, last = starts[at:stop] - base, ends[at:stop] - base
+        out[at:stop] = (sums[last] - sums[first]) * down[first]
+        at = stop
+    return starts, ends, spread_bits(out)
+
+
+def chunks(batches, chunk_words: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(doc ids, text checksums, words joined by a blank) of runs of documents with about ``chunk_words`` words."""
+    ids, crcs, lines, size = [], [], [], 0
     for batch_ids, batch_texts in batches:
         for doc, text in zip(batch_ids, batch_texts):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -108,23 +130,23 @@ def chunks(batches, chunk_words: int) -> Iterator[tuple[list[int], list[int], li
                 continue
             ids.append(doc)
             crcs.append(zlib.crc32(data))
-            texts.append(words)
+            lines.append(b" ".join(words))
             size += len(words)
             if size >= chunk_words:
-                yield ids, crcs, texts
-                ids, crcs, texts, size = [], [], [], 0
+                yield ids, crcs, lines
+                ids, crcs, lines, size = [], [], [], 0
     if ids:
-        yield ids, crcs, texts
+        yield ids, crcs, lines
 
 
 class Cut:
     """Super-k-mers of a chunk: first word, number of windows and slot of each; all places count words of the chunk."""
 
-    def __init__(self, texts: list[list[bytes]], hashes: WordHashes):
-        lengths = np.array([*map(len, texts)])
-        self.words = [w for words in texts for w in words]
+    def __init__(self, lines: list[bytes]):
+        lengths = np.array([line.count(b" ") + 1 for line in lines])
+        self.line = b" ".join(lines)
         self.ends = np.cumsum(lengths)
-        self.x = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
+        self.word_starts, self.word_ends, self.x = word_hashes(self.line)
         least = sliding_min(window_hashes(self.x, RUN), WINDOW - RUN + 1)
         starts = np.arange(len(least))
         inside = starts + WINDOW <= np.repeat(self.ends, lengths)[: len(least)]
@@ -178,16 +200,15 @@ def unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     return body[24 : 24 + size].split(b"\n"), counts, docs, crcs, starts
 
 
-def packs(ids: list[int], crcs: list[int], texts: list[list[bytes]], hot: np.ndarray, buckets: int, hashes: WordHashes):
+def packs(ids: list[int], crcs: list[int], lines: list[bytes], hot: np.ndarray, buckets: int):
     """(bucket, pack) of each bucket that a chunk has super-k-mers for."""
-    cut = Cut(texts, hashes)
+    cut = Cut(lines)
     bucket = cut.split_hot(hot, buckets)
     if not len(bucket):
         return
-    joined = b" ".join(cut.words)
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut.words), np.int64, len(cut.words)) + 1)])
-    begins = offsets[cut.first].tolist()
-    stops = (offsets[cut.first + cut.windows + WINDOW - 1] - 1).tolist()
+    joined = cut.line
+    begins = cut.word_starts[cut.first].tolist()
+    stops = cut.word_ends[cut.first + cut.windows + WINDOW - 2].tolist()
     known: dict[bytes, int] = {}
     group = np.array([known.setdefault(joined[a:b], len(known)) for a, b in zip(begins, stops)])
     strings = list(known)
@@ -240,10 +261,9 @@ def repeats(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     order = np.lexsort((start, crc, doc))
     doc, crc, start, string = doc[order], crc[order], start[order], string[order]
     sizes = sizes[string]
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    words = b" ".join([strings[k] for k in string.tolist()]).split(b" ")
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    mixed = window_hashes(spread_bits((ids.astype(np.uint64) + np.uint64(1)) * _MIX[1]), WINDOW)
+    line = b" ".join([strings[k] for k in string.tolist()])
+    word_starts, word_ends, x = word_hashes(line)
+    mixed = window_hashes(x, WINDOW)
     n = sizes - WINDOW + 1
     owner = np.repeat(np.arange(len(sizes)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -259,13 +279,13 @@ def repeats(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     front = at[order][np.maximum.accumulate(np.where(head, place, 0))]
     members = np.flatnonzero(~head)
     mine, theirs = at[order[members]], front[members]
-    equal = np.ones(len(members), bool)
-    for k in range(WINDOW):
-        equal &= ids[mine + k] == ids[theirs + k]
+    places = [word_starts[mine], word_ends[mine + WINDOW - 1], word_starts[theirs], word_ends[theirs + WINDOW - 1]]
+    same_bytes = (line[a:b] == line[c:d] for a, b, c, d in zip(*[p.tolist() for p in places]))
+    equal = np.fromiter(same_bytes, bool, len(members))
     marked = np.zeros(len(at), bool)
     marked[order[members[equal]]] = True
     for h in set(ranked[members[~equal]].tolist()):
-        _mark_by_words(h, value, at, ids, marked)
+        _mark_by_words(h, value, line, word_starts[at], word_ends[at + WINDOW - 1], marked)
     hit = np.flatnonzero(marked)
     if len(hit):
         gap = np.ones(len(hit), bool)
@@ -277,11 +297,11 @@ def repeats(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _mark_by_words(h: int, value: np.ndarray, at: np.ndarray, ids: np.ndarray, marked: np.ndarray) -> None:
+def _mark_by_words(h: int, value: np.ndarray, line: bytes, starts: np.ndarray, ends: np.ndarray, marked: np.ndarray) -> None:
     """Windows of one hash value that different words share: marked by the words alone."""
     seen = set()
     for k in np.flatnonzero(value == np.uint64(h)).tolist():
-        words = ids[at[k] : at[k] + WINDOW].tobytes()
+        words = line[starts[k] : ends[k]]
         marked[k] = words in seen
         seen.add(words)
 
@@ -291,9 +311,9 @@ def _spans(docs: DataFrame, buckets: int, slots: int) -> DataFrame:
     spark = docs.sparkSession
 
     def loads(batches):
-        total, hashes = np.zeros(slots, np.int64), WordHashes()
-        for _, _, texts in chunks(batches, CHUNK_WORDS):
-            cut = Cut(texts, hashes)
+        total = np.zeros(slots, np.int64)
+        for _, _, lines in chunks(batches, CHUNK_WORDS):
+            cut = Cut(lines)
             total += np.bincount(cut.slots(slots), cut.windows, slots).astype(np.int64)
         used = np.flatnonzero(total)
         yield used.tolist(), total[used].tolist()
@@ -309,9 +329,8 @@ def _spans(docs: DataFrame, buckets: int, slots: int) -> DataFrame:
     hot[over] = True
 
     def sent(batches):
-        hashes = WordHashes()
-        for ids, crcs, texts in chunks(batches, CHUNK_WORDS):
-            rows = list(packs(ids, crcs, texts, hot, buckets, hashes))
+        for ids, crcs, lines in chunks(batches, CHUNK_WORDS):
+            rows = list(packs(ids, crcs, lines, hot, buckets))
             yield [b for b, _ in rows], [d for _, d in rows]
 
     packed = map_rows(docs, "bucket int, pack binary", sent)

@@ -60,8 +60,8 @@ def test_substring_dedup_of_nothing(no_docs):
 
 def test_windows_are_compared_by_words_when_hashes_collide(monkeypatch):
     monkeypatch.setattr(super_kmers, "spread_bits", lambda x: x & np.uint64(1))
-    texts = [[f"a{k}".encode() for k in range(25)], [f"b{k}".encode() for k in range(25)], [f"a{k}".encode() for k in range(25)]]
-    held = [d for _, d in super_kmers.packs([1, 2, 3], [0, 0, 0], texts, np.zeros(16, bool), 1, super_kmers.WordHashes())]
+    lines = [" ".join(f"{c}{k}" for k in range(25)).encode() for c in "aba"]
+    held = [d for _, d in super_kmers.packs([1, 2, 3], [0, 0, 0], lines, np.zeros(16, bool), 1)]
     doc, _, start, stop = super_kmers.repeats(held)
     removed = Counter()
     for d, a, b in zip(doc.tolist(), start.tolist(), stop.tolist()):
@@ -69,6 +69,15 @@ def test_windows_are_compared_by_words_when_hashes_collide(monkeypatch):
     assert set(removed) == {(3, k) for k in range(25)}
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    monkeypatch.setattr(super_kmers, "BLOCK", 16)
+    words = [b"a", b"b", b"ab", b"ba", b"a", b"x" * 50, b"\xc3\xa9", b"aa", b"x" * 50]
+    starts, ends, found = super_kmers.word_hashes(b" ".join(words))
+    line = b" ".join(words)
+    assert [line[a:b] for a, b in zip(starts, ends)] == words
+    assert all((found[i] == found[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+
+
 def brute_fingerprint(text):
     words = BLANK_WORD.findall(lower(text or ""))
     if not words:
