@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -63,6 +63,16 @@ def _parse(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def as_key(column: Column) -> Column:
+    """A value as text that is never null, so that joins and grouping by it share one shuffle."""
+    return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), column.cast("string")))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The whole row as one column ``_row``, so that columns added beside it clash with none of its own."""
+    return df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("_row"))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns (``new=old``), so that extra columns of any name do no harm."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import WORD, pick
+from slidewatch.llm.common import WORD, as_key, packed, pick
 from slidewatch.session import work_path
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -215,7 +215,7 @@ def mix(
     blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     words = F.col("size") if whole else F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words)
     # A key for sources without nulls, so that windows and joins by source share one shuffle.
-    owner = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    owner = as_key(F.col("source"))
     blocks = blocks.withColumn("words", words.cast("long")).withColumn("owner", owner).withColumn(
         "mark", F.xxhash64(F.lit(seed), "owner", "doc_id", "text_hash", "copy", "block")
     ).withColumn("bin", F.pmod(F.shiftrightunsigned("mark", 40), F.lit(bins)).cast("int"))
@@ -295,17 +295,16 @@ def mixed_documents(
     Draws are counted per document content, so equal rows are drawn together and a text is moved once.
     """
     drawn = mix(docs, weights, most, depth, seed, None, BINS, id_col, text_col, source_col).where("shard is not null")
-    key = ["doc_id", "source", "text_hash"]
-    times = drawn.groupBy(*key).agg(F.collect_list(F.struct("shard", "place", "copy")).alias("_draws"))
-    times = times.select(*[F.col(k).alias(f"_mix_{k}") for k in key], "_draws")
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    one = docs.withColumn("_mix_hash", F.xxhash64(F.col(f"`{text_col}`"), F.lit(SEED)))
-    # Equal rows: the first takes all draws of the content. Their number is bounded by passes times copies.
-    joined = one.dropDuplicates([id_col, source_col, "_mix_hash"]).join(
-        times,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_doc_id"))
-        & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_mix_source"))
-        & (F.col("_mix_hash") == F.col("_mix_text_hash")),
+    key = ["_id", "_source", "_hash"]
+    drawn = drawn.select(as_key(F.col("doc_id")).alias("_id"), as_key(F.col("source")).alias("_source"), F.col("text_hash").alias("_hash"), "shard", "place")
+    times = drawn.groupBy(*key).agg(F.collect_list(F.struct("shard", "place")).alias("_draws"))
+    own = packed(docs).select(
+        "_row", as_key(F.col("_row")[id_col]).alias("_id"), as_key(F.col("_row")[source_col]).alias("_source"),
+        F.xxhash64(F.col("_row")[text_col], F.lit(SEED)).alias("_hash"),
     )
-    rows = joined.select(*names, F.explode("_draws").alias("_draw"))
-    return rows.repartition("_draw.shard", F.pmod("_draw.place", F.lit(64))).sortWithinPartitions("_draw.shard", "_draw.place").select(*names)
+    # Equal rows: one takes all draws of their content. Their number is bounded by passes times copies. The removal of the
+    # others shares the join's shuffle of the texts.
+    joined = own.join(times, key).dropDuplicates(key)
+    rows = joined.select("_row", F.explode("_draws").alias("_draw"))
+    rows = rows.repartition("_draw.shard", F.pmod("_draw.place", F.lit(64)))
+    return rows.sortWithinPartitions("_draw.shard", "_draw.place").select("_row.*")

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import blank_words, map_rows, pick
+from slidewatch.llm.common import as_key, blank_words, map_rows, packed, pick
+from slidewatch.llm.super_kmers import window_hashes, word_hashes
 from slidewatch.session import work_path, work_root
 
 SEED = 42
@@ -243,9 +244,27 @@ SKETCH = 128
 APART = 16
 
 
-def sketch(words: list[bytes], size: int, keep: int = SKETCH) -> np.ndarray:
-    found = np.fromiter(map(xxhash.xxh32_intdigest, shingles(words, size)), np.uint32)
-    return np.unique(found)[:keep]
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes; zero for none."""
+    if not len(hashes):
+        return 0
+    counts = sum(_bit_counts(hashes[at : at + HASHED]) for at in range(0, len(hashes), HASHED))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def readings(text: str | None, size: int, keep: int = SKETCH) -> tuple[int, int, np.ndarray]:
+    """Fingerprint of a text's words, fingerprint of its word triples, and sketch of its ``size``-word shingles.
+
+    Words are hashed from their bytes and shingles from their words' hashes, in arrays; a text with fewer words than a
+    shingle is one shingle.
+    """
+    line = b" ".join(map(bytes.lower, blank_words(text)))
+    if not line:
+        return 0, 0, np.empty(0, np.uint32)
+    _, _, words = word_hashes(line)
+    of = lambda n: window_hashes(words, min(n, len(words)))
+    smallest = np.unique((of(size) >> np.uint64(32)).astype(np.uint32))[:keep]
+    return majority(words), majority(of(3)), smallest
 
 
 def similarity(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
@@ -295,13 +314,8 @@ def one_of_each(
 
     def read(batches):
         for ids, hashes, texts in batches:
-            ones, threes, sketches = [], [], []
-            for text in texts:
-                words = [*map(bytes.lower, blank_words(text))]
-                ones.append(_signed(fingerprint(text, 1)))
-                threes.append(_signed(fingerprint(text, 3)))
-                sketches.append(sketch(words, size).tobytes())
-            yield ids, hashes, ones, threes, sketches
+            ones, threes, sketches = zip(*[readings(text, size) for text in texts])
+            yield ids, hashes, [*map(_signed, ones)], [*map(_signed, threes)], [s.tobytes() for s in sketches]
 
     rows = pick(docs, _id=id_col, _text=text_col).select(
         F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit(""))), "_text"
@@ -349,12 +363,12 @@ def one_of_each(
     path = work_path(spark, "near_copies_kept")
     stay.select(F.col("stays.first.id").alias("_id"), F.col("stays.text").alias("_hash")).write.parquet(path)
     stay = spark.read.parquet(path)
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")).withColumn(
-        "_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = packed(docs).select(
+        "_row", as_key(F.col("_row")[id_col].cast("long")).alias("_key"),
+        F.xxhash64(F.coalesce(F.col("_row")[text_col], F.lit(""))).alias("_hash"),
     )
-    kept = keyed.join(stay, (F.col("_key").eqNullSafe(F.col("_id"))) & (keyed["_hash"] == stay["_hash"]), "left_semi")
-    return kept.dropDuplicates(["_key", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
+    stay = stay.select(as_key(F.col("_id")).alias("_key"), "_hash")
+    return keyed.join(stay, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select("_row.*")
 
 
 def fingerprint_text(column: str = "fp"):
