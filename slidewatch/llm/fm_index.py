@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from slidewatch.llm.common import folded_words, map_rows, pick
 
 WINDOW = 10
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 17
 BLOCK_WORDS = 1 << 20
 SAMPLED = 16
 

@@ -46,8 +46,8 @@ _PAYLOAD = struct.Struct("<BqBI")
 _CRC = struct.Struct("<I")
 
 #: Bounds of the caches of a Python worker, in entries.
-WORDS_KEPT = 300_000
-PIECES_KEPT = 250_000
+WORDS_KEPT = 260_000
+PIECES_KEPT = 120_000
 
 #: Words made of one run of Latin letters and closing marks: the run and the marks are tokenized apart.
 #: Lowering ASCII bytes alone would not lower the accented ones, so those must be small already.
