@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
 A shard is a run of whole documents of about ``shard_words`` words (a longer document is cut into pieces that overlap by a
-window). Its words become numbers, with a separator of its own after each piece, and
+window, a shard each, and their spans are merged). Its words become numbers, with a separator of its own after each piece, and
 
 * the suffix order comes from prefix doubling on packed sort keys, only ties being sorted again;
 * the Burrows-Wheeler column goes into a wavelet matrix, whose levels answer rank queries for many symbols at once;
@@ -174,10 +174,29 @@ class Phrases:
 def search_shard(texts: list[list[bytes]], phrases: Phrases, shard_words: int) -> list[tuple[list[tuple[int, int]], list[str]]]:
     """Of each document: merged spans [start, stop) of words to remove, and the items found."""
     overlap = max(0, phrases.longest - 1)
-    pieces = []
+    # A piece and its separator fit an index by themselves, whatever ``shard_words`` says.
+    step = max(1, min(shard_words, (1 << _INDEX) - overlap - 1))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    held, size = [], 0
     for doc, words in enumerate(texts):
-        step = max(1, shard_words)
-        pieces += [(doc, at, words[at : at + step + overlap]) for at in range(0, max(1, len(words)), step)] if words else []
+        for at in range(0, len(words), step):
+            piece = words[at : at + step + overlap]
+            if held and size + len(piece) + 1 > step + overlap + 1:
+                _search_pieces(held, phrases, spans, items)
+                held, size = [], 0
+            held.append((doc, at, piece))
+            size += len(piece) + 1
+    _search_pieces(held, phrases, spans, items)
+    return [(merged(s), sorted(i)) for s, i in zip(spans, items)]
+
+
+def _search_pieces(
+    pieces: list[tuple[int, int, list[bytes]]], phrases: Phrases, spans: list[list[tuple[int, int]]], items: list[set[str]]
+) -> None:
+    """Searches one index over ``pieces`` (document, place, words); adds to the documents' spans and items."""
+    if not pieces or not phrases.windows:
+        return
     vocabulary: dict[bytes, int] = defaultdict(count(len(pieces)).__next__)
     parts, starts, total = [], [], 0
     for k, (_, _, words) in enumerate(pieces):
@@ -185,26 +204,22 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases, shard_words: int) -
         parts.append(np.array([k], np.int64))
         starts.append(total)
         total += len(words) + 1
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    if pieces and phrases.windows:
-        own, rows, lengths = phrases.numbered(vocabulary)
-        if len(own):
-            index = FMIndex(np.concatenate(parts), len(pieces) + len(vocabulary))
-            low, high = index.search(rows, lengths)
-            hit = np.flatnonzero(high > low)
-            sizes = (high - low)[hit]
-            which = np.repeat(hit, sizes)
-            offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            places = index.locate(low[which] + offsets)
-            first = np.array(starts)
-            piece = np.searchsorted(first, places, side="right") - 1
-            for p, w, at in zip(piece.tolist(), which.tolist(), places.tolist()):
-                doc, base, _ = pieces[p]
-                begin = base + at - starts[p]
-                spans[doc].append((begin, begin + int(lengths[w])))
-                items[doc].update(phrases.items[own[w]])
-    return [(merged(s), sorted(i)) for s, i in zip(spans, items)]
+    own, rows, lengths = phrases.numbered(vocabulary)
+    if not len(own):
+        return
+    index = FMIndex(np.concatenate(parts), len(pieces) + len(vocabulary))
+    low, high = index.search(rows, lengths)
+    hit = np.flatnonzero(high > low)
+    sizes = (high - low)[hit]
+    which = np.repeat(hit, sizes)
+    offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places = index.locate(low[which] + offsets)
+    piece = np.searchsorted(np.array(starts), places, side="right") - 1
+    for p, w, at in zip(piece.tolist(), which.tolist(), places.tolist()):
+        doc, base, _ = pieces[p]
+        begin = base + at - starts[p]
+        spans[doc].append((begin, begin + int(lengths[w])))
+        items[doc].update(phrases.items[own[w]])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

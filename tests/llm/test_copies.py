@@ -220,3 +220,16 @@ def test_spans_are_cut_from_texts():
     text = "One, two; three (four) five."
     assert fm_index.cut_words(text, [(1, 3)]) == "One,  (four) five."
     assert fm_index.merged([(5, 6), (1, 3), (2, 4), (4, 5)]) == [(1, 6)]
+
+
+def test_decontamination_of_a_document_longer_than_an_index(monkeypatch):
+    item = [f"q{k}" for k in range(12)]
+    phrases = fm_index.Phrases([("x", " ".join(item))], 10)
+    words = [b"w%d" % (k % 700) for k in range(3000)]
+    starts = (0, 245, 500, 1018, 2988)
+    for at in starts:
+        words[at : at + 12] = [w.encode() for w in item]
+    monkeypatch.setattr(fm_index, "_INDEX", 10)
+    for shard_words in (100, 256, 1 << 20):
+        found = fm_index.search_shard([words[:40], words, [], words[40:240]], phrases, shard_words)
+        assert found == [([(0, 12)], ["x"]), ([(at, at + 12) for at in starts], ["x"]), ([], []), ([], [])]
