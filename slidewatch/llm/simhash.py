@@ -278,25 +278,35 @@ def similarity(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
     return np.count_nonzero(both <= union[-1]) / len(union)
 
 
-def leaders(
-    rows: list[tuple[int, int, int, bytes]], radius: int, least: float
-) -> list[tuple[int, int]]:
-    """(text, leader) links in one bucket, rows (text_hash, words' fingerprint, triples' fingerprint, sketch) in order.
+def group_links(rows: list[tuple[int, int, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links between similar texts of one group, rows (text, label, sketch): their components are those of all similar pairs.
 
-    A text that is similar to an earlier leader is linked to it; any other becomes a leader. A group of thousands of near
-    copies thus costs one search each among the few leaders, and one link each.
+    Texts with one label count as linked before. All pairs that share enough of their sketches are looked at, whether
+    linked before to others or not; only those that links join already are spared the comparison.
     """
-    tree, members, out = BKTree(), {}, []
-    for text, one, three, data in rows:
-        own, linked = np.frombuffer(data, np.uint32), False
-        for near in tree.within(one, radius):
-            for other, three_, sketch_ in members[near]:
-                if (three ^ three_).bit_count() <= APART and similarity(own, sketch_) >= least:
-                    out.append((text, other))
-                    linked = True
-        if not linked:
-            tree.add(one)
-            members.setdefault(one, []).append((text, three, own))
+    if len({label for _, label, _ in rows}) < 2:
+        return []
+    sizes = np.array([len(own) for _, _, own in rows])
+    _, columns, counts = np.unique(np.concatenate([own for _, _, own in rows]), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    held = shared[columns]
+    has = np.zeros((len(rows), np.count_nonzero(shared)), np.float32)
+    has[np.repeat(np.arange(len(rows)), sizes)[held], (np.cumsum(shared) - 1)[columns[held]]] = 1
+    enough = np.ceil(least * np.maximum.outer(sizes, sizes) - 1e-9)
+    parent: dict[int, int] = {label: label for _, label, _ in rows}
+
+    def root(label: int) -> int:
+        while parent[label] != label:
+            parent[label] = parent[parent[label]]
+            label = parent[label]
+        return label
+
+    out = []
+    for i, j in np.argwhere(np.triu(has @ has.T >= enough, 1)).tolist():
+        a, b = root(rows[i][1]), root(rows[j][1])
+        if a != b and similarity(rows[i][2], rows[j][2]) >= least:
+            parent[max(a, b)] = min(a, b)
+            out.append((rows[i][0], rows[j][0]))
     return out
 
 
@@ -348,11 +358,11 @@ def one_of_each(
             out: list[tuple[int, int]] = []
             for row in zip(blocks, values, texts, ones, threes, sketches):
                 if row[:2] != held:
-                    out += leaders(group, radius, least)
+                    out += group_links(group, least)
                     held, group = row[:2], []
-                group.append((row[2], row[3] & 0xFFFFFFFFFFFFFFFF, row[4] & 0xFFFFFFFFFFFFFFFF, row[5]))
+                group.append((row[2], row[2], np.frombuffer(row[5], np.uint32)))
             yield [a for a, _ in out], [b for _, b in out]
-        out = leaders(group, radius, least)
+        out = group_links(group, least)
         yield [a for a, _ in out], [b for _, b in out]
 
     links_ = map_rows(dealt.drop("first"), "a long, b long", linked, rows=4096)

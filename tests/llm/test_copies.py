@@ -1,6 +1,7 @@
 """Substring dedup, SimHash and decontamination against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -233,3 +234,11 @@ def test_decontamination_of_a_document_longer_than_an_index(monkeypatch):
     for shard_words in (100, 256, 1 << 20):
         found = fm_index.search_shard([words[:40], words, [], words[40:240]], phrases, shard_words)
         assert found == [([(0, 12)], ["x"]), ([(at, at + 12) for at in starts], ["x"]), ([], []), ([], [])]
+
+
+def test_links_of_a_group_reach_through_members_in_every_order():
+    sets = [np.arange(9 * k, 100 + 9 * k) for k in range(4)]
+    for turn in itertools.permutations(range(4)):
+        links = simhash.group_links([(k, k, sets[t]) for k, t in enumerate(turn)], 0.8)
+        assert len(links) == 3 and {k for pair in links for k in pair} == {0, 1, 2, 3}
+    assert simhash.group_links([(0, 5, sets[0]), (1, 5, sets[1])], 0.8) == []
