@@ -237,34 +237,21 @@ def components(
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Smallest 32-bit hashes of a text's shingles that stand for their set; texts with fewer shingles have the whole set.
+#: Smallest 64-bit hashes of a text's shingles that stand for their set; texts with fewer shingles have the whole set.
 SKETCH = 128
-#: Bits that the fingerprints of word triples may differ in: far beyond what texts of the wanted similarity show, and far
-#: below what unrelated texts do.
-APART = 16
 
 
-def majority(hashes: np.ndarray) -> int:
-    """SimHash of 64-bit hashes; zero for none."""
-    if not len(hashes):
-        return 0
-    counts = sum(_bit_counts(hashes[at : at + HASHED]) for at in range(0, len(hashes), HASHED))
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def readings(text: str | None, size: int, keep: int = SKETCH) -> tuple[int, int, np.ndarray]:
-    """Fingerprint of a text's words, fingerprint of its word triples, and sketch of its ``size``-word shingles.
+def sketch(text: str | None, size: int, keep: int = SKETCH) -> np.ndarray:
+    """The ``keep`` smallest hashes of a text's ``size``-word shingles, ascending.
 
     Words are hashed from their bytes and shingles from their words' hashes, in arrays; a text with fewer words than a
     shingle is one shingle.
     """
     line = b" ".join(map(bytes.lower, blank_words(text)))
     if not line:
-        return 0, 0, np.empty(0, np.uint32)
+        return np.empty(0, np.int64)
     _, _, words = word_hashes(line)
-    of = lambda n: window_hashes(words, min(n, len(words)))
-    smallest = np.unique((of(size) >> np.uint64(32)).astype(np.uint32))[:keep]
-    return majority(words), majority(of(3)), smallest
+    return np.unique(window_hashes(words, min(size, len(words))).view(np.int64))[:keep]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
@@ -310,68 +297,91 @@ def group_links(rows: list[tuple[int, int, np.ndarray]], least: float) -> list[t
     return out
 
 
+def _linked(groups: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of ``group_links`` within each (e, part) of rows e, part, node, label, sketch."""
+
+    def linked(batches):
+        held, group = None, []
+        for es, parts, nodes, labels, sketches in batches:
+            out: list[tuple[int, int]] = []
+            for key, node, label, own in zip(zip(es, parts), nodes, labels, sketches):
+                if key != held:
+                    out += group_links(group, least)
+                    held, group = key, []
+                group.append((node, label, np.array(own, np.int64)))
+            yield [a for a, _ in out], [b for _, b in out]
+        out = group_links(group, least)
+        yield [a for a, _ in out], [b for _, b in out]
+
+    rows = groups.select("e", "part", "node", "label", "sketch")
+    rows = rows.repartition("e", "part").sortWithinPartitions("e", "part", "node")
+    return map_rows(rows, "a long, b long", linked)
+
+
+def rare_shingles(nodes: DataFrame, least: float) -> DataFrame:
+    """(e, node): of the rarest members of each sketch so many that two texts of similarity ``least`` share one.
+
+    A prefix filter: similar texts share at least ``least`` of either sketch, so with all members in one order, by number
+    of texts and then value, the first of those shared is among the first ``n - ceil(least * n) + 1`` of both. Members
+    that one text alone has come first and meet nothing, so most texts have no row.
+    """
+    members = nodes.select("node", F.size("sketch").alias("n"), F.explode("sketch").alias("e"))
+    counts = members.groupBy("e").count().where("count > 1")
+    shared = members.join(counts, "e").groupBy("node").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "e"))).alias("s")
+    )
+    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
+    shared = shared.withColumn("take", (first - (F.col("n") - F.size("s"))).cast("int")).where("take > 0")
+    return shared.select(F.explode(F.slice("s", 1, F.col("take"))).alias("m"), "node").select("m.e", "node")
+
+
+def similar(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of ``nodes`` (node, sketch) with similarity ``least`` or more.
+
+    A bucket holds the texts that share one rare shingle; of buckets with the same texts one is enough.
+    """
+    spark = nodes.sparkSession
+    path = work_path(spark, "near_copies_keys")
+    rare_shingles(nodes, least).write.parquet(path)
+    keys = spark.read.parquet(path)
+    buckets = keys.groupBy("e").agg(
+        F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+    ).where("size > 1").groupBy("size", "x", "y").agg(F.min("e").alias("e"))
+    members = keys.join(buckets.select("e"), "e").join(nodes, "node")
+    return _linked(members.withColumn("part", F.lit(0).cast("long")).withColumn("label", F.col("node")), least)
+
+
 def one_of_each(
-    docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that stay when near copies go: of each group the one with the least doc_id (null last).
 
-    Texts are candidates when the SimHash fingerprints of their words differ in at most ``radius`` bits, and copies when
-    their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more, by sketch. Fingerprints of word
-    triples, whose distance is much larger for unrelated texts, spare most comparisons of sketches. Equal texts are one
-    node from the start. Texts without words are one group.
+    Texts are copies when their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more, by sketch,
+    and a group is all that copies of copies reach, whatever the ids. No pair is missed: ``similar`` finds all. Texts with
+    equal sketches are one node from the start, so are texts without words.
     """
     spark = docs.sparkSession
 
     def read(batches):
         for ids, hashes, texts in batches:
-            ones, threes, sketches = zip(*[readings(text, size) for text in texts])
-            yield ids, hashes, [*map(_signed, ones)], [*map(_signed, threes)], [s.tobytes() for s in sketches]
+            yield ids, hashes, [sketch(text, size) for text in texts]
 
     rows = pick(docs, _id=id_col, _text=text_col).select(
         F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit(""))), "_text"
     )
-    marked = map_rows(rows, "id long, text long, one long, three long, sketch binary", read)
-    # What follows from the text is equal in equal texts; min_by, max and the like would only cost more.
-    equal = marked.groupBy("text").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"),
-        F.first("one").alias("one"), F.first("three").alias("three"), F.first("sketch").alias("sketch"),
+    marked = map_rows(rows, "id long, text long, sketch array<long>", read).withColumn("node", F.xxhash64("sketch"))
+    equal = marked.groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("first"), F.first("sketch").alias("sketch")
     )
     path = work_path(spark, "near_copies")
     equal.write.parquet(path)
     equal = spark.read.parquet(path)
-    edges = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("block"),
-                F.shiftrightunsigned(F.shiftleft("one", 64 - high), 64 - high + low).alias("value"),
-            )
-            for k, (low, high) in enumerate(zip(edges, edges[1:]))
-        ]
-    )
-    dealt = equal.withColumn("key", F.explode(keys)).select("key.block", "key.value", "first", "text", "one", "three", "sketch")
-    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "first", "text")
-
-    def linked(batches):
-        held, group = None, []
-        for blocks, values, texts, ones, threes, sketches in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(blocks, values, texts, ones, threes, sketches):
-                if row[:2] != held:
-                    out += group_links(group, least)
-                    held, group = row[:2], []
-                group.append((row[2], row[2], np.frombuffer(row[5], np.uint32)))
-            yield [a for a, _ in out], [b for _, b in out]
-        out = group_links(group, least)
-        yield [a for a, _ in out], [b for _, b in out]
-
-    links_ = map_rows(dealt.drop("first"), "a long, b long", linked, rows=4096)
-    roots = connected(links_)
-    named = equal.select("text", "first").join(roots, F.col("text") == F.col("node"), "left")
-    named = named.select("text", "first", F.coalesce("root", "text").alias("root"))
-    stay = named.groupBy("root").agg(F.min(F.struct("first", "text")).alias("stays"))
+    roots = connected(similar(equal.select("node", "sketch"), least)).withColumnRenamed("node", "a")
+    named = equal.select("node", "first").join(roots, F.col("node") == F.col("a"), "left")
+    named = named.select("first", F.coalesce("root", "node").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("stays"))
     path = work_path(spark, "near_copies_kept")
-    stay.select(F.col("stays.first.id").alias("_id"), F.col("stays.text").alias("_hash")).write.parquet(path)
+    stay.select(F.col("stays.id").alias("_id"), F.col("stays.text").alias("_hash")).write.parquet(path)
     stay = spark.read.parquet(path)
     keyed = packed(docs).select(
         "_row", as_key(F.col("_row")[id_col].cast("long")).alias("_key"),

@@ -236,6 +236,65 @@ def test_decontamination_of_a_document_longer_than_an_index(monkeypatch):
         assert found == [([(0, 12)], ["x"]), ([(at, at + 12) for at in starts], ["x"]), ([], []), ([], [])]
 
 
+def brute_kept(rows, least=0.8):
+    """Ids of one text per component of all pairs, by exact Jaccard similarity; texts of at most 128 shingles."""
+    words = [lower(t).split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    assert max(map(len, sets)) <= 128
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    kept = {}
+    for k, (i, _) in enumerate(rows):
+        kept[find(k)] = min(kept.get(find(k), i), i)
+    return sorted(kept.values())
+
+
+def kept_ids(spark, rows, **given):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(x["doc_id"] for x in simhash.one_of_each(frame, **given).collect())
+
+
+def zipf_words(r, n, kinds=3000):
+    return r.choices([f"z{k}" for k in range(kinds)], [1 / (k + 1) for k in range(kinds)], k=n)
+
+
+def test_chains_of_near_copies_are_one_group_in_every_id_order(spark):
+    r = random.Random(3)
+    rows = []
+    for k, turn in enumerate(itertools.permutations(range(3))):
+        words = [f"c{k}x{r.random()}" for _ in range(100)]
+        # Each step appends and cuts nine words: 0.83 to the next, below 0.8 to the one after.
+        chain = [" ".join([*words[9 * m :], *(f"t{k}y{j}" for j in range(9 * m))]) for m in range(3)]
+        rows += [(10 * k + i, t) for i, t in zip(turn, chain)]
+    assert brute_kept(rows) == [10 * k for k in range(6)]
+    assert kept_ids(spark, rows) == brute_kept(rows)
+
+
+def test_every_pair_of_near_copies_is_found(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        words = zipf_words(r, r.choice([30, 60, 100]))
+        n = len(words)
+        rows.append((100 * k, " ".join(words)))
+        for j, share in enumerate((0.05, 0.12, 0.18, 0.24)):
+            rows.append((100 * k + 10 + j, " ".join(words + zipf_words(r, int(share * n)))))
+            rows.append((100 * k + 20 + j, " ".join(words[: n - int(share * n)])))
+            rows.append((100 * k + 30 + j, " ".join(zipf_words(r, int(share * n)) + words)))
+    want = brute_kept(rows)
+    assert 60 < len(want) < 600
+    assert kept_ids(spark, rows) == want
+
+
 def test_links_of_a_group_reach_through_members_in_every_order():
     sets = [np.arange(9 * k, 100 + 9 * k) for k in range(4)]
     for turn in itertools.permutations(range(4)):
