@@ -239,6 +239,8 @@ def components(
 
 #: Smallest 64-bit hashes of a text's shingles that stand for their set; texts with fewer shingles have the whole set.
 SKETCH = 128
+#: Texts that are compared with each other in one piece of a bucket, a bound of a task's memory.
+BUCKET_LIMIT = 256
 
 
 def sketch(text: str | None, size: int, keep: int = SKETCH) -> np.ndarray:
@@ -335,24 +337,63 @@ def rare_shingles(nodes: DataFrame, least: float) -> DataFrame:
     return shared.select(F.explode(F.slice("s", 1, F.col("take"))).alias("m"), "node").select("m.e", "node")
 
 
-def similar(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+def similar(nodes: DataFrame, least: float = 0.8, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``nodes`` (node, sketch) with similarity ``least`` or more.
 
-    A bucket holds the texts that share one rare shingle; of buckets with the same texts one is enough.
+    A bucket holds the texts that share one rare shingle; of buckets with the same texts one is enough. A bucket of up to
+    ``limit`` texts is one group. A larger one is cut into parts of about that size, its least text added to each, which
+    leaves few components of a group of near copies; then each two parts meet, but those of the largest component among
+    themselves. So no list is longer than about twice ``limit``, however hot a bucket is, and no pair is left out.
     """
     spark = nodes.sparkSession
     path = work_path(spark, "near_copies_keys")
     rare_shingles(nodes, least).write.parquet(path)
     keys = spark.read.parquet(path)
     buckets = keys.groupBy("e").agg(
-        F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
-    ).where("size > 1").groupBy("size", "x", "y").agg(F.min("e").alias("e"))
-    members = keys.join(buckets.select("e"), "e").join(nodes, "node")
-    return _linked(members.withColumn("part", F.lit(0).cast("long")).withColumn("label", F.col("node")), least)
+        F.count("*").alias("size"), F.min("node").alias("hub"),
+        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+    ).where("size > 1").groupBy("size", "hub", "x", "y").agg(F.min("e").alias("e"))
+    path = work_path(spark, "near_copies_buckets")
+    buckets.select("e", "size", "hub").write.parquet(path)
+    buckets = spark.read.parquet(path).withColumn("parts", F.expr(f"cast(ceil(size / {limit}) as long)"))
+
+    hash_ = F.xxhash64("node", "e")
+    path = work_path(spark, "near_copies_members")
+    keys.join(buckets, "e").write.parquet(path)
+    members = spark.read.parquet(path)
+    hubs = buckets.where("parts > 1").select("e", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("hub").alias("node"))
+    parts = members.where("parts = 1 or node <> hub").select("e", F.pmod(hash_, "parts").alias("part"), "node")
+    parts = parts.unionByName(hubs).withColumn("label", F.col("node")).join(nodes, "node")
+    path = work_path(spark, "near_copies_links")
+    _linked(parts, least).write.parquet(path)
+    found = spark.read.parquet(path)
+    if not buckets.where("parts > 1").take(1):
+        return found
+
+    labelled = members.where("parts > 1").join(connected(found).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left")
+    labelled = labelled.select("e", "size", "node", F.coalesce("root", "node").alias("label"))
+    largest = labelled.groupBy("e", "size", "label").count().groupBy("e", "size").agg(
+        F.max(F.struct("count", "label")).alias("most")
+    ).where("most.count < size")
+    cuts = largest.select(
+        "e", F.col("most.label").alias("most"), F.expr(f"cast(ceil(most.count / {limit}) as long)").alias("inner"),
+        F.expr(f"cast(ceil((size - most.count) / {limit}) as long)").alias("outer"),
+    )
+    # Part i of the largest component meets part j of the others at i * outer + j; parts i <= j of the others meet after those.
+    apart = labelled.join(cuts, "e").withColumn(
+        "own", F.when(F.col("label") == F.col("most"), F.pmod(hash_, "inner")).otherwise(F.pmod(hash_, "outer"))
+    )
+    meet = F.expr(
+        "case when label = most then transform(sequence(0L, outer - 1), j -> own * outer + j) else concat("
+        "transform(sequence(0L, inner - 1), i -> i * outer + own), "
+        "transform(sequence(0L, outer - 1), j -> inner * outer + least(own, j) * outer + greatest(own, j))) end"
+    )
+    cells = apart.select("e", "node", "label", F.explode(meet).alias("part")).join(nodes, "node")
+    return found.unionByName(_linked(cells, least))
 
 
 def one_of_each(
-    docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 5, least: float = 0.8, limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that stay when near copies go: of each group the one with the least doc_id (null last).
 
@@ -376,7 +417,7 @@ def one_of_each(
     path = work_path(spark, "near_copies")
     equal.write.parquet(path)
     equal = spark.read.parquet(path)
-    roots = connected(similar(equal.select("node", "sketch"), least)).withColumnRenamed("node", "a")
+    roots = connected(similar(equal.select("node", "sketch"), least, limit)).withColumnRenamed("node", "a")
     named = equal.select("node", "first").join(roots, F.col("node") == F.col("a"), "left")
     named = named.select("first", F.coalesce("root", "node").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("stays"))

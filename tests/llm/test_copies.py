@@ -279,7 +279,8 @@ def test_chains_of_near_copies_are_one_group_in_every_id_order(spark):
     assert kept_ids(spark, rows) == brute_kept(rows)
 
 
-def test_every_pair_of_near_copies_is_found(spark):
+@pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 4])
+def test_every_pair_of_near_copies_is_found(spark, limit):
     r = random.Random(4)
     rows = []
     for k in range(60):
@@ -292,7 +293,37 @@ def test_every_pair_of_near_copies_is_found(spark):
             rows.append((100 * k + 30 + j, " ".join(zipf_words(r, int(share * n)) + words)))
     want = brute_kept(rows)
     assert 60 < len(want) < 600
-    assert kept_ids(spark, rows) == want
+    assert kept_ids(spark, rows, limit=limit) == want
+
+
+@pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 5])
+def test_hot_buckets_are_cut_without_loss(spark, limit, monkeypatch):
+    r = random.Random(6)
+    line = [f"b{k}" for k in range(40)]
+    # Texts of which most is one common passage, chains among them, and a group of near copies.
+    rows = [(k, " ".join(line + zipf_words(r, 8 + k % 9))) for k in range(60)]
+    base = zipf_words(r, 110)
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 4 + 1):
+            own[r.randrange(110)] = f"own{k}"
+        rows.append((100 + k, " ".join(own)))
+    chain = [f"d{k}" for k in range(100)]
+    rows += [(300 + k * 37 % 40, " ".join(chain[3 * k % 100 :] + [f"e{j}" for j in range(3 * k)])) for k in range(33)]
+    r.shuffle(rows)
+    want = brute_kept(rows)
+    assert 1 < len(want) < len(rows) - 50
+    nodes = spark.createDataFrame(
+        [(k, simhash.sketch(t, 5).tolist()) for k, (_, t) in enumerate(rows)], "node long, sketch array<long>"
+    )
+    assert kept_ids(spark, rows, limit=limit) == want
+    if limit == 5:
+        sent = []
+        monkeypatch.setattr(simhash, "_linked", lambda groups, least, true=simhash._linked: (sent.append(groups), true(groups, least))[1])
+        simhash.similar(nodes, limit=limit).count()
+        assert len(sent) == 2
+        for groups in sent:
+            assert groups.groupBy("e", "part").count().agg({"count": "max"}).first()[0] < 30
 
 
 def test_links_of_a_group_reach_through_members_in_every_order():
