@@ -9,8 +9,8 @@ window, a shard each, and their spans are merged). Its words become numbers, wit
 * row ranges are turned into places through positions sampled at every ``SAMPLED``-th word, walking back from the others;
 * places are marked with their window's length and merged into spans to remove.
 
-The benchmark is a stated query set. It is read in blocks of at most ``block_words`` words, each searched in all shards, so
-what tasks receive does not grow with it. Words lower A-Z and are runs of characters other than ASCII non-alphanumerics.
+The benchmark is a stated query set. It is read in blocks of about ``block_words`` words. With more than one, each is searched
+in all texts and its hits are written before the next one is read, so what driver and tasks hold does not grow with it. Words lower A-Z and are runs of characters other than ASCII non-alphanumerics.
 
 Defined results: null and empty texts have no words and no hits; a null doc_id stays; items without words have no window;
 items with a null id count as one with the name "null"; equal items all count; repeated rows give repeated results; empty
@@ -22,13 +22,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import folded_words, map_rows, pick
+from slidewatch.llm.common import folded_words, map_rows, packed, pick
+from slidewatch.session import work_path
 
 WINDOW = 10
 SHARD_WORDS = 1 << 17
@@ -248,16 +250,61 @@ def _groups(batches, shard_words: int):
         yield held
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str, text_col: str):
-    """The benchmark in parts of about ``block_words`` words; at least one part."""
+def _blocks(benchmark: DataFrame, window: int, block_words: int, item_col: str, text_col: str) -> tuple[int, Callable[[int], Phrases]]:
+    """The benchmark in parts of about ``block_words`` words: their number, at least one, and what reads one of them."""
     rows = pick(benchmark, item=item_col, text=text_col).select(
         F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text"
     )
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-chars // (4 * block_words)))
-    for k in range(parts):
+
+    def block(k: int) -> Phrases:
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield Phrases([(r["item"], r["text"]) for r in part.collect()], window)
+        return Phrases([(r["item"], r["text"]) for r in part.collect()], window)
+
+    return parts, block
+
+
+_SPANS = "spans array<struct<start:long,stop:long>>"
+
+
+def _text_key(column) -> list:
+    """Two hashes that stand for a text; null is no text."""
+    text = F.coalesce(column, F.lit(""))
+    return [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
+
+
+def _found(docs: DataFrame, parts: int, block: Callable[[int], Phrases], shard_words: int, text_col: str) -> DataFrame:
+    """_h1, _h2, items and spans of each text that a block hits, with all blocks merged.
+
+    Driver and tasks hold one block at a time: its hits are written before the next one is read.
+    """
+    spark = docs.sparkSession
+    rows = pick(docs, _text=text_col).select(*_text_key(F.col("_text")), "_text")
+    paths = []
+    for k in range(parts):
+        phrases = spark.sparkContext.broadcast(block(k))
+
+        def searched(batches, phrases=phrases):
+            for group in _groups(((list(zip(a, b)), texts) for a, b, texts in batches), shard_words):
+                hit = search_shard([words for _, words in group], phrases.value, shard_words)
+                out = [(*key, i, [{"start": a, "stop": b} for a, b in s]) for (key, _), (s, i) in zip(group, hit) if s]
+                yield tuple(zip(*out)) if out else ((),) * 4
+
+        paths.append(work_path(spark, "benchmark_hits"))
+        map_rows(rows, f"_h1 long, _h2 long, items array<string>, {_SPANS}", searched).write.parquet(paths[-1])
+        phrases.unpersist()
+    # A text that is there many times has the same hits each time, so its lists stay as long as one text's.
+    every = spark.read.parquet(*paths).distinct().groupBy("_h1", "_h2")
+    return every.agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _result(doc: int | None, n_words: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
+    n_hit = sum(b - a for a, b in spans)
+    return (
+        doc, n_words, n_hit, len(items), items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0,
+        [{"start": a, "stop": b} for a, b in spans],
+    )
 
 
 def hits(
@@ -267,29 +314,31 @@ def hits(
     """One row per document: doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated and the merged ``spans``."""
     spark = docs.sparkSession
     rows = pick(docs, _id=id_col, _text=text_col).selectExpr("cast(_id as long)", "_text")
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_words, item_col, item_text_col)]
+    schema = f"doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, {_SPANS}"
+    parts, block = _blocks(benchmark, window, block_words, item_col, item_text_col)
+    if parts > 1:
+        counted = map_rows(
+            rows.select("_id", *_text_key(F.col("_text")), "_text"), "_id long, _h1 long, _h2 long, n_words long",
+            lambda batches: ((ids, a, b, [len(folded_words(t)) for t in texts]) for ids, a, b, texts in batches),
+        )
+        found = counted.join(_found(docs, parts, block, shard_words, text_col), ["_h1", "_h2"], "left")
+
+        def merge(batches):
+            for ids, counts, items, spans in batches:
+                out = []
+                for doc, n_words, i, s in zip(ids, counts, items, spans):
+                    out.append(_result(doc, n_words, merged([(x["start"], x["stop"]) for x in s or []]), sorted(set(i or []))))
+                yield tuple(zip(*out)) if out else ((),) * 8
+
+        return map_rows(found.select("_id", "n_words", "items", "spans"), schema, merge)
+    phrases = spark.sparkContext.broadcast(block(0))
 
     def searched(batches):
         for group in _groups(batches, shard_words):
-            texts = [words for _, words in group]
-            found = [search_shard(texts, block.value, shard_words) for block in blocks]
-            out = []
-            for k, (doc, words) in enumerate(group):
-                spans = merged([s for f in found for s in f[k][0]])
-                items = sorted({i for f in found for i in f[k][1]})
-                n_hit = sum(b - a for a, b in spans)
-                out.append((
-                    doc, len(words), n_hit, len(items), items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0,
-                    [{"start": a, "stop": b} for a, b in spans],
-                ))
-            yield tuple(zip(*out))
-
-    return map_rows(
-        rows,
-        "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, "
-        "spans array<struct<start:long,stop:long>>",
-        searched,
-    )
+            found = search_shard([words for _, words in group], phrases.value, shard_words)
+            yield tuple(zip(*[_result(doc, len(words), s, i) for (doc, words), (s, i) in zip(group, found)]))
+
+    return map_rows(rows, schema, searched)
 
 
 def without_hits(
@@ -298,30 +347,34 @@ def without_hits(
 ) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
     spark = docs.sparkSession
+    parts, block = _blocks(benchmark, window, block_words, item_col, item_text_col)
+    if parts > 1:
+        found = _found(docs, parts, block, shard_words, text_col).select("_h1", "_h2")
+        keyed = packed(docs).select("_row", *_text_key(F.col("_row")[text_col]))
+        return keyed.join(found, ["_h1", "_h2"], "left_anti").select("_row.*")
     place = docs.columns.index(text_col)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_words, item_col, item_text_col)]
+    phrases = spark.sparkContext.broadcast(block(0))
 
     def cleaned(batches):
         for batch in batches:
             column = batch.column(place)
-            held, size, at = [], 0, 0
+            held, size = [], 0
             clean = []
             for text in column.to_pylist():
                 words = folded_words(text)
                 if held and size + len(words) > shard_words:
-                    clean += _clean(held, blocks, shard_words)
+                    clean += _clean(held, phrases.value, shard_words)
                     held, size = [], 0
                 held.append(words)
                 size += len(words) + 1
-            clean += _clean(held, blocks, shard_words) if held else []
+            clean += _clean(held, phrases.value, shard_words) if held else []
             yield batch.filter(_mask(clean))
 
     return docs.mapInArrow(cleaned, docs.schema)
 
 
-def _clean(texts: list[list[bytes]], blocks, shard_words: int) -> list[bool]:
-    found = [search_shard(texts, block.value, shard_words) for block in blocks]
-    return [not any(f[k][0] for f in found) for k in range(len(texts))]
+def _clean(texts: list[list[bytes]], phrases: Phrases, shard_words: int) -> list[bool]:
+    return [not spans for spans, _ in search_shard(texts, phrases, shard_words)]
 
 
 def _mask(keep: list[bool]):

@@ -332,3 +332,28 @@ def test_links_of_a_group_reach_through_members_in_every_order():
         links = simhash.group_links([(k, k, sets[t]) for k, t in enumerate(turn)], 0.8)
         assert len(links) == 3 and {k for pair in links for k in pair} == {0, 1, 2, 3}
     assert simhash.group_links([(0, 5, sets[0]), (1, 5, sets[1])], 0.8) == []
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, docs, rows, monkeypatch):
+    passage = LETTERS.findall(lower(next(t for i, t, *_ in rows if i == 3000)))
+    items = [(k, " ".join(passage[30 + k : 45 + k])) for k in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    held, most = set(), []
+    context = type(spark.sparkContext)
+    true = context.broadcast
+
+    def broadcast(self, value):
+        sent = true(self, value)
+        if isinstance(value, fm_index.Phrases):
+            held.add(sent.unpersist)
+            most.append(len(held))
+            gone = sent.unpersist
+            sent.unpersist = lambda *a: (held.discard(gone), gone(*a))
+        return sent
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    clean = fm_index.without_hits(docs, benchmark, block_words=10)
+    want = brute_hits(rows, items)
+    assert sum(x[5] for x in want) > 5
+    assert order(x["doc_id"] for x in clean.collect()) == order(x[0] for x in want if not x[5])
+    assert len(most) > 2 and max(most) == 1
