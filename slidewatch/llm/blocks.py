@@ -172,7 +172,7 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         row = out[k]
         row[list(_path_bins(leaf.path))] = 1
         words = leaf.text.lower().split()
-        bins = [PATH_BINS + xxhash.xxh32_intdigest(w) % WORD_BINS for w in words[:64]]
+        bins = [PATH_BINS + xxhash.xxh32_intdigest(w) % WORD_BINS for w in words]
         np.add.at(row, bins, 1 / len(bins) ** 0.5)
         marks = sum(leaf.text.count(c) for c in ".,;:!?")
         row[-MEASURES:] = (

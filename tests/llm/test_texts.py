@@ -177,3 +177,10 @@ def test_classifier_on_held_out_rows(spark, docs, no_docs):
     assert odd.count() == docs.count() and nbsvm.score(no_docs, model).count() == 0
     none = nbsvm.train(no_docs, labels.limit(0))
     assert nbsvm.score(docs, none).where("score <> 0.5").count() == 0
+
+
+def test_all_words_of_a_block_are_in_its_vector():
+    head = "word " * 64
+    make = lambda tail: blocks.vectors([blocks.Leaf("body>div", head + tail, 0.0)])[0]
+    one, other = make("alpha beta gamma."), make("delta kappa sigma.")
+    assert (one != other)[blocks.PATH_BINS : -blocks.MEASURES].any()
