@@ -398,8 +398,9 @@ def one_of_each(
     """The rows of ``docs`` that stay when near copies go: of each group the one with the least doc_id (null last).
 
     Texts are copies when their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more, by sketch,
-    and a group is all that copies of copies reach, whatever the ids. No pair is missed: ``similar`` finds all. Texts with
-    equal sketches are one node from the start, so are texts without words.
+    and a group is all that copies of copies reach, whatever the ids. ``similar`` finds all pairs whose sketches reach
+    ``least``; sketches estimate the similarity of texts with more than ``SKETCH`` shingles, so near ``least`` they may differ
+    from it. Texts with equal sketches are one node from the start, so are texts without words.
     """
     spark = docs.sparkSession
 
