@@ -87,9 +87,27 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.train(docs, _table(spark, folder, "labels")))
 
 
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import collision_search
+
+    return collision_search.nearest(_table(spark, folder, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import resampling
+
+    return resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from slidewatch.llm import box_search
+
+    return box_search.hard_negatives(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_token_records, op3_substring_dedup, op4_quality_rules, op5_main_text, op6_decontamination, op7_token_counts, op8_simhash, op9_license_scan,
-        op10_quality_classifier,
+        op10_quality_classifier, op11_nearest, op12_resampling, op13_hard_negatives,
     )
 }

@@ -94,6 +94,89 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+
+#: The 256 values a byte can turn the checksum by, from the rule above, one bit after the other.
+_CRC_TABLE = """
+  SELECT b, value FROM (
+    WITH RECURSIVE t AS (
+      SELECT b::BIGINT AS b, b::BIGINT AS value, 0 AS k FROM range(256) r(b)
+      UNION ALL
+      SELECT b, CASE WHEN value & 1 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END, k + 1 FROM t WHERE k < 8
+    ) SELECT b, value FROM t WHERE k = 8
+  )
+"""
+
+
+def _runs(table: str) -> str:
+    return f"""
+  SELECT id, n_words, run FROM (
+    SELECT id, len(words) AS n_words, unnest(list_concat(
+      words,
+      list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]),
+      list_transform(range(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2])
+    )) AS run FROM {table}
+  )"""
+
+
+RESAMPLING = rf"""
+WITH crc_table AS MATERIALIZED ({_CRC_TABLE}),
+turns AS MATERIALIZED (SELECT list(value ORDER BY b) AS t FROM crc_table),
+d AS MATERIALIZED (SELECT doc_id AS id, {_letters("text")} AS words FROM documents),
+b AS MATERIALIZED (SELECT NULL::BIGINT AS id, {_letters("text")} AS words FROM benchmark),
+dr AS MATERIALIZED ({_runs("d")}),
+br AS MATERIALIZED ({_runs("b")}),
+distinct_runs AS MATERIALIZED (SELECT DISTINCT run FROM (SELECT run FROM dr UNION ALL SELECT run FROM br)),
+bytes AS (
+  SELECT run, list_transform(range(octet_length(encode(run))), lambda k: ('0x' || substr(hex(encode(run)), 2 * k + 1, 2))::BIGINT) AS b
+  FROM distinct_runs
+),
+hashed AS MATERIALIZED (
+  SELECT run, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM bytes, turns
+),
+s AS (SELECT bucket, count(*) AS n FROM dr JOIN hashed USING (run) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM br JOIN hashed USING (run) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM dr)::DOUBLE AS s, (SELECT count(*) FROM br)::DOUBLE AS t),
+gain AS MATERIALIZED (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (totals.s + 10000) / ((s.n::DOUBLE + 1) * (totals.t + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+),
+weighed AS (
+  SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM dr JOIN hashed USING (run) JOIN gain USING (bucket) GROUP BY id
+),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM (SELECT id AS doc_id, words FROM d) LEFT JOIN weighed ON doc_id = id
+),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+HARD_NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 SQL = {
+    "op12_resampling": RESAMPLING, "op13_hard_negatives": HARD_NEGATIVES,
     "op3_substring_dedup": SUBSTRING_DEDUP, "op4_quality_rules": QUALITY_RULES, "op6_decontamination": DECONTAMINATION,
 }
