@@ -64,6 +64,7 @@ def _stages(events: DataFrame, slice_unit: str) -> tuple[DataFrame, DataFrame]:
     )
     slices = known.groupBy("decision_id", "_slice").agg(
         F.min("_proposal").alias("_proposal"), F.min("_first").alias("_first"), F.min("_next").alias("_next"),
+        F.min(F.when(_is("investigating"), moment)).alias("_opened"),
         F.min("_commit").alias("_commit"), F.min(F.when(after("_first"), F.col("_commit"))).alias("_commit_first"),
         F.min(F.when(after("_next"), F.col("_commit"))).alias("_commit_next"), F.max("_early").alias("_edge"),
     )
@@ -82,12 +83,17 @@ def _stages(events: DataFrame, slice_unit: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("_chosen").isNotNull(), F.struct("_chosen.at", "_chosen.event_id")).alias("approved_at"),
         F.col("_chosen.by").alias("approved_by"),
         F.min(F.when(F.col("_chosen.by").isNotNull(), last)).over(whole).alias("committed_at"),
-        F.last("_edge.action", ignorenulls=True).over(earlier).alias("_carried"),
+        F.last("_edge.action", ignorenulls=True).over(earlier).alias("_carried"), F.min("_opened").over(whole).alias("opened_at"),
     )
 
 
 def validate_transitions(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
-    """Every event with ``valid`` and, for rejected ones, ``reason``.
+    """Every event with ``valid`` and, for rejected ones, ``reason``."""
+    return life_cycle(events, slice_unit).select(*events.columns, "valid", "reason")
+
+
+def life_cycle(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
+    """Every event with ``valid``, for rejected ones ``reason``, and ``status``, the decision's after the event.
 
     Before the proposal only ``investigating`` and ``investigation_failed`` alternate, so each is accepted exactly
     when the preceding one of the two differs (a first failure is rejected). Events are shuffled once, on decision
@@ -123,8 +129,16 @@ def validate_transitions(events: DataFrame, slice_unit: str = "hour") -> DataFra
         )
         .otherwise(F.lit("invalid transition"))
     )
-    out = joined.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("reason", reason)
-    return out.select(*events.columns, "valid", "reason")
+    # Stages never go back, so the status is the last stage reached; before the proposal, the last move of an opened investigation.
+    status = (
+        F.when(moment >= F.col("committed_at"), F.lit("committed"))
+        .when(moment >= F.col("approved_at"), F.lit("approved"))
+        .when(moment >= F.col("proposed_at"), F.lit("proposed"))
+        .when(moment >= F.col("opened_at"), F.when(early, F.col("action")).otherwise(before))
+        .otherwise(F.lit("none"))
+    )
+    out = joined.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("reason", reason).withColumn("status", status)
+    return out.select(*events.columns, "valid", "reason", "status")
 
 
 def split_transitions(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1183,7 +1183,7 @@ def stream_mirror(t):
 
 @query
 def compacted_mirror(t):
-    """The mirror's log folded into one plain table."""
+    """The mirror's runs folded into one plain table."""
     changes = _change_files(t)
     stream = rollups.file_stream(t.spark, changes, t.changes.schema, files_per_trigger=4)
     path = work_path(t.spark, "stream-mirror")
@@ -1201,13 +1201,11 @@ def _change_files(t):
 
 @query
 def stream_change_history(t):
-    stream = rollups.file_stream(t.spark, _change_files(t), t.changes.schema)
+    stream = mirror.as_ltz(rollups.file_stream(t.spark, _change_files(t), t.changes.schema, files_per_trigger=4), "_timestamp")
     path = work_path(t.spark, "stream-history")
-    mirror.stream_cdc_history(
-        mirror.as_ltz(stream, "_timestamp"), path, work_path(t.spark, "stream-history-checkpoint")
-    )
-    schema = mirror.as_ltz(t.changes, "_timestamp").schema
-    history = mirror.read_history(t.spark, path, schema, "business_key", F.floor(F.col("_pg_lsn") / (10**12 * 30)))
+    slice_by = F.floor(F.col("_pg_lsn") / (10**12 * 30))
+    mirror.stream_cdc_history(stream, path, work_path(t.spark, "stream-history-checkpoint"), "business_key", slice_by)
+    history = mirror.read_history(t.spark, path, stream.schema, "business_key")
     return history.select("business_key", "_pg_lsn", "_pg_change_type", "status", "amount", "valid_from", "valid_to", "is_current")
 
 
@@ -1215,7 +1213,8 @@ def stream_change_history(t):
 def stream_decision_states(t):
     requests = Tables(t.spark, t.folder)
     requests.raw = lambda name: _event_stream(t)
-    path = _run(stateful.stream_decisions(requests.decision_events), t, "stream-decisions")
+    path = work_path(t.spark, "stream-decisions")
+    stateful.stream_decisions(requests.decision_events, path, work_path(t.spark, "stream-decisions-checkpoint"))
     return log.read_log(t.spark, path, stateful.DECISION_OUTPUT).drop("batch")
 
 
@@ -1223,8 +1222,8 @@ def stream_decision_states(t):
 def stream_budget_alerts(t):
     base = usage.usage_base(t.usage_rows(_event_stream(t)), GATEWAYS)
     limits = {"alert": ALERT_USD, "block": HARD_STOP_USD}
-    alerts = stateful.stream_budget_alerts(mirror.as_ltz(base, "event_time"), limits)
-    path = _run(alerts, t, "stream-budget")
+    path = work_path(t.spark, "stream-budget")
+    stateful.stream_budget_alerts(mirror.as_ltz(base, "event_time"), limits, path, work_path(t.spark, "stream-budget-checkpoint"))
     out = log.read_log(t.spark, path, stateful.BUDGET_OUTPUT)
     return out.select("requester", "limit_name", "request_id", "event_time", (F.col("running_units") / stateful.COST_UNITS).alias("running_cost_usd"))
 

@@ -53,6 +53,11 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def select_cast(df: DataFrame, columns: Mapping[str, str | None]) -> DataFrame:
+    """The named columns, cast where a type is given."""
+    return df.select(*[F.col(c).cast(t).alias(c) if t else F.col(c) for c, t in columns.items()])
+
+
 def publish(df: DataFrame, path: str, columns: Mapping[str, str | None], key: str) -> DataFrame:
     """Writes a serving table: the named columns, cast where a type is given, with a checked non-null unique key.
 
@@ -60,8 +65,7 @@ def publish(df: DataFrame, path: str, columns: Mapping[str, str | None], key: st
     exception and its path must not be used.
     """
     spark = df.sparkSession
-    out = df.select(*[F.col(c).cast(t).alias(c) if t else F.col(c) for c, t in columns.items()])
-    out.write.mode("overwrite").parquet(path)
+    select_cast(df, columns).write.mode("overwrite").parquet(path)
     table = spark.read.parquet(path)
     found = key_violations(table, key).first()
     if found["null_keys"] or found["repeated_keys"]:

@@ -6,7 +6,29 @@ from pyspark.sql import functions as F
 
 from slidewatch.operators import decisions as D
 from slidewatch.operators import silver
-from slidewatch.streaming.stateful import check_move
+
+# Accepted moves of the decision life cycle (from, action).
+MOVES = {
+    ("none", "investigating"), ("none", "proposed"), ("investigating", "investigation_failed"), ("investigating", "proposed"),
+    ("investigation_failed", "investigating"), ("investigation_failed", "proposed"), ("proposed", "redrafted"),
+    ("proposed", "approved"), ("approved", "committed"),
+}
+
+
+def check_move(status, approver, action, by, pct):
+    """(status, approver, reason) after an event; ``reason`` is None when it is accepted."""
+    if (status, action) not in MOVES:
+        return status, approver, "invalid transition"
+    if action == "redrafted":
+        return status, approver, None
+    if action == "approved":
+        if pct is None or not 1 <= pct <= 100:
+            return status, approver, "rollout_pct must be between 1 and 100"
+        return "approved", by, None
+    if action == "committed" and approver is None:
+        return status, approver, "an approver is required before commit"
+    return action, approver, None
+
 
 EVENTS = (
     "decision_id string, segment_id string, at timestamp_ntz, event_id bigint, by string, action string, notes string, "
@@ -88,6 +110,11 @@ def test_every_verdict_equals_a_step_by_step_walk(spark, seed):
     checked = D.validate_transitions(log(spark, rows))
     got = {r["event_id"]: (r["valid"], r["reason"]) for r in checked.collect()}
     assert got == want
+    walked, statuses = {}, {}
+    for r in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        walked[r[0]] = check_move(*walked.get(r[0], ("none", None))[:2], r[5], r[4], r[9])
+        statuses[r[3]] = walked[r[0]][0]
+    assert {r["event_id"]: r["status"] for r in D.life_cycle(log(spark, rows)).collect()} == statuses
     valid = checked.where("valid").drop("valid", "reason")
     folded = {r["decision_id"]: (r["status"], r["approved_by"]) for r in D.fold_decisions(valid).collect()}
     assert folded == {k: v for k, v in state.items() if v[0] != "none"}
