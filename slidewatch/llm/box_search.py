@@ -290,7 +290,9 @@ def hard_negatives(
             pairs = positives.select(
                 "anchor", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("place")
             ).join(found, "anchor")
-            fits = (F.col("positive_score") * window[0] <= F.col("score") * 100) & (F.col("score") * 100 <= F.col("positive_score") * window[1])
+            # A score may take all 64 bits, so its multiples are decimals.
+            p, s = F.col("positive_score").cast("decimal(20,0)"), F.col("score").cast("decimal(20,0)")
+            fits = (p * window[0] <= s * 100) & (s * 100 <= p * window[1])
             chosen = _first(pairs.where(fits), ["anchor", "place"], per_positive)
             names = spark.createDataFrame(pa.table({"anchor": pa.array(range(len(own)), pa.int64()), "anchor_id": pa.array(own)}))
             chosen = chosen.join(names, "anchor").select(

@@ -31,7 +31,6 @@ a target every gain is that of t = 0; an empty table gives no rows; other column
 from __future__ import annotations
 
 import re
-import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,12 +45,11 @@ from slidewatch.session import work_path
 
 BUCKETS = 10_000
 #: Characters that one call of the pre-tokenizer reads, and words whose windows are made at once.
-PIECE = 8192
-WORDS = 100_000
+PIECE = 2048
+WORDS = 30_000
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: The reflected CRC-32 polynomial. Fixed value.
 _POLYNOMIAL = 0xEDB88320
 
@@ -73,12 +71,20 @@ def pieces(text: str, size: int = PIECE) -> Iterator[tuple[int, str]]:
         at = end
 
 
-def words_with_offsets(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
-    """Words of a text, A-Z lowered, with their character offsets."""
+def words_with_offsets(text: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """UTF-8 words of each piece of a text, A-Z lowered, and the offsets (start, end) of each in its words joined by one space."""
     split = _splitter().pre_tokenize_str
-    for at, part in pieces(text.translate(_LOWER)):
-        for word, (start, end) in split(part):
-            yield word, (at + start, at + end)
+    # bytes.lower lowers A-Z alone.
+    for _, part in pieces(text.encode("utf-8").lower().decode("utf-8")):
+        found = split(part)
+        words = " ".join([w for w, _ in found]).encode("utf-8").split(b" ") if found else []
+        if part.isascii():
+            spans = np.array([span for _, span in found], np.int64).reshape(-1, 2)
+            lengths = spans[:, 1] - spans[:, 0]
+        else:  # the library counts characters
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        yield words, np.stack([ends - lengths, ends], axis=1)
 
 
 class Moved:
@@ -124,50 +130,38 @@ class Windows:
     def __init__(self, runs: int, buckets: int):
         self.runs, self.buckets, self.moved = runs, buckets, Moved()
         self.kind = np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
-        self._clear(0)
-
-    def _clear(self, carried: int) -> None:
-        self.carried = carried
-        if not carried:
-            self.owners, self.starts, self.ends, self.before, self.after = [], [], [], [], []
-        else:
-            for held in (self.owners, self.starts, self.ends, self.before, self.after):
-                del held[:-carried]
+        self.blank = zlib.crc32(b" ")
+        none = np.empty(0, np.int64)
+        self.held, self.size, self.carried = [(none, none, none.astype(np.uint32))], 0, 0
 
     def add(self, owner: int, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yields (owner, bucket) arrays as soon as enough words are there; ``rest`` gives what is left."""
-        crc32, at, crc = zlib.crc32, 0, 0
-        for word, _ in words_with_offsets(text):
-            data = word.encode("utf-8")
-            self.owners.append(owner)
-            self.starts.append(at)
-            self.before.append(crc)
-            crc, at = crc32(data, crc), at + len(data)
-            self.ends.append(at)
-            self.after.append(crc)
-            crc, at = crc32(b" ", crc), at + 1
-            if len(self.owners) >= WORDS:
-                yield self._made()
-                self._clear(min(self.runs - 1, len(self.owners)))
+        for words, offsets in words_with_offsets(text):
+            crcs = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+            self.held.append((np.full(len(words), owner), offsets[:, 1] - offsets[:, 0], crcs))
+            self.size += len(words)
+            if self.size >= WORDS:
+                yield self._made(self.runs - 1)
 
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
-        made = self._made()
-        self._clear(0)
-        return made
-
-    def _made(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that end in a word that is not carried over; one owner's words stand together."""
-        owners, starts, ends = (np.array(x, np.int64) for x in (self.owners, self.starts, self.ends))
-        before, after = np.array(self.before, np.uint32), np.array(self.after, np.uint32)
-        whose, found = [], []
+        return self._made(0)
+
+    def _made(self, carry: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that end in a word that was not carried over; one owner's words stand together. Keeps ``carry`` words."""
+        owners, lengths, crcs = (np.concatenate(x) for x in zip(*self.held))
+        # A word with the blank before it, by which a window grows.
+        grown = self.moved(np.full(len(crcs), self.blank, np.uint32), lengths) ^ crcs
+        whose, found, crc = [], [], crcs
         for run in range(1, self.runs + 1):
-            last = np.arange(max(self.carried, run - 1), len(owners))
-            first = last - (run - 1)
-            same = owners[first] == owners[last]
-            first, last = first[same], last[same]
-            crc = after[last] ^ self.moved(before[first], ends[last] - starts[first])
-            whose.append(owners[last])
-            found.append((crc % self.buckets).astype(self.kind))
+            if run > 1:
+                crc = self.moved(crc[:-1], lengths[run - 1 :] + 1) ^ grown[run - 1 :]
+            fresh = np.arange(len(crc)) + run > self.carried
+            fresh &= owners[: len(crc)] == owners[run - 1 : run - 1 + len(crc)]
+            whose.append(owners[: len(crc)][fresh])
+            found.append((crc[fresh] % self.buckets).astype(self.kind))
+        keep = slice(max(0, len(owners) - carry), len(owners))
+        self.held, self.carried = [(owners[keep], lengths[keep], crcs[keep])], len(owners[keep])
+        self.size = self.carried
         return np.concatenate(whose), np.concatenate(found)
 
 
