@@ -32,26 +32,30 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import compress
+from operator import not_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import Recent, blank_words, map_rows, pick
+from slidewatch.llm.common import map_rows, pick
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _PAYLOAD = struct.Struct("<BqBI")
 _CRC = struct.Struct("<I")
 
-#: Bounds of the caches of a Python worker, in entries.
-WORDS_KEPT = 260_000
-PIECES_KEPT = 120_000
+#: Words whose ids a Python worker keeps, twice this at most.
+WORDS_KEPT = 300_000
 
-#: Words made of one run of Latin letters and closing marks: the run and the marks are tokenized apart.
-#: Lowering ASCII bytes alone would not lower the accented ones, so those must be small already.
-_PLAIN = re.compile("((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?$%&*#]*)".encode("latin-1"))
+_LETTER = "(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+#: A mark after a Latin letter. The word pattern never joins letters and marks, so a blank between them changes no id.
+_MARK = re.compile("[.,;:!?$%&*#](?:(?<=[A-Za-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))".encode("latin-1"))
+#: Lines that are one run of Latin letters, small beyond ASCII, and other lines.
+_RUNS = re.compile(f"^(?:({_LETTER}+)|(.*))$".encode("latin-1"), re.MULTILINE)
+#: Where this occurs in any case, a text may hold a special token, whose name is not to be lowered.
+_SPECIAL = b"<|"
 
 
 def masked(crc: int) -> int:
@@ -89,9 +93,13 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 class WordEncoder:
-    """Ids of a text as bytes, through a cache of words; the library encodes what is not in it."""
+    """Ids of a text as bytes, through a cache of words; the library encodes what is not in it.
 
-    def __init__(self, file: str, width: int):
+    Marks are parted from the letters before them and A-Z is lowered in the whole text, which the library does as well, so
+    that few different words are left.
+    """
+
+    def __init__(self, file: str, width: int, kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,56 +108,69 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words = Recent(WORDS_KEPT)
-        self.runs = Recent(PIECES_KEPT)
-        self.marks: dict[str, bytes] = {}
+        self.kept = kept
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """One library call for many short texts."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+    def _encode_runs(self, runs: list[bytes]) -> list[bytes]:
         """As ``_encode`` for single runs of letters, encoded as one text: each run ends with a token that ends a word."""
-        joined = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0]
+        joined = self.tokenizer.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0]
         ids = np.array(joined.ids, self.kind)
         ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
         if len(ends) != len(runs):
-            return self._encode(runs)
+            return self._encode([r.decode() for r in runs])
         data, ends = ids.tobytes(), [0, *ends.tolist()]
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, words: set[bytes]) -> None:
-        """Adds all of ``words`` to the cache."""
-        plain, rest = [], []
+        """Adds all of ``words`` to the cache; a full one becomes the older half."""
+        if len(self.words) + len(words) > self.kept:
+            self.words, self.old = {}, self.words
+        known, old, unknown = self.words, self.old, []
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
+            ids = old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                known[w] = ids
+        runs, rest = [], []
+        for run, other in _RUNS.findall(b"\n".join(unknown)) if unknown else ():
+            if run:
+                runs.append(run)
             else:
-                rest.append(w)
-        runs = list(self.runs.absent([p[1] for p in plain]))
+                rest.append(other)
         if runs:
-            self.runs.update(zip(runs, self._encode_runs([r.decode() for r in runs])))
-        marks = list({p[2] for p in plain} - self.marks.keys())
-        if len(self.marks) + len(marks) > WORDS_KEPT:
-            self.marks, marks = {}, list({p[2] for p in plain})
-        self.marks.update(zip(marks, self._encode([m.decode() for m in marks])))
-        known, ends = self.runs, self.marks
-        self.words.update([(w, known[run] + ends[mark]) for w, run, mark in plain])
-        self.words.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest])))
+            known.update(zip(runs, self._encode_runs(runs)))
+        if rest:
+            known.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest])))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [blank_words(t) for t in texts]
-        missing = self.words.absent(chain.from_iterable(split))
+        get, missing, split = self.words.get, set(), []
+        for text in texts:
+            data = _MARK.sub(rb" \g<0>", text.encode("utf-8", "surrogatepass"))
+            words = (data if _SPECIAL in data else data.lower()).split()
+            ids = list(map(get, words))
+            gaps = list(compress(range(len(words)), map(not_, ids)))
+            missing.update([words[k] for k in gaps])
+            split.append((ids, [(k, words[k]) for k in gaps]))
         if missing:
             self._learn(missing)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        # The cache may have turned over, so what was found before is taken from the list.
+        known, out = self.words, []
+        for ids, gaps in split:
+            for k, word in gaps:
+                ids[k] = known[word]
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
-def _encoder(file: str, width: int) -> WordEncoder:
-    return WordEncoder(file, width)
+def _encoder(file: str, width: int, kept: int) -> WordEncoder:
+    return WordEncoder(file, width, kept)
 
 
 def vocabulary_width(file: str) -> int:
@@ -161,12 +182,12 @@ def vocabulary_width(file: str) -> int:
 
 def write_records(
     docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text",
-    files: int | None = None,
+    files: int | None = None, words_kept: int = WORDS_KEPT,
 ) -> None:
     """Writes ``path/records`` (frames, ascending by id) and ``path/index`` (Parquet) from every text of ``docs``.
 
     ``files`` is the number of range partitions, that is of files; by default Spark's number of shuffle partitions.
-    Choose it so that a file stays far below 2 GB: a reader takes whole files.
+    Choose it so that a file stays far below 2 GB: a reader takes whole files. ``words_kept`` bounds each worker's cache.
     """
     spark = docs.sparkSession
     width = vocabulary_width(vocabulary)
@@ -174,7 +195,7 @@ def write_records(
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def framed(batches):
-        encoder = _encoder(vocabulary, width)
+        encoder = _encoder(vocabulary, width, words_kept)
         for ids, texts in batches:
             out = []
             for doc, data in zip(ids, encoder.texts([t or "" for t in texts])):
