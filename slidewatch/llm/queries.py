@@ -37,7 +37,8 @@ def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from slidewatch.llm import token_counts
 
-    counts = token_counts.prefix_counts(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+    docs = _table(spark, folder, "documents")
+    counts = token_counts.prefix_counts(docs, vocabulary("byte_bpe_50k.json"), limit=1024, keep_prefixes=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 

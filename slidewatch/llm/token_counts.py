@@ -21,6 +21,8 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate, chain
+from os.path import commonprefix
 
 import numpy as np
 import regex
@@ -40,8 +42,8 @@ RUNS_KEPT = 350_000
 PAIRS_KEPT = 1_000_000
 _UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _RUN = re.compile(r"[\t-\r ]{2}")
-#: Units whose pieces are a run of Latin letters, with the blank before it, and the marks after it.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#]*)")
+#: Units whose pieces are a line end, a run of Latin letters, with the blank before it, and the marks after it.
+_PLAIN = re.compile(r"(\n(?! ))?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#]*)")
 _SPACE = regex.compile(r"\s+")
 #: Blanks beyond ASCII, which belong to runs of blanks as well, and separators on which libraries differ.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -54,6 +56,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _ends(text: str) -> list[int]:
+    """Bytes before each character and at the end."""
+    return [0, *accumulate(len(c.encode("utf-8")) for c in text)]
+
+
 class PrefixCounter:
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
@@ -91,13 +98,28 @@ class PrefixCounter:
         known = self.pairs[left, right] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
-    def _prefixes(self, data: bytes) -> list[int]:
-        """Token count of each byte prefix of a piece, the empty one included."""
-        counts, last, vocabulary, pairs, longest = [0], [b""], self.vocabulary, self.pairs, self.longest
-        for end in range(1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+    def _prefixes(self, data: bytes, counts: list[int] | None = None, last: list[bytes] | None = None) -> list[int]:
+        """Token count of each byte prefix of a piece, the empty one included.
+
+        ``counts`` and ``last`` hold what is known of its first prefixes and are added to. One last token alone is right, so
+        starts may be tried in any order: mostly the token before has grown by a byte, or a token begins.
+        """
+        counts, last = ([0], [b""]) if counts is None or last is None else (counts, last)
+        vocabulary, pairs, longest = self.vocabulary, self.pairs, self.longest
+        for end in range(len(counts), len(data) + 1):
+            grown = end - 1 - len(last[end - 1])
+            token = data[grown:end]
+            if token in vocabulary:
+                apart = pairs.get((last[grown], token))
+                if apart is None:
+                    apart = self._apart(last[grown], token)
+                if apart:
+                    counts.append(counts[grown] + 1)
+                    last.append(token)
+                    continue
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
                 token = data[start:end]
-                if token in vocabulary:
+                if token in vocabulary and start != grown:
                     apart = pairs.get((last[start], token))
                     if apart is None:
                         apart = self._apart(last[start], token)
@@ -107,13 +129,23 @@ class PrefixCounter:
                         break
         return counts
 
+    def _learn_runs(self, runs: set[str]) -> None:
+        """Adds ``runs`` to the cache. In order, each goes on from the prefix that it shares with the one before."""
+        counts, last, before = [0], [b""], b""
+        for data, run in sorted((r.encode("utf-8"), r) for r in runs):
+            same = len(commonprefix((before, data)))
+            del counts[same + 1 :], last[same + 1 :]
+            self._prefixes(data, counts, last)
+            before = data
+            ends = counts if len(run) == len(data) else [counts[e] for e in _ends(run)]
+            self.runs[run] = bytes([(b - a) & 255 for a, b in zip(ends, ends[1:])])
+
     def _piece(self, piece: str) -> list[int]:
         """Token count of each character prefix of a piece."""
         counts = self._prefixes(piece.encode("utf-8"))
         if piece.isascii():
             return counts
-        ends = np.cumsum([0, *(len(c.encode("utf-8")) for c in piece)])
-        return [counts[e] for e in ends]
+        return [counts[e] for e in _ends(piece)]
 
     def _total(self, text: str) -> int:
         return sum(self._prefixes(p.encode("utf-8"))[-1] for p in PIECES.findall(text))
@@ -139,55 +171,66 @@ class PrefixCounter:
             base += own[-1]
         return np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        """``_changes`` of a unit; one run of letters and closing marks is put together from its two pieces."""
-        plain = _PLAIN.fullmatch(unit)
-        if not plain:
-            return self._changes(unit)
-        run, marks = plain[1], plain[2]
-        known = self.runs.get(run) or self.runs.old.get(run)
-        if known is None:
-            counts = self._piece(run)  # letters after a blank are one piece
-            known = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
-        self.runs[run] = known
-        if not marks:
-            return known
-        if marks not in self.marks:
-            if len(self.marks) >= UNITS_KEPT:
-                self.marks.clear()
-            self.marks[marks] = self._changes(marks)
-        return known + self.marks[marks]
-
-    def _plain(self, text: str) -> bytes:
-        """Changes of the count, a byte per character, of a text without special tokens."""
-        if not text:
-            return b""
+    def _learn(self, units: set[str]) -> None:
+        """Adds ``units`` to the cache; a run of letters and closing marks is put together from its two pieces."""
+        plain, runs = [], set()
+        for unit in units:
+            found = _PLAIN.fullmatch(unit)
+            if found:
+                line, run, marks = found.groups()
+                plain.append((unit, line, run, marks))
+                runs.add(run)
+            else:
+                self.units[unit] = self._changes(unit)
+        self._learn_runs(self.runs.absent(runs))
+        known, ends = self.runs, self.marks
+        begins = self._changes("\n")
+        for unit, line, run, marks in plain:
+            changes = begins + known[run] if line else known[run]
+            if marks:
+                if marks not in ends:
+                    if len(ends) >= UNITS_KEPT:
+                        ends.clear()
+                    ends[marks] = self._changes(marks)
+                changes += ends[marks]
+            self.units[unit] = changes
+
+    def _units_of(self, text: str) -> list[str] | None:
+        """A text in units that do not depend on each other; None where other blanks than ASCII ones may join them."""
         if _OTHER_BLANK.search(text):
-            return self._changes(text)
-        if _RUN.search(text):
-            units = _UNIT.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + w for w in rest]]
-        for unit in self.units.absent(units):
-            self.units[unit] = self._unit(unit)
-        if len(self.runs) > RUNS_KEPT:
-            self.runs.absent(())
-        return b"".join(map(self.units.__getitem__, units))
+            return None
+        if "\n" in text or _RUN.search(text):
+            return _UNIT.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Changes of the count, a byte per character, of texts without special tokens."""
+        split = [self._units_of(t) if t else [] for t in texts]
+        missing = self.units.absent(chain.from_iterable(u for u in split if u))
+        if missing:
+            self._learn(missing)
+        known = self.units.__getitem__
+        return [self._changes(t) if units is None else b"".join(map(known, units)) for t, units in zip(texts, split)]
+
+    def tables(self, texts: list[str]) -> list[bytes]:
+        """Changes of the token count at each character of each of ``texts``."""
+        special = [bool(self.special_re and self.special_re.search(t)) for t in texts]
+        plain = iter(self._plain([t for t, odd in zip(texts, special) if not odd]))
+        return [self._with_special(t) if odd else next(plain) for t, odd in zip(texts, special)]
 
     def table(self, text: str) -> bytes:
-        """Changes of the token count at each character of ``text``."""
-        if not self.special_re or not self.special_re.search(text):
-            return self._plain(text)
+        return self.tables([text])[0]
+
+    def _with_special(self, text: str) -> bytes:
         out, at = [], 0
         for found in self.special_re.finditer(text):
             head, name = text[at : found.start()], found.group()
-            cut = self._plain(head + name[:-1])
-            whole = self._plain(head)
+            cut, whole = self._plain([head + name[:-1], head])
             end = int(np.frombuffer(whole, np.int8).sum()) + 1
             out += [cut, (end - int(np.frombuffer(cut, np.int8).sum())).to_bytes(1, "little", signed=True)]
             at = found.end()
-        out.append(self._plain(text[at:]))
+        out += self._plain([text[at:]])
         return b"".join(out)
 
 
@@ -209,9 +252,9 @@ def longest_within(prefixes: bytes, budget: int) -> int:
 
 
 def prefix_counts(
-    docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_prefixes: bool = True,
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit, cut_at and the table ``prefixes``.
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit, cut_at and, where wanted, the table ``prefixes``.
 
     ``cut_at`` is the most characters that stay within ``limit`` tokens.
     """
@@ -220,12 +263,12 @@ def prefix_counts(
         counter = _counter(vocabulary)
         for ids, texts in batches:
             texts = [t or "" for t in texts]
-            tables = [counter.table(t) for t in texts]
+            tables = counter.tables(texts)
             counts = [int(np.frombuffer(x, np.int8).sum()) for x in tables]
             cuts = [len(x) if n <= limit else longest_within(x, limit) for x, n in zip(tables, counts)]
-            yield ids, [len(t.encode("utf-8")) for t in texts], counts, [n > limit for n in counts], cuts, tables
+            out = ids, [len(t.encode("utf-8")) for t in texts], counts, [n > limit for n in counts], cuts
+            yield (*out, tables) if keep_prefixes else out
 
     rows = pick(docs, _id=id_col, _text=text_col).selectExpr("cast(_id as long)", "_text")
-    return map_rows(
-        rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_at long, prefixes binary", counted,
-    )
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_at long"
+    return map_rows(rows, f"{schema}, prefixes binary" if keep_prefixes else schema, counted)
