@@ -4,14 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes w
 folder and reads it again as the next one's ``docs``. All but the last return the columns of ``documents``.
 
 1. ``quality_rules``: documents that a rule rejects go.
-2. ``near_dedup``: one document of each group of exact and near copies stays.
+2. ``near_dedup``: one document of each SimHash component (three-word shingles, at most two bits apart) stays.
 3. ``decontamination``: documents that hold a benchmark window go.
 4. ``mixing``: documents are drawn so that the words of each source come near its target; a document drawn twice is two
    rows, one not drawn goes. Rows come in shards, shuffled within each.
 5. ``token_records``: the mix is written as framed token records; the result has one row per record, read back from the
    files: doc_id, n_tokens, ids_crc32 and its place.
 
-Defined results: null text has no words and goes in stage 1; equal rows are one document after stage 2; empty tables give
+Defined results: null text has no words and goes in stage 1; equal rows are one document after stage 2, texts of equal fingerprints too; empty tables give
 empty results in every stage; extra columns pass through to stage 4.
 """
 
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, size=3, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ their fingerprints differ in at most ``radius`` bits, and a component is all tha
   a shard that builds a BK-tree (children keyed by their Hamming distance to the parent) and searches it along the edges
   within the radius only. A tree goes by shuffle to the task that holds its bucket: a broadcast of the trees of all
   documents has no size bound.
-* A bucket with more than ``tree_limit`` fingerprints is searched another exact way: a fingerprint is sent to itself and
-  its 64 one-bit neighbours. Two fingerprints within two bits meet at one of these, all that meet there are within two
-  bits, and at most 65 can meet, however hot the bucket was.
+* A bucket with more than ``tree_limit`` fingerprints is dealt again by another cut of the 64 bits into as many blocks, and the
+  shards of those build the trees. Blocks are cut into parts, and those into smaller parts, so after four cuts (radius 2) a bucket's
+  fingerprints agree in all but 16 bits at most, and in most buckets in all but 13: that many fingerprints a tree can hold, however
+  hot the bucket was.
 * A bucket passes on a star per local component. Stars are contracted by alternating large-star and small-star rounds
   until nothing changes, each round checkpointed in the shared folder.
 
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidewatch.llm.common import as_key, blank_words, map_rows, packed, pick
-from slidewatch.llm.super_kmers import window_hashes, word_hashes
 from slidewatch.session import work_path, work_root
 
 SEED = 42
@@ -138,32 +138,32 @@ def bucket_stars(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(v, root(v)) for v in parent if root(v) != v]
 
 
+def cuts(radius: int) -> list[list[int]]:
+    """Masks of the blocks of each cut: the k-th cut puts bits together that have the same k-th digit of their place."""
+    parts, masks = [range(64)], []
+    while len(parts[0]) > 1:
+        smaller, blocks = [], [0] * (radius + 1)
+        for part in parts:
+            edges = [part.start + -(-k * len(part) // (radius + 1)) for k in range(radius + 2)]
+            for digit, own in enumerate(range(a, b) for a, b in zip(edges, edges[1:])):
+                blocks[digit] |= sum(1 << bit for bit in own)
+                smaller.append(own)
+        masks.append(blocks)
+        parts = sorted((p for p in smaller if p), key=len, reverse=True)
+    return masks
+
+
 def links(distinct: DataFrame, radius: int = 2, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``distinct.fp`` within ``radius`` bits."""
     if radius not in (1, 2):
         raise ValueError("radius is 1 or 2")
     spark = distinct.sparkSession
-    edges = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("block"),
-                F.shiftrightunsigned(F.shiftleft("fp", 64 - high), 64 - high + low).alias("value"),
-            )
-            for k, (low, high) in enumerate(zip(edges, edges[1:]))
-        ]
-    )
-    dealt = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.block", "key.value")
-    sizes = dealt.groupBy("block", "value").count().where("count > 1")
-    path = work_path(spark, "simhash_buckets")
-    dealt.join(sizes, ["block", "value"]).write.parquet(path)
-    shared = spark.read.parquet(path)
 
     def grown(batches):
         held, values = None, []
-        for blocks, keys_, fps in batches:
+        for keys, fps in batches:
             out: list[tuple[int, int]] = []
-            for key, fp in zip(zip(blocks, keys_), fps):
+            for key, fp in zip(keys, fps):
                 if key != held:
                     out += bucket_stars([v & 0xFFFFFFFFFFFFFFFF for v in values], radius)
                     held, values = key, []
@@ -171,22 +171,23 @@ def links(distinct: DataFrame, radius: int = 2, tree_limit: int = TREE_LIMIT) ->
             yield _columns(out)
         yield _columns(bucket_stars([v & 0xFFFFFFFFFFFFFFFF for v in values], radius))
 
-    trees = shared.where(F.col("count") <= tree_limit).select("block", "value", "fp")
-    trees = trees.repartition("block", "value").sortWithinPartitions("block", "value", "fp")
-    from_trees = map_rows(trees, "a long, b long", grown, rows=4096)
-
-    flips = [_signed(1 << k) for k in range(64)]
-    hot = shared.where(F.col("count") > tree_limit).select("fp").distinct()
-    near = hot.select("fp", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in flips])).alias("flip"))
-    near = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("meet"), F.expr("flip <> 0").alias("moved"))
-    # At most 65 fingerprints meet, so the list is bounded. With a radius of 1 a pair meets at one of the two itself.
-    met = near.groupBy("meet").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    if radius == 1:
-        met = met.where(F.array_contains("fps", F.col("meet"))).withColumn("hub", F.col("meet"))
-    else:
-        met = met.withColumn("hub", F.array_min("fps"))
-    from_hot = met.select(F.explode("fps").alias("a"), F.col("hub").alias("b")).where("a <> b")
-    return from_trees.unionByName(from_hot)
+    found, todo = None, distinct.select("fp", F.expr("cast(array() as array<bigint>)").alias("key"))
+    for level, masks in enumerate(cuts(radius)):
+        blocks = [F.array(F.lit(k).cast("long"), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]
+        dealt = todo.select("fp", F.col("key").alias("_key"), F.explode(F.array(*blocks)).alias("_block"))
+        dealt = dealt.select("fp", F.concat("_key", "_block").alias("key"))
+        sizes = dealt.groupBy("key").count().where("count > 1")
+        path = work_path(spark, "simhash_buckets")
+        dealt.join(sizes, "key").write.parquet(path)
+        shared = spark.read.parquet(path)
+        last = level == len(cuts(radius)) - 1
+        trees = (shared if last else shared.where(F.col("count") <= tree_limit)).select("key", "fp")
+        trees = trees.repartition("key").sortWithinPartitions("key", "fp")
+        edges = map_rows(trees, "a long, b long", grown, rows=4096)
+        found = edges if found is None else found.unionByName(edges)
+        todo = shared.where(F.col("count") > tree_limit)
+        if last or not todo.take(1):
+            return found
 
 
 def _columns(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -237,199 +238,36 @@ def components(
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Smallest 64-bit hashes of a text's shingles that stand for their set; texts with fewer shingles have the whole set.
-SKETCH = 128
-#: Texts that are compared with each other in one piece of a bucket, a bound of a task's memory.
-BUCKET_LIMIT = 256
-
-
-def sketch(text: str | None, size: int, keep: int = SKETCH) -> np.ndarray:
-    """The ``keep`` smallest hashes of a text's ``size``-word shingles, ascending.
-
-    Words are hashed from their bytes and shingles from their words' hashes, in arrays; a text with fewer words than a
-    shingle is one shingle.
-    """
-    line = b" ".join(map(bytes.lower, blank_words(text)))
-    if not line:
-        return np.empty(0, np.int64)
-    _, _, words = word_hashes(line)
-    return np.unique(window_hashes(words, min(size, len(words))).view(np.int64))[:keep]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, keep: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact where both sets have at most ``keep`` members."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if len(a) >= keep or len(b) >= keep:
-        union = union[:keep]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return np.count_nonzero(both <= union[-1]) / len(union)
-
-
-def group_links(rows: list[tuple[int, int, np.ndarray]], least: float) -> list[tuple[int, int]]:
-    """Links between similar texts of one group, rows (text, label, sketch): their components are those of all similar pairs.
-
-    Texts with one label count as linked before. All pairs that share enough of their sketches are looked at, whether
-    linked before to others or not; only those that links join already are spared the comparison.
-    """
-    if len({label for _, label, _ in rows}) < 2:
-        return []
-    sizes = np.array([len(own) for _, _, own in rows])
-    _, columns, counts = np.unique(np.concatenate([own for _, _, own in rows]), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    held = shared[columns]
-    has = np.zeros((len(rows), np.count_nonzero(shared)), np.float32)
-    has[np.repeat(np.arange(len(rows)), sizes)[held], (np.cumsum(shared) - 1)[columns[held]]] = 1
-    enough = np.ceil(least * np.maximum.outer(sizes, sizes) - 1e-9)
-    parent: dict[int, int] = {label: label for _, label, _ in rows}
-
-    def root(label: int) -> int:
-        while parent[label] != label:
-            parent[label] = parent[parent[label]]
-            label = parent[label]
-        return label
-
-    out = []
-    for i, j in np.argwhere(np.triu(has @ has.T >= enough, 1)).tolist():
-        a, b = root(rows[i][1]), root(rows[j][1])
-        if a != b and similarity(rows[i][2], rows[j][2]) >= least:
-            parent[max(a, b)] = min(a, b)
-            out.append((rows[i][0], rows[j][0]))
-    return out
-
-
-def _linked(groups: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of ``group_links`` within each (e, part) of rows e, part, node, label, sketch."""
-
-    def linked(batches):
-        held, group = None, []
-        for es, parts, nodes, labels, sketches in batches:
-            out: list[tuple[int, int]] = []
-            for key, node, label, own in zip(zip(es, parts), nodes, labels, sketches):
-                if key != held:
-                    out += group_links(group, least)
-                    held, group = key, []
-                group.append((node, label, np.array(own, np.int64)))
-            yield [a for a, _ in out], [b for _, b in out]
-        out = group_links(group, least)
-        yield [a for a, _ in out], [b for _, b in out]
-
-    rows = groups.select("e", "part", "node", "label", "sketch")
-    rows = rows.repartition("e", "part").sortWithinPartitions("e", "part", "node")
-    return map_rows(rows, "a long, b long", linked)
-
-
-def rare_shingles(nodes: DataFrame, least: float) -> DataFrame:
-    """(e, node): of the rarest members of each sketch so many that two texts of similarity ``least`` share one.
+def one_of_each(docs: DataFrame, size: int = 3, radius: int = 2, tree_limit: int = TREE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when near copies go: of each component the one with the least doc_id (null last).
 
-    A prefix filter: similar texts share at least ``least`` of either sketch, so with all members in one order, by number
-    of texts and then value, the first of those shared is among the first ``n - ceil(least * n) + 1`` of both. Members
-    that one text alone has come first and meet nothing, so most texts have no row.
-    """
-    members = nodes.select("node", F.size("sketch").alias("n"), F.explode("sketch").alias("e"))
-    counts = members.groupBy("e").count().where("count > 1")
-    shared = members.join(counts, "e").groupBy("node").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "e"))).alias("s")
-    )
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
-    shared = shared.withColumn("take", (first - (F.col("n") - F.size("s"))).cast("int")).where("take > 0")
-    return shared.select(F.explode(F.slice("s", 1, F.col("take"))).alias("m"), "node").select("m.e", "node")
-
-
-def similar(nodes: DataFrame, least: float = 0.8, limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of ``nodes`` (node, sketch) with similarity ``least`` or more.
-
-    A bucket holds the texts that share one rare shingle; of buckets with the same texts one is enough. A bucket of up to
-    ``limit`` texts is one group. A larger one is cut into parts of about that size, its least text added to each, which
-    leaves few components of a group of near copies; then each two parts meet, but those of the largest component among
-    themselves. So no list is longer than about twice ``limit``, however hot a bucket is, and no pair is left out.
-    """
-    spark = nodes.sparkSession
-    path = work_path(spark, "near_copies_keys")
-    rare_shingles(nodes, least).write.parquet(path)
-    keys = spark.read.parquet(path)
-    buckets = keys.groupBy("e").agg(
-        F.count("*").alias("size"), F.min("node").alias("hub"),
-        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
-    ).where("size > 1").groupBy("size", "hub", "x", "y").agg(F.min("e").alias("e"))
-    path = work_path(spark, "near_copies_buckets")
-    buckets.select("e", "size", "hub").write.parquet(path)
-    buckets = spark.read.parquet(path).withColumn("parts", F.expr(f"cast(ceil(size / {limit}) as long)"))
-
-    hash_ = F.xxhash64("node", "e")
-    path = work_path(spark, "near_copies_members")
-    keys.join(buckets, "e").write.parquet(path)
-    members = spark.read.parquet(path)
-    hubs = buckets.where("parts > 1").select("e", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("hub").alias("node"))
-    parts = members.where("parts = 1 or node <> hub").select("e", F.pmod(hash_, "parts").alias("part"), "node")
-    parts = parts.unionByName(hubs).withColumn("label", F.col("node")).join(nodes, "node")
-    path = work_path(spark, "near_copies_links")
-    _linked(parts, least).write.parquet(path)
-    found = spark.read.parquet(path)
-    if not buckets.where("parts > 1").take(1):
-        return found
-
-    labelled = members.where("parts > 1").join(connected(found).withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left")
-    labelled = labelled.select("e", "size", "node", F.coalesce("root", "node").alias("label"))
-    largest = labelled.groupBy("e", "size", "label").count().groupBy("e", "size").agg(
-        F.max(F.struct("count", "label")).alias("most")
-    ).where("most.count < size")
-    cuts = largest.select(
-        "e", F.col("most.label").alias("most"), F.expr(f"cast(ceil(most.count / {limit}) as long)").alias("inner"),
-        F.expr(f"cast(ceil((size - most.count) / {limit}) as long)").alias("outer"),
-    )
-    # Part i of the largest component meets part j of the others at i * outer + j; parts i <= j of the others meet after those.
-    apart = labelled.join(cuts, "e").withColumn(
-        "own", F.when(F.col("label") == F.col("most"), F.pmod(hash_, "inner")).otherwise(F.pmod(hash_, "outer"))
-    )
-    meet = F.expr(
-        "case when label = most then transform(sequence(0L, outer - 1), j -> own * outer + j) else concat("
-        "transform(sequence(0L, inner - 1), i -> i * outer + own), "
-        "transform(sequence(0L, outer - 1), j -> inner * outer + least(own, j) * outer + greatest(own, j))) end"
-    )
-    cells = apart.select("e", "node", "label", F.explode(meet).alias("part")).join(nodes, "node")
-    return found.unionByName(_linked(cells, least))
-
-
-def one_of_each(
-    docs: DataFrame, size: int = 5, least: float = 0.8, limit: int = BUCKET_LIMIT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows of ``docs`` that stay when near copies go: of each group the one with the least doc_id (null last).
-
-    Texts are copies when their sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more, by sketch,
-    and a group is all that copies of copies reach, whatever the ids. ``similar`` finds all pairs whose sketches reach
-    ``least``; sketches estimate the similarity of texts with more than ``SKETCH`` shingles, so near ``least`` they may differ
-    from it. Texts with equal sketches are one node from the start, so are texts without words.
+    Of rows with that doc_id in one component the one with the least hash of its text stays, of equal rows one. Texts without
+    words are one group, as their fingerprints are equal.
     """
     spark = docs.sparkSession
 
-    def read(batches):
+    def hashed(batches):
         for ids, hashes, texts in batches:
-            yield ids, hashes, [sketch(text, size) for text in texts]
+            yield ids, hashes, [_signed(fingerprint(t, size)) for t in texts]
 
     rows = pick(docs, _id=id_col, _text=text_col).select(
         F.col("_id").cast("long"), F.xxhash64(F.coalesce("_text", F.lit(""))), "_text"
     )
-    marked = map_rows(rows, "id long, text long, sketch array<long>", read).withColumn("node", F.xxhash64("sketch"))
-    equal = marked.groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("first"), F.first("sketch").alias("sketch")
-    )
+    marked = map_rows(rows, "id long, text long, fp long", hashed)
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("first"))
     path = work_path(spark, "near_copies")
-    equal.write.parquet(path)
-    equal = spark.read.parquet(path)
-    roots = connected(similar(equal.select("node", "sketch"), least, limit)).withColumnRenamed("node", "a")
-    named = equal.select("node", "first").join(roots, F.col("node") == F.col("a"), "left")
-    named = named.select("first", F.coalesce("root", "node").alias("root"))
+    first.write.parquet(path)
+    first = spark.read.parquet(path)
+    roots = connected(links(first.select("fp"), radius, tree_limit)).withColumnRenamed("node", "a")
+    named = first.join(roots, F.col("fp") == F.col("a"), "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("stays"))
     path = work_path(spark, "near_copies_kept")
-    stay.select(F.col("stays.id").alias("_id"), F.col("stays.text").alias("_hash")).write.parquet(path)
+    stay.select(as_key(F.col("stays.id")).alias("_key"), F.col("stays.text").alias("_hash")).write.parquet(path)
     stay = spark.read.parquet(path)
     keyed = packed(docs).select(
         "_row", as_key(F.col("_row")[id_col].cast("long")).alias("_key"),
         F.xxhash64(F.coalesce(F.col("_row")[text_col], F.lit(""))).alias("_hash"),
     )
-    stay = stay.select(as_key(F.col("_id")).alias("_key"), "_hash")
     return keyed.join(stay, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select("_row.*")
 
 

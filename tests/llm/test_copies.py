@@ -147,19 +147,55 @@ def test_bk_tree_finds_all_within_the_radius():
         assert sorted(tree.within(v, 3)) == sorted({w for w in values if (v ^ w).bit_count() <= 3})
 
 
-def test_one_of_each_group_stays(docs, no_docs, rows):
-    kept = simhash.one_of_each(docs)
+def test_cuts_bound_what_a_bucket_can_hold():
+    for radius, left in ((2, 16), (1, 1)):
+        masks = simhash.cuts(radius)
+        assert all(sum(blocks) == 2**64 - 1 and len(blocks) == radius + 1 for blocks in masks)
+        agreed = [0]
+        for blocks in masks:
+            agreed = [a | m for a in agreed for m in blocks]
+        assert max((~a & (2**64 - 1)).bit_count() for a in agreed) <= left
+
+
+@pytest.mark.parametrize("tree_limit", [4096, 2])
+def test_one_of_each_group_stays(docs, no_docs, rows, tree_limit):
+    """One row of each component, the one with the least id, whatever the order of ids; equal rows once."""
+    kept = simhash.one_of_each(docs, tree_limit=tree_limit)
     assert kept.columns == docs.columns
     left = [(x["doc_id"], x["text"]) for x in kept.collect()]
-    assert len(left) == len(set(left))
-    ids = [i for i, _ in left]
-    assert [i for i in ids if i and 1000 <= i < 1008] == [1000]
-    assert not [i for i in ids if i and 2000 <= i < 2006]  # near copies of document 1000
-    assert set(range(60)) - {1, 5} <= set(ids) | {i for i, t, *_ in rows if i in range(60) and len((t or "").split()) < 8}
-    assert sum(not (t or "").split() for _, t in left) == 1
+    prints = [brute_fingerprint(t) for _, t, *_ in rows]
+    groups = brute_components(prints, list(range(len(rows))))
+    want = {}
+    for (i, t, *_), group in zip(rows, groups):
+        want.setdefault(group, []).append((i is None, i or 0, t))
+    assert len(left) == len(want)
+    assert order(i for i, _ in left) == order(None if least[0] else least[1] for least in map(min_id, want.values()))
+    assert {i for i, _ in left if i} <= {x[0] for x in rows}
     assert simhash.one_of_each(no_docs).count() == 0 and simhash.components(no_docs).count() == 0
 
 
+def min_id(members):
+    return min(x[:2] for x in members)
+
+
+def test_a_hot_group_of_near_copies_leaves_one(spark):
+    """A third of all rows are copies of one text with a changed word; more rows share an id or have none."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(500)}" for _ in range(400)]
+    data = []
+    for k in range(150):
+        own = list(base)
+        own[r.randrange(400)] = f"x{k}"
+        data.append((500 - k, " ".join(own)))
+    data += [(1000 + k, " ".join(f"v{r.randrange(5000)}" for _ in range(60))) for k in range(280)] + [(None, " ".join(base))] * 20
+    groups = brute_components([brute_fingerprint(t) for _, t in data], list(range(len(data))))
+    kept = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string").repartition(5), tree_limit=8).collect()
+    least = {}
+    for (i, _), group in zip(data, groups):
+        least[group] = min(least.get(group, (True, 0)), (i is None, i or 0))
+    assert order(x["doc_id"] for x in kept) == order(None if none else i for none, i in least.values())
+
+
 def brute_hits(rows, items, window=10):
     words_of = lambda t: LETTERS.findall(lower(t or ""))
     phrases = []
@@ -236,104 +272,6 @@ def test_decontamination_of_a_document_longer_than_an_index(monkeypatch):
         assert found == [([(0, 12)], ["x"]), ([(at, at + 12) for at in starts], ["x"]), ([], []), ([], [])]
 
 
-def brute_kept(rows, least=0.8):
-    """Ids of one text per component of all pairs, by exact Jaccard similarity; texts of at most 128 shingles."""
-    words = [lower(t).split() for _, t in rows]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    assert max(map(len, sets)) <= 128
-    root = list(range(len(rows)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
-    kept = {}
-    for k, (i, _) in enumerate(rows):
-        kept[find(k)] = min(kept.get(find(k), i), i)
-    return sorted(kept.values())
-
-
-def kept_ids(spark, rows, **given):
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(x["doc_id"] for x in simhash.one_of_each(frame, **given).collect())
-
-
-def zipf_words(r, n, kinds=3000):
-    return r.choices([f"z{k}" for k in range(kinds)], [1 / (k + 1) for k in range(kinds)], k=n)
-
-
-def test_chains_of_near_copies_are_one_group_in_every_id_order(spark):
-    r = random.Random(3)
-    rows = []
-    for k, turn in enumerate(itertools.permutations(range(3))):
-        words = [f"c{k}x{r.random()}" for _ in range(100)]
-        # Each step appends and cuts nine words: 0.83 to the next, below 0.8 to the one after.
-        chain = [" ".join([*words[9 * m :], *(f"t{k}y{j}" for j in range(9 * m))]) for m in range(3)]
-        rows += [(10 * k + i, t) for i, t in zip(turn, chain)]
-    assert brute_kept(rows) == [10 * k for k in range(6)]
-    assert kept_ids(spark, rows) == brute_kept(rows)
-
-
-@pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 4])
-def test_every_pair_of_near_copies_is_found(spark, limit):
-    r = random.Random(4)
-    rows = []
-    for k in range(60):
-        words = zipf_words(r, r.choice([30, 60, 100]))
-        n = len(words)
-        rows.append((100 * k, " ".join(words)))
-        for j, share in enumerate((0.05, 0.12, 0.18, 0.24)):
-            rows.append((100 * k + 10 + j, " ".join(words + zipf_words(r, int(share * n)))))
-            rows.append((100 * k + 20 + j, " ".join(words[: n - int(share * n)])))
-            rows.append((100 * k + 30 + j, " ".join(zipf_words(r, int(share * n)) + words)))
-    want = brute_kept(rows)
-    assert 60 < len(want) < 600
-    assert kept_ids(spark, rows, limit=limit) == want
-
-
-@pytest.mark.parametrize("limit", [simhash.BUCKET_LIMIT, 5])
-def test_hot_buckets_are_cut_without_loss(spark, limit, monkeypatch):
-    r = random.Random(6)
-    line = [f"b{k}" for k in range(40)]
-    # Texts of which most is one common passage, chains among them, and a group of near copies.
-    rows = [(k, " ".join(line + zipf_words(r, 8 + k % 9))) for k in range(60)]
-    base = zipf_words(r, 110)
-    for k in range(60):
-        own = list(base)
-        for _ in range(k % 4 + 1):
-            own[r.randrange(110)] = f"own{k}"
-        rows.append((100 + k, " ".join(own)))
-    chain = [f"d{k}" for k in range(100)]
-    rows += [(300 + k * 37 % 40, " ".join(chain[3 * k % 100 :] + [f"e{j}" for j in range(3 * k)])) for k in range(33)]
-    r.shuffle(rows)
-    want = brute_kept(rows)
-    assert 1 < len(want) < len(rows) - 50
-    nodes = spark.createDataFrame(
-        [(k, simhash.sketch(t, 5).tolist()) for k, (_, t) in enumerate(rows)], "node long, sketch array<long>"
-    )
-    assert kept_ids(spark, rows, limit=limit) == want
-    if limit == 5:
-        sent = []
-        monkeypatch.setattr(simhash, "_linked", lambda groups, least, true=simhash._linked: (sent.append(groups), true(groups, least))[1])
-        simhash.similar(nodes, limit=limit).count()
-        assert len(sent) == 2
-        for groups in sent:
-            assert groups.groupBy("e", "part").count().agg({"count": "max"}).first()[0] < 30
-
-
-def test_links_of_a_group_reach_through_members_in_every_order():
-    sets = [np.arange(9 * k, 100 + 9 * k) for k in range(4)]
-    for turn in itertools.permutations(range(4)):
-        links = simhash.group_links([(k, k, sets[t]) for k, t in enumerate(turn)], 0.8)
-        assert len(links) == 3 and {k for pair in links for k in pair} == {0, 1, 2, 3}
-    assert simhash.group_links([(0, 5, sets[0]), (1, 5, sets[1])], 0.8) == []
-
-
 def test_one_block_of_the_benchmark_is_held_at_a_time(spark, docs, rows, monkeypatch):
     passage = LETTERS.findall(lower(next(t for i, t, *_ in rows if i == 3000)))
     items = [(k, " ".join(passage[30 + k : 45 + k])) for k in range(8)]
