@@ -279,11 +279,17 @@ def mix(
     )
 
 
-def taken(mixed: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words of all its drawn blocks."""
+def taken(mixed: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the words that each output shard takes of it.
+
+    ``taken`` is the sum over the shards, so both come from the blocks that the tree gave to each shard.
+    """
     key = ["doc_id", "source", "size", "text_hash", "copy", "source_size", "target"]
-    words = mixed.groupBy(*key).agg(F.sum("n_words").alias("taken"))
-    return words.select("doc_id", "size", "source_size", "target", "taken")
+    zero = F.lit(0).cast("long")
+    by_shard = [F.sum(F.when(F.col("shard") == shard, F.col("n_words")).otherwise(zero)) for shard in range(2**depth)]
+    words = mixed.groupBy(*key).agg(F.array(*by_shard).alias("shard_words"))
+    total = F.aggregate("shard_words", zero, lambda s, x: s + x)
+    return words.select("doc_id", "size", "source_size", "target", total.alias("taken"), "shard_words")
 
 
 def mixed_documents(

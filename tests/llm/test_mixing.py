@@ -51,6 +51,17 @@ def test_every_document_comes_back_and_sources_meet_their_targets(docs, rows):
     assert by_target == {(sizes[s], round(t, 3)): round(t) for s, t in want.items()}
 
 
+def test_words_per_shard_come_from_the_tree(docs):
+    """Shards hold what the tree gave them; another depth moves words between shards and changes no total."""
+    deep, flat = (mixing.taken(mixing.mix(docs, block_words=16, depth=d), d).collect() for d in (3, 1))
+    assert all(len(x["shard_words"]) == 8 and sum(x["shard_words"]) == x["taken"] for x in deep)
+    assert all(len(x["shard_words"]) == 2 and sum(x["shard_words"]) == x["taken"] for x in flat)
+    assert sum(x["taken"] for x in deep) == sum(x["taken"] for x in flat)
+    totals = [sum(x["shard_words"][k] for x in deep) for k in range(8)]
+    mixed = mixing.mix(docs, block_words=16, depth=3).where("shard is not null").groupBy("shard").sum("n_words").collect()
+    assert {k: t for k, t in enumerate(totals) if t} == {x[0]: x[1] for x in mixed if x[1]}
+
+
 def test_reruns_agree(docs):
     first, second = (sorted(map(tuple, mixing.mix(docs, block_words=16).collect()), key=repr) for _ in range(2))
     assert first == second
