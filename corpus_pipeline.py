@@ -8,8 +8,8 @@ folder and reads it again as the next one's ``docs``. All but the last return th
 3. ``decontamination``: documents that hold a benchmark window go.
 4. ``mixing``: documents are drawn so that the words of each source come near its target; a document drawn twice is two
    rows, one not drawn goes. Rows come in shards, shuffled within each.
-5. ``token_records``: the mix is written as framed token records; the result has one row per record, read back from the
-   files: doc_id, n_tokens, ids_crc32 and its place.
+5. ``token_records``: the mix is written as framed token records, in the order of shards and places that mixing gave; the
+   result has one row per record, read back from the files: doc_id, n_tokens, ids_crc32 and its place.
 
 Defined results: null text has no words and goes in stage 1; equal rows are one document after stage 2, texts of equal fingerprints too; empty tables give
 empty results in every stage; extra columns pass through to stage 4.
@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = work_path(spark, "pipeline_records")
-    records.write_records(docs, path, vocabulary("word_bpe_49k.json"), end_id=1)
+    records.write_records(docs, path, vocabulary("word_bpe_49k.json"), end_id=1, by_id=False)
     return records.read_records(spark, path)
 
 

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidewatch.llm.common import map_rows, pick
+from slidewatch.session import size_in_bytes
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -49,6 +50,9 @@ _CRC = struct.Struct("<I")
 #: Words whose ids a Python worker keeps, twice this at most.
 WORDS_KEPT = 300_000
 
+#: Input of one record file, at most about so much.
+FILE_BYTES = 256 * 1024 * 1024
+
 _LETTER = "(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
 #: A mark after a Latin letter. The word pattern never joins letters and marks, so a blank between them changes no id.
 _MARK = re.compile("[.,;:!?$%&*#](?:(?<=[A-Za-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))".encode("latin-1"))
@@ -182,17 +186,19 @@ def vocabulary_width(file: str) -> int:
 
 def write_records(
     docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text",
-    files: int | None = None, words_kept: int = WORDS_KEPT,
+    files: int | None = None, words_kept: int = WORDS_KEPT, by_id: bool = True,
 ) -> None:
     """Writes ``path/records`` (frames, ascending by id) and ``path/index`` (Parquet) from every text of ``docs``.
 
-    ``files`` is the number of range partitions, that is of files; by default Spark's number of shuffle partitions.
-    Choose it so that a file stays far below 2 GB: a reader takes whole files. ``words_kept`` bounds each worker's cache.
+    ``files`` is the number of range partitions, that is of files; by default Spark's number of shuffle partitions, or more
+    so that none has above about ``FILE_BYTES`` of input: a reader takes whole files, and those end at 2 GB. Ranges are
+    cut by id and hash of the text, so many rows of one id share no file. With ``by_id`` False rows are neither moved nor
+    sorted: records stand in the order in which ``docs`` is read, a file per partition, as a mix wants that is shuffled already. ``words_kept`` bounds each worker's cache.
     """
     spark = docs.sparkSession
     width = vocabulary_width(vocabulary)
     tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
-    count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(docs) // FILE_BYTES))
 
     def framed(batches):
         encoder = _encoder(vocabulary, width, words_kept)
@@ -202,11 +208,11 @@ def write_records(
                 out.append(frame(payload(doc, data + tail, width)))
             yield (out,)
 
-    rows = pick(docs, _id=id_col, _text=text_col)
-    ordered = rows.repartitionByRange(count, F.col("_id").cast("long")).sortWithinPartitions(
-        F.col("_id").cast("long"), F.xxhash64("_text")
-    )
-    coded = map_rows(ordered.select(F.col("_id").cast("long"), "_text"), "frame binary", framed)
+    rows = pick(docs, _id=id_col, _text=text_col).select(F.col("_id").cast("long"), "_text")
+    if by_id:
+        order = [F.col("_id"), F.xxhash64("_text")]
+        rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    coded = map_rows(rows, "frame binary", framed)
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
     index = _decode(spark, f"{path}/records").drop("ids_crc32")
     index.write.parquet(f"{path}/index")
