@@ -463,6 +463,7 @@ SQL["segment_metrics_all"] = f"SELECT {MEASURES} FROM pos"
 SQL["segment_metrics_by_cohort_platform"] = f"SELECT cohort, platform, {MEASURES} FROM pos GROUP BY 1, 2"
 SQL["segment_metrics_sliding"] = f"SELECT region, {MEASURES} FROM pos WHERE conv_band = 'sliding' GROUP BY 1"
 SQL["stored_metrics_rollup"] = f"SELECT platform, region, {MEASURES} FROM pos GROUP BY 1, 2"
+SQL["refreshed_metrics_rollup"] = SQL["stored_metrics_rollup"]
 SQL["dashboard_conv"] = """SELECT cohort, platform, conv_band, region, round(sum(conversion_at_risk_usd), 4) AS conversion_at_risk_usd, CAST(sum(mau) AS BIGINT) AS total_mau,
   round(avg(conversion_rate), 8) AS avg_conversion, count(*) FILTER (conv_band = 'sliding') AS sliding_count, count(*) FILTER (conv_band <> 'healthy') AS atrisk_count,
   count(*) AS segment_count FROM pos GROUP BY 1, 2, 3, 4"""
@@ -680,8 +681,7 @@ SQL["deleted_conversations"] = """SELECT 'conversations' AS table_name, count(*)
   UNION ALL SELECT 'feedback', count(*) FROM conversations JOIN convo ON id = conv_id WHERE user_email NOT LIKE 'user-1%' AND (length(text) > 300 OR length(text) < 200)"""
 SQL["message_positions"] = "SELECT 'm-' || conv_id || '-' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations"
 
-SQL["stream_daily_events"] = """SELECT segment_id, CAST(event_date AS VARCHAR) AS event_date, count(*) AS sessions, count(*) FILTER (converted) AS conversions,
-  round(sum(revenue_usd), 2) AS revenue FROM ev GROUP BY segment_id, event_date"""
+SQL["stream_daily_events"] = SQL["silver_daily_events"]
 SQL["stream_decision_states"] = "SELECT decision_id, event_id, action, valid, state AS status, reason FROM chk"
 
 SQL["quality_checks"] = """

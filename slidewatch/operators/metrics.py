@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slidewatch.functions.schema import struct
 from slidewatch.functions.exprs import count_if, percentage
+from slidewatch.streaming.keyed import KeyedTable, summed
 
 DIMENSIONS = ["cohort", "platform", "conv_band", "region", "segment_id"]
 MATERIALIZED_DIMS = ["cohort", "platform", "conv_band", "region"]
@@ -64,6 +66,33 @@ def materialize_metrics(positions: DataFrame) -> DataFrame:
     )
 
 
+STORED = struct(
+    cohort="string", platform="string", conv_band="string", region="string", at_risk_sum="double", mau_sum="long", rate_sum="double",
+    rate_count="long", signal_sum="double", signal_count="long", segment_count="long",
+)
+SUMS = [c for c in STORED.names if c not in MATERIALIZED_DIMS]
+
+
+def metrics_table(spark: SparkSession, path: str, buckets: int = 1) -> KeyedTable:
+    """The stored aggregate as a table that is kept up to date by sums."""
+    return KeyedTable(spark, path, STORED, MATERIALIZED_DIMS, summed(MATERIALIZED_DIMS, SUMS), buckets=buckets)
+
+
+def refresh_metrics(table: KeyedTable, before: DataFrame, after: DataFrame, number: int) -> None:
+    """Takes changed segments out of the stored sums as they were and puts them in as they are.
+
+    ``before`` and ``after`` are the position rows of the changed segments only; a new segment has no row before, a deleted
+    one none after. Refresh ``number`` counts once, however often it is sent.
+    """
+    out = materialize_metrics(before).select(*MATERIALIZED_DIMS, *[(-F.col(c)).alias(c) for c in SUMS])
+    table.merge(out.unionByName(materialize_metrics(after)), number)
+
+
+def stored_metrics(table: KeyedTable) -> DataFrame:
+    """Groups that have segments; sums of none are 0."""
+    return table.read().where("segment_count > 0").fillna(0, SUMS).drop("_version")
+
+
 def store_metrics(positions: DataFrame, path: str) -> DataFrame:
     """Writes the stored aggregate and reads it back; a refresh overwrites it as a whole."""
     materialize_metrics(positions).write.mode("overwrite").parquet(path)
@@ -79,7 +108,7 @@ def rollup_from(stored: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     return stored.groupBy(*dims).agg(
         F.round(F.sum("at_risk_sum"), 4).alias("conversion_at_risk"),
         F.sum("mau_sum").alias("total_mau"),
-        (F.sum("rate_sum") / F.sum("rate_count")).alias("avg_conversion"),
+        (F.sum("rate_sum") / F.when(F.sum("rate_count") > 0, F.sum("rate_count"))).alias("avg_conversion"),
         F.sum("segment_count").alias("segment_count"),
         only("sliding").alias("sliding_count"),
         only("watch").alias("watch_count"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidewatch.functions.scan import join_by_slice
+from slidewatch.operators.joins import BROADCAST_LIMIT_BYTES
+from slidewatch.session import size_in_bytes
 from slidewatch.settings import LABEL_SCORES, NOTE_LABELS
 
 SEGMENT_DIMS = ["cohort", "platform", "region"]
@@ -51,11 +53,14 @@ def silver_events(events: DataFrame, segments: DataFrame) -> DataFrame:
 def silver_conv(snapshots: DataFrame, segments: DataFrame, notes: DataFrame) -> DataFrame:
     """Snapshots with segment dims and note score; a null note keeps a null score.
 
-    A frequent note is spread over the days of its snapshots, and rows without a note take no part in the join.
+    Notes that are known to be few (a written table, by its files) go to every task, so no snapshot moves for them. Of a larger table a
+    frequent note is spread over the days of its snapshots, and rows without a note take no part in the join.
     """
     dims = segments.select("segment_id", *SEGMENT_DIMS, "segment_summary", "mau")
     scores = notes.select("pm_note_text", "slide_signal_score")
     rows = snapshots.join(dims, "segment_id")
+    if size_in_bytes(scores) <= BROADCAST_LIMIT_BYTES:
+        return rows.join(F.broadcast(scores), "pm_note_text", "left")
     noted = join_by_slice(
         rows.where(F.col("pm_note_text").isNotNull()), scores, ["pm_note_text"], F.col("snapshot_date"), "left"
     )

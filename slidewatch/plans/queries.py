@@ -26,7 +26,7 @@ from slidewatch.plans.sample_data import (
 )
 from slidewatch.session import work_path
 from slidewatch.settings import ALERT_USD, FEATURE_AREAS, HARD_STOP_USD
-from slidewatch.sources import named_queries, tables
+from slidewatch.sources import named_queries, tables, versions
 from slidewatch.streaming import log, mirror, rollups, stateful
 
 Query = Callable[[Tables], DataFrame]
@@ -91,13 +91,13 @@ def publish_positions(t):
         "conversion_rate": None, "conversion_rate_3w_ago": None, "conversion_drop": None, "sessions": None,
         "slide_signal_score": "double", "conv_band": None, "conversion_at_risk_usd": None,
     }
-    return tables.publish(t.position, work_path(t.spark, "sync_positions"), columns, "segment_id")
+    return versions.publish_version(t.position, work_path(t.spark, "sync_positions"), columns, "segment_id")
 
 
 @query
 def publish_experiments(t):
     columns = dict.fromkeys(t.experiments.columns)
-    return tables.publish(t.experiments, work_path(t.spark, "sync_experiments"), columns, "experiment_id")
+    return versions.publish_version(t.experiments, work_path(t.spark, "sync_experiments"), columns, "experiment_id")
 
 
 @query
@@ -106,13 +106,13 @@ def publish_open_sliding(t):
         ["segment_id", "cohort", "platform", "region", "mau", "conversion_rate", "conversion_drop", "conversion_at_risk_usd", "conv_band",
          "has_matching_experiment", "matching_experiment_id", "matching_experiment_lift", "neighbor_flag_key"]
     )
-    return tables.publish(t.open_rows, work_path(t.spark, "sync_open_sliding"), columns, "segment_id")
+    return versions.publish_version(t.open_rows, work_path(t.spark, "sync_open_sliding"), columns, "segment_id")
 
 
 @query
 def publish_recommendations(t):
     columns = dict.fromkeys(["segment_id", "recommended_action", "predicted_conversion_lift", "predicted_net_value_usd", "action_ranking"])
-    table = tables.publish(t.recs, work_path(t.spark, "sync_recommendations"), columns, "segment_id")
+    table = versions.publish_version(t.recs, work_path(t.spark, "sync_recommendations"), columns, "segment_id")
     return table.withColumn("action_ranking", options_text("action_ranking"))
 
 
@@ -539,6 +539,22 @@ def stored_metrics_rollup(t):
     return _rounded(metrics.rollup_from(stored, ["platform", "region"]))
 
 
+@query
+def refreshed_metrics_rollup(t):
+    """The stored aggregate after segments came, changed and went: kept up by what changed, not built again.
+
+    Before, sliding segments were healthy, watched ones were not there, and healthy ones had a second, retired row.
+    """
+    now = t.position
+    band = F.col("conv_band")
+    were = now.where(band == "sliding").withColumn("conv_band", F.lit("healthy"))
+    retired = now.where(band == "healthy").withColumn("cohort", F.lit("RETIRED"))
+    table = metrics.metrics_table(t.spark, work_path(t.spark, "kept_metrics"))
+    metrics.refresh_metrics(table, now.limit(0), now.where(band == "healthy").unionByName(were).unionByName(retired), 0)
+    metrics.refresh_metrics(table, were.unionByName(retired), now.where(band.isin("sliding", "watch")), 1)
+    return _rounded(metrics.rollup_from(metrics.stored_metrics(table), ["platform", "region"]))
+
+
 @query
 def dashboard_conv(t):
     return _rounded(metrics.dashboard_conv(t.position))
@@ -1157,8 +1173,9 @@ def _run(stream, t, name, mode="update"):
 @query
 def stream_daily_events(t):
     daily = rollups.stream_silver_events(t.sessions(_event_stream(t)))
-    path = _run(daily, t, "stream-daily")
-    out = log.read_latest(t.spark, path, rollups.SILVER_SCHEMA, ["segment_id", "event_date"])
+    path = work_path(t.spark, "stream-daily")
+    rollups.run_silver_events(daily, lambda spark: Tables(spark, t.folder).segments, path, work_path(t.spark, "stream-daily-checkpoint"))
+    out = rollups.read_silver_events(t.spark, path, t.segments)
     return out.withColumn("revenue", F.round("revenue", 2))
 
 

@@ -201,7 +201,8 @@ class Tables:
 
     @cached_property
     def silver_conv(self) -> DataFrame:
-        return silver.silver_conv(self.snapshots, self.segments, self.notes)
+        notes = self.written("note_flags", lambda: self.notes)
+        return silver.silver_conv(self.snapshots, self.segments, notes)
 
     @cached_property
     def silver_flags(self) -> DataFrame:
