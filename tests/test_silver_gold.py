@@ -191,3 +191,33 @@ def test_broadcast_only_within_the_limit(spark):
 def test_scalar_of_an_empty_table_is_null(spark):
     empty = spark.range(0).agg(F.sum("id").alias("total"))
     assert joins.attach_scalar(spark.range(1), empty).first()["total"] is None
+
+
+def test_a_metric_store_kept_by_retraction_equals_a_rebuild(spark, tables, tmp_path):
+    """Segments come, change band and go, in several refreshes, one sent twice; only changed rows are given."""
+    now = tables.position
+    table = metrics.metrics_table(spark, f"{tmp_path}/kept")
+    band = F.col("conv_band")
+    none, old = now.limit(0), now.where(band == "sliding").withColumn("conv_band", F.lit("watch")).withColumn("conversion_rate", F.lit(0.5))
+    gone = now.where(band == "healthy").withColumn("region", F.lit("nowhere"))
+    metrics.refresh_metrics(table, none, old.unionByName(gone), 0)
+    metrics.refresh_metrics(table, old, now.where(band == "sliding"), 1)
+    metrics.refresh_metrics(table, gone, none, 2)
+    for _ in range(2):
+        metrics.refresh_metrics(table, none, now.where(band != "sliding"), 3)
+    kept, built = metrics.stored_metrics(table), metrics.materialize_metrics(now)
+    rounded = lambda df: sorted(
+        tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.fillna(0, metrics.SUMS).select(metrics.STORED.names).collect()
+    )
+    assert rounded(kept) == rounded(built)
+
+
+def test_notes_go_to_every_task_only_while_they_are_few(spark, segments, snapshots, tmp_path, monkeypatch):
+    silver.note_slide_flags(snapshots).write.parquet(f"{tmp_path}/notes")
+    notes = spark.read.parquet(f"{tmp_path}/notes")
+    few = silver.silver_conv(snapshots, segments, notes)
+    monkeypatch.setattr(silver, "BROADCAST_LIMIT_BYTES", 1)
+    many = silver.silver_conv(snapshots, segments, notes)
+    texts = [df._jdf.queryExecution().analyzed().toString() for df in (few, many)]
+    assert "strategy=broadcast" in texts[0] and "strategy=broadcast" not in texts[1]
+    assert sorted(map(str, few.select(sorted(few.columns)).collect())) == sorted(map(str, many.select(sorted(few.columns)).collect()))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from slidewatch.sources import versions
 from slidewatch import session
 from slidewatch.functions.schema import struct
 from slidewatch.operators import quality
@@ -83,3 +84,26 @@ def test_checks_on_an_empty_position(tables):
     names = [quality.check_domains(empty), quality.check_signal(empty), quality.check_reconcile(empty)]
     assert all(df.count() == 1 for df in names)
     assert quality.check_domains(empty).first()["passed"] is False
+
+
+def test_a_failed_version_leaves_the_former_one_readable(spark, tmp_path):
+    root = f"{tmp_path}/serving"
+    rows = lambda *ids: spark.createDataFrame([(i, f"v{k}") for k, i in enumerate(ids)], "id string, v string")
+    columns = {"id": None, "v": None}
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, root)
+    assert versions.publish_version(rows("a", "b"), root, columns, "id").count() == 2
+    for bad in (rows("a", "a"), rows("a", None)):
+        with pytest.raises(ValueError):
+            versions.publish_version(bad, root, columns, "id")
+        assert versions.read_version(spark, root).count() == 2
+    # A write that was torn off is data without a pointer, and its number is not used again.
+    rows("x").write.parquet(f"{root}/data/v=7")
+    assert versions.read_version(spark, root).count() == 2
+    versions.publish_version(rows("a", "b", "c"), root, {"id": "string"}, "id")
+    assert versions.read_version(spark, root).columns == ["id"] and versions.read_version(spark, root, 0).count() == 2
+    assert list(versions.published(spark, root)) == [0, 8]
+    # A pointer without the mark of a finished write is not followed.
+    spark.range(1).write.parquet(f"{root}/live/v=9")
+    versions.remove(spark, f"{root}/live/v=9/_SUCCESS")
+    assert versions.read_version(spark, root).count() == 3

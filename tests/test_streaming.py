@@ -36,6 +36,24 @@ def test_daily_rollup_over_many_batches_equals_batch(spark, tables, tmp_path):
     assert log.read_log(spark, out, rollups.SILVER_SCHEMA).agg(F.countDistinct("batch")).first()[0] > 1
 
 
+def test_each_batch_joins_the_segments_of_its_time(spark, tmp_path):
+    """A renamed segment shows its new columns from the next batch on; a day that came before its segment gets them when read."""
+    schema = "segment_id string, event_time timestamp, converted boolean, revenue_usd double"
+    now = {"rows": [("a", "old", "ios", "eu")]}
+    segments = lambda session: session.createDataFrame(now["rows"], "segment_id string, cohort string, platform string, region string")
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    batches = [[("a", T0, True, 1.0), ("b", T0, False, 0.0)], [("a", T0 + datetime.timedelta(days=1), False, 0.0)]]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = rollups.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+        rollups.run_silver_events(rollups.stream_silver_events(stream), segments, out, f"{tmp_path}/c")
+        now["rows"] = [("a", "new", "ios", "eu"), ("b", "late", "web", "us")]
+    got = rollups.read_silver_events(spark, out, segments(spark))
+    assert sorted((r["segment_id"], r["event_date"].day, r["cohort"], r["conversion_rate"]) for r in got.collect()) == [
+        ("a", 1, "old", 1.0), ("a", 2, "new", 0.0), ("b", 1, "late", 0.0),
+    ]
+
+
 def test_hourly_usage_over_many_batches_equals_batch(spark, tables, tmp_path):
     path = f"{tmp_path}/in"
     land(tables.raw("events"), path, ["event_id"], 3)
