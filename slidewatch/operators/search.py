@@ -16,8 +16,9 @@ from slidewatch.functions.text import (
     without_stop_words,
     words,
 )
+from slidewatch.operators.joins import broadcast_dim
 from slidewatch.operators.rank import rank_candidates, top_by
-from slidewatch.session import spread
+from slidewatch.session import spread, work_path
 
 K1 = 1.2
 B = 0.75
@@ -28,17 +29,19 @@ FUSION_K = 60
 def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFrame | None = None) -> DataFrame:
     """(id, term, weight): BM25 weight of every term in every document.
 
-    ``term_rows`` (a frame with column ``term``) keeps only those terms. They are applied before terms are counted,
-    so the corpus itself is never shuffled, only its hits.
+    ``term_rows`` (a frame with column ``term``) keeps only those terms: each different word of the corpus is reduced to its
+    stem once, and the few that stand for such a term are looked for in the texts. So the corpus itself is never shuffled, only its hits.
     """
     rows = spread(docs.select(id_col, text_col), id_col).select(id_col, words(F.col(text_col)).alias("_words"))
     rows = rows.select(id_col, without_stop_words(F.col("_words")).alias("_words"))
-    rows = rows.select(id_col, stems(F.col("_words")).alias("_words"), F.size("_words").alias("_length"))
-    corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_length").alias("avg_length")))
-    # explode_outer: from a plain explode Spark infers a filter on the array and would cut the text twice for it.
-    hits = rows.select(id_col, "_length", F.explode_outer("_words").alias("term")).where(F.col("term").isNotNull())
-    if term_rows is not None:
-        hits = hits.join(term_rows.select("term").distinct(), "term", "left_semi")
+    corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg(F.size("_words")).alias("avg_length")))
+    if term_rows is None:
+        rows = rows.select(id_col, stems(F.col("_words")).alias("_words"), F.size("_words").alias("_length"))
+        # explode_outer: from a plain explode Spark infers a filter on the array and would cut the text twice for it.
+        hits = rows.select(id_col, "_length", F.explode_outer("_words").alias("term")).where(F.col("term").isNotNull())
+    else:
+        hits = rows.select(id_col, F.size("_words").alias("_length"), F.explode_outer("_words").alias("word"))
+        hits = broadcast_dim(hits, _words_of(rows, term_rows), "word").drop("word")
     counted = hits.groupBy(id_col, "_length", "term").agg(F.count(F.lit(1)).alias("_tf"))
     # Counting over _tf keeps both uses of `counted` the same plan, so that its shuffle is done once.
     frequency = counted.groupBy("term").agg(F.count(F.when(F.col("_tf") > 0, 1)).alias("_df")).withColumn("_corpus", corpus.scalar())
@@ -49,6 +52,15 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, term_rows: DataFra
     return counted.join(idf, "term").select(id_col, "term", weight.alias("weight"))
 
 
+def _words_of(rows: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """(word, term) for the words of ``rows._words`` whose stem is one of the terms; a written table, so its size is known."""
+    found = rows.select(F.explode_outer("_words").alias("word")).where(F.col("word").isNotNull()).distinct()
+    found = found.select("word", stems(F.array("word"))[0].alias("term")).join(term_rows.select("term").distinct(), "term", "left_semi")
+    path = work_path(rows.sparkSession, "query_words")
+    found.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _occurrences(term: str) -> Column:
     return F.size(F.filter("_hits", lambda w: w == term))
 
@@ -167,28 +179,91 @@ def hybrid_search(
     return top_by(found, "fused_relevance", id_col, max(limit, 1))
 
 
+QUERY = ["cohort", "platform", "region"]
+
+
 def ground_segments(open_rows: DataFrame, docs: DataFrame, id_col: str = "experiment_id", text_col: str = "description") -> DataFrame:
     """Best experiment per open segment for the query "cohort platform region".
 
-    Segments share few such texts, so each distinct text is scored once and joined back.
+    Segments share few such texts, so each distinct text is asked once and joined back.
     """
-    queries = open_rows.select("cohort", "platform", "region").distinct()
-    words = F.array_distinct(analyse(F.concat_ws(" ", "cohort", "platform", "region")))
-    query_terms = queries.select("cohort", "platform", "region", F.explode(words).alias("term"))
-    weights = term_weights(docs, id_col, text_col, term_rows=query_terms)
-    scores = (
-        weights.join(query_terms, "term")
-        .groupBy("cohort", "platform", "region", id_col)
-        .agg(F.round(F.sum("weight"), 8).alias("relevance"))
-    )
-    best = scores.groupBy("cohort", "platform", "region").agg(
-        F.min_by(F.struct(id_col, "relevance"), F.struct((-F.col("relevance")).alias("r"), F.col(id_col))).alias("best")
-    )
-    return open_rows.select("segment_id", "cohort", "platform", "region").join(
-        best.select("cohort", "platform", "region", f"best.{id_col}", "best.relevance"),
-        ["cohort", "platform", "region"],
-        "left",
+    asked = F.array_distinct(analyse(F.concat_ws(" ", *QUERY)))
+    queries = open_rows.select(*QUERY).distinct().select(*QUERY, asked.alias("terms"))
+    best, _ = best_documents(queries, QUERY, docs, id_col, text_col)
+    found = best.select(*QUERY, id_col, "relevance")
+    return open_rows.select("segment_id", *QUERY).join(found, QUERY, "left")
+
+
+def best_documents(
+    queries: DataFrame, key: Sequence[str], docs: DataFrame, id_col: str, text_col: str
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, id, relevance) of the best document of each query (an array of ``terms``), ties by id; exact.
+
+    Documents that cannot be the best are never scored. A term's weight is bounded by its greatest in any document. Terms of a
+    query are put in order, fewest documents first, and a document belongs to one class: the first two of these terms that it holds, or
+    the one. A class is bounded by its two terms and all later ones. First only documents with the two rarest terms are
+    scored; the best of them is a mark. Then only classes whose bound reaches the mark are. Scores are made inside the row of a
+    document, from its weights, and are reduced to one row a query before anything is shuffled.
+
+    The second value holds the (key, id) pairs that were scored, per round.
+    """
+    spark = docs.sparkSession
+    key = list(key)
+    path = work_path(spark, "query_postings")
+    exploded = queries.select(*key, F.explode("terms").alias("term"))
+    term_weights(docs, id_col, text_col, term_rows=exploded).write.parquet(path)
+    postings = spark.read.parquet(path)
+    bounds = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
+    # One row a query: its terms that occur, rarest first, with their bounds.
+    listed = exploded.join(bounds, "term").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "term", "most"))).alias("terms"))
+    path = work_path(spark, "query_terms")
+    listed.write.parquet(path)
+    listed = spark.read.parquet(path)
+    own = postings.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+    path = work_path(spark, "query_documents")
+    own.write.parquet(path)
+    own = spark.read.parquet(path)
+
+    def scored(classes: DataFrame) -> DataFrame:
+        """Pairs of a query and a document of one of its classes."""
+        held = own.select(id_col, "weights", F.explode(F.map_keys("weights")).alias("lead"))
+        holds = lambda t: F.map_contains_key("weights", t)
+        pairs = broadcast_dim(held, classes, "lead").where(
+            (F.col("second").isNull() | holds(F.coalesce("second", F.lit("")))) & ~F.exists("without", holds)
+        )
+        weight = F.aggregate("terms", F.lit(0.0), lambda total, t: total + F.coalesce(F.col("weights")[t["term"]], F.lit(0.0)))
+        return pairs.select(*key, id_col, F.round(weight, 8).alias("relevance"))
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        order = F.struct((-F.col("relevance")).alias("r"), F.col(id_col))
+        return pairs.groupBy(*key).agg(F.min_by(F.struct(id_col, "relevance"), order).alias("best")).select(*key, "best.*")
+
+    i, j, size = F.col("i"), F.col("j"), F.size("terms")
+    names = lambda part: F.transform(part, lambda t: t["term"])
+    places = listed.withColumn("i", F.explode(F.sequence(F.lit(1), size)))
+    places = places.withColumn("j", F.explode(F.sequence(i + 1, size + 1)))  # one beyond the last: no second term
+    later = F.aggregate(F.slice("terms", j, size), F.lit(0.0), lambda total, t: total + t["most"])
+    classes = places.select(
+        *key, "terms", "i", "j", F.get("terms", i - 1)["term"].alias("lead"), F.get("terms", j - 1)["term"].alias("second"),
+        names(F.concat(F.slice("terms", F.lit(1), i - 1), F.slice("terms", i + 1, j - i - 1))).alias("without"),
+        (F.get("terms", i - 1)["most"] + later).alias("bound"),
     )
+    path = work_path(spark, "query_classes")
+    classes.write.parquet(path)
+    classes = spark.read.parquet(path)
+    rarest = (i == 1) & (j == 2)
+    first = scored(classes.where(rarest))
+    path = work_path(spark, "query_marks")
+    best_of(first).write.parquet(path)
+    marks = spark.read.parquet(path)
+
+    rest = classes.where(~rarest).join(marks.select(*key, "relevance"), key, "left")
+    rest = rest.where(F.col("bound") >= F.coalesce("relevance", F.lit(0.0)) - 1e-7)
+    path = work_path(spark, "query_rest")
+    rest.drop("relevance").write.parquet(path)
+    second = scored(spark.read.parquet(path))
+    best = best_of(marks.unionByName(best_of(second)))
+    return best, [first.select(*key, id_col), second.select(*key, id_col)]
 
 
 def find_experiment(docs: DataFrame, experiment_id: str, id_col: str = "experiment_id") -> DataFrame:

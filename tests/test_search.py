@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -117,3 +118,43 @@ def test_grounding_equals_one_search_per_segment(spark, tables):
     for row in search.ground_segments(some, docs).collect():
         best = search.bm25_search(docs, f"{row['cohort']} {row['platform']} {row['region']}", 1).first()
         assert (row["experiment_id"], row["relevance"]) == (best["experiment_id"], pytest.approx(best["relevance"], abs=1e-7))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_documents_are_exact_though_few_are_scored(spark, seed):
+    """Random texts with rare and common words, ties, unknown words and texts without any, against scores of all pairs."""
+    rng = random.Random(seed)
+    common, rare = ["alpha", "beta", "gamma"], [f"region{k}" for k in range(40)]
+    docs = [(f"d{k:03d}", " ".join(rng.choices(common, k=rng.randrange(0, 4)) + rng.choices(rare, k=rng.randrange(0, 2)) + ["pad"] * rng.randrange(9))) for k in range(400)]
+    docs += [("e1", docs[7][1]), ("e0", docs[7][1]), ("n1", None), ("n2", "")]
+    asked = {(c, r): [c, r, "pad"] if k % 3 else [c, r] for k, (c, r) in enumerate((c, r) for c in common for r in [*rare, "unseen"])}
+    queries = spark.createDataFrame([(a, b, t) for (a, b), t in asked.items()], "a string, b string, terms array<string>")
+    frame = spark.createDataFrame(docs, "id string, text string").repartition(3)
+    best, rounds = search.best_documents(queries, ["a", "b"], frame, "id", "text")
+    words = {i: (t or "").split() for i, t in docs}
+    average = sum(map(len, words.values())) / sum(t is not None for _, t in docs)  # a null text has no length
+    score = {}
+    for term in {t for own in asked.values() for t in own}:
+        df = sum(term in own for own in words.values())
+        idf = math.log1p((len(words) - df + 0.5) / (df + 0.5))
+        for i, own in words.items():
+            tf = own.count(term)
+            score[term, i] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / average)) if tf else 0.0
+    want = {}
+    for q, terms in asked.items():
+        r, i = min((-round(sum(score[t, i] for t in terms), 8), i) for i in words)
+        if r < 0:
+            want[q] = (i, -r)
+    got = {(x["a"], x["b"]): (x["id"], pytest.approx(x["relevance"], abs=1e-7)) for x in best.collect()}
+    assert got == want
+    pairs = [tuple(x) for r in rounds for x in r.collect()]
+    assert len(pairs) == len(set(pairs))
+
+
+def test_grounding_scores_few_pairs(spark, tables):
+    from slidewatch.functions.text import analyse
+
+    terms = F.array_distinct(analyse(F.concat_ws(" ", *search.QUERY)))
+    queries = tables.segments.select(*search.QUERY).distinct().select(*search.QUERY, terms.alias("terms"))
+    _, rounds = search.best_documents(queries, search.QUERY, tables.experiments, "experiment_id", "description")
+    assert sum(r.count() for r in rounds) < 0.1 * queries.count() * tables.experiments.count()
