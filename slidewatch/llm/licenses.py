@@ -11,6 +11,7 @@ results; other columns are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -73,13 +74,17 @@ class Scanner:
             size, k = len(n.text), n.edits + 1
             cuts = [round(j * size / k) for j in range(k + 1)]
             seeds = [(n.text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])]
-            pattern = regex.compile(rb"(?b)\b(?:%b){e<=%d}\b" % (regex.escape(n.text).encode(), n.edits))
+            pattern = regex.compile(rb"(?b)(?:%b){e<=%d}" % (regex.escape(n.text).encode(), n.edits))
             self.notices.append((n, seeds, pattern))
 
     def matches(self, words: list[bytes]) -> list[Match]:
-        """Spans (in words) of notices within their edits, the best one around each candidate."""
+        """Spans (in words) of notices within their edits. Of spans that overlap the one with the fewest edits stays.
+
+        A seed shows where a notice may begin, give or take its edits. Every stretch of whole words from there that is as long
+        as the notice, give or take, is matched as a whole, for which the library finds the fewest edits.
+        """
         line = b" ".join(words)
-        found = set()
+        found = []
         for notice, seeds, pattern in self.notices:
             size, slack = len(notice.text), notice.edits
             places = set()
@@ -88,19 +93,35 @@ class Scanner:
                 while at >= 0:
                     places.add(at - offset)
                     at = line.find(seed, at + 1)
-            done = -1
-            for place in sorted(places):
-                if place + size + 2 * slack <= done:
-                    continue
-                low, high = max(0, place - 2 * slack), min(len(line), place + size + 2 * slack)
-                m = pattern.search(line, low, high)
-                if m and m.end() > m.start():
-                    edits = sum(m.fuzzy_counts)
-                    first = line.count(b" ", 0, m.start())
-                    last = line.count(b" ", 0, max(m.start(), m.end() - 1))
-                    found.add(Match(notice.label, first, last + 1, edits, 1 - edits / size))
-                    done = m.end()
-        return sorted(found)
+            spans = {
+                (start, stop) for place in places for start in self._edges(line, place - slack, place + slack, 1)
+                for stop in self._edges(line, start + size - slack, start + size + slack, 0) if stop > start
+            }
+            fits = []
+            for start, stop in spans:
+                m = pattern.fullmatch(line, start, stop)
+                if m:
+                    fits.append((sum(m.fuzzy_counts), start, stop))
+            taken: list[tuple[int, int]] = []
+            for edits, start, stop in sorted(fits):
+                k = bisect_left(taken, (start, stop))
+                if (not k or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
+                    taken.insert(k, (start, stop))
+                    first = line.count(b" ", 0, start)
+                    found.append(Match(notice.label, first, first + line.count(b" ", start, stop) + 1, edits, 1 - edits / size))
+        return sorted(set(found))
+
+    @staticmethod
+    def _edges(line: bytes, low: int, high: int, after: int) -> list[int]:
+        """Places from ``low`` to ``high`` where a word ends, or begins where ``after`` is 1."""
+        low, high = max(0, low), min(len(line), high)
+        end = 0 if after else len(line)
+        edges = [end] if low <= end <= high else []
+        at = line.find(b" ", max(0, low - after), high + 1 - after)
+        while at >= 0:
+            edges.append(at + after)
+            at = line.find(b" ", at + 1, high + 1 - after)
+        return edges
 
 
 @lru_cache(maxsize=4)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from slidewatch.llm import blocks, licenses, nbsvm, quality_rules
 from tests.llm.conftest import order
@@ -184,3 +185,56 @@ def test_all_words_of_a_block_are_in_its_vector():
     make = lambda tail: blocks.vectors([blocks.Leaf("body>div", head + tail, 0.0)])[0]
     one, other = make("alpha beta gamma."), make("delta kappa sigma.")
     assert (one != other)[blocks.PATH_BINS : -blocks.MEASURES].any()
+
+
+def sliding_edits(notice, line):
+    """Fewest edits of ``notice`` to any stretch of ``line`` between blanks, by the full table of edit distances."""
+    starts = [0] + [k + 1 for k, c in enumerate(line) if c == 32]
+    stops = {k for k, c in enumerate(line) if c == 32} | {len(line)}
+    best = len(notice)
+    for start in starts:
+        row = list(range(len(notice) + 1))
+        for at in range(start, min(len(line), start + len(notice) + 12)):
+            above, row = row, [at - start + 1]
+            for k, c in enumerate(notice):
+                row.append(min(above[k] + (c != line[at]), above[k + 1] + 1, row[k] + 1))
+            if at + 1 in stops:
+                best = min(best, row[-1])
+    return best
+
+
+def test_notices_are_found_exactly_within_their_edits():
+    """Texts with damaged notices, some grown together with other letters, against a table of edit distances over the text."""
+    r = random.Random(4)
+    scanner = licenses.Scanner(licenses.NOTICES)
+    seen = 0
+    for _ in range(150):
+        notice = r.choice(licenses.NOTICES)
+        text = list(notice.text)
+        for _ in range(r.randrange(notice.edits + 3)):
+            k = r.randrange(len(text))
+            text[k : k + 1] = r.choice([[], [text[k], r.choice("abcxyz")], [r.choice("abcxyz")]])
+        glue = r.choice([*" " * 5, "é", "x", "ß"])
+        words = licenses.folded_words("some words before" + glue + "".join(text) + r.choice([*" " * 5, "é", "q"]) + "and after it")
+        line = b" ".join(words)
+        want = {n.label for n in licenses.NOTICES if sliding_edits(n.text.encode(), line) <= n.edits}
+        assert {m.label for m in scanner.matches(words)} == want, line
+        seen += bool(want)
+    assert seen > 20
+
+
+def test_letters_beyond_ascii_belong_to_their_word():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    for text in ("émozilla public licenseé", "öall rights reservedö", "all rights reservedß"):
+        found = scanner.matches(licenses.folded_words(text))
+        assert all(m.edits for m in found), text
+    assert scanner.matches(licenses.folded_words("é mozilla public license é"))
+
+
+def test_license_scan_of_odd_rows(spark):
+    long = "word " * 20_000 + "under the mit license " + "tail " * 5_000
+    rows = [(None, "under the mit license", "a"), (1, None, "b"), (1, None, "b"), (2, long, "c"), (3, "", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, labels string").withColumn("score", F.lit("clash"))
+    got = {(x["doc_id"], x["n_words"], x["n_base"], x["first_word"], x["base_labels"]) for x in licenses.scan(frame).collect()}
+    assert got == {(None, 4, 1, 0, "mit"), (1, 0, 0, None, ""), (2, 25_004, 1, 20_000, "mit"), (3, 0, 0, None, "")}
+    assert licenses.scan(frame).count() == 5 and licenses.scan(frame.limit(0)).count() == 0
