@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,11 @@ def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, spread_bits(out)
 
 
+def text_key(data: bytes) -> int:
+    """63 bits that tell texts apart which share an id or have none: CRC-32 first, so that it orders them, then XXH64."""
+    return zlib.crc32(data) << 31 | xxhash.xxh64_intdigest(data, 42) >> 33
+
+
 def chunks(batches, chunk_words: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(doc ids, text checksums, words joined by a blank) of runs of documents with about ``chunk_words`` words."""
     ids, crcs, lines, size = [], [], [], 0
@@ -129,7 +135,7 @@ def chunks(batches, chunk_words: int) -> Iterator[tuple[list[int], list[int], li
             if len(words) < WINDOW:
                 continue
             ids.append(doc)
-            crcs.append(zlib.crc32(data))
+            crcs.append(text_key(data))
             lines.append(b" ".join(words))
             size += len(words)
             if size >= chunk_words:
@@ -183,7 +189,7 @@ def pack(strings: list[bytes], counts: np.ndarray, docs: np.ndarray, crcs: np.nd
     text = b"\n".join(strings)
     head = np.array([len(text), len(counts), len(docs)], "<i8").tobytes()
     body = b"".join([
-        head, text, counts.astype("<i4").tobytes(), docs.astype("<i8").tobytes(), crcs.astype("<u4").tobytes(),
+        head, text, counts.astype("<i4").tobytes(), docs.astype("<i8").tobytes(), crcs.astype("<i8").tobytes(),
         starts.astype("<i4").tobytes(),
     ])
     return zstandard.ZstdCompressor(level=3).compress(body)
@@ -195,8 +201,8 @@ def unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray
     at = 24 + size
     counts = np.frombuffer(body, "<i4", n, at)
     docs = np.frombuffer(body, "<i8", m, at + 4 * n)
-    crcs = np.frombuffer(body, "<u4", m, at + 4 * n + 8 * m)
-    starts = np.frombuffer(body, "<i4", m, at + 4 * n + 12 * m)
+    crcs = np.frombuffer(body, "<i8", m, at + 4 * n + 8 * m)
+    starts = np.frombuffer(body, "<i4", m, at + 4 * n + 16 * m)
     return body[24 : 24 + size].split(b"\n"), counts, docs, crcs, starts
 
 
@@ -372,7 +378,10 @@ def dedup(
     buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = _spans(rows, buckets, slots)
     removed = spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    keyed = rows.withColumn("doc", F.coalesce("_id", F.lit(_NULL_ID))).withColumn("crc", F.crc32(F.coalesce("_text", F.lit(""))))
+    text = F.coalesce("_text", F.lit(""))
+    # The same key as ``text_key``: Spark's xxhash64 is XXH64 with seed 42.
+    key = F.shiftleft(F.crc32(text), 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text), 33))
+    keyed = rows.withColumn("doc", F.coalesce("_id", F.lit(_NULL_ID))).withColumn("crc", key)
     marked = keyed.join(removed, ["doc", "crc"], "left").select("_id", "_text", "spans")
 
     def kept(batches):

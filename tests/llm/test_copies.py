@@ -25,8 +25,9 @@ def brute_dedup(rows):
     import zlib
 
     places = sorted(
-        {(i is None, i or 0, zlib.crc32((t or "").encode()), t or "") for i, t, *_ in rows}
+        {(i is None, i or 0, super_kmers.text_key((t or "").encode()), t or "") for i, t, *_ in rows}
     )
+    assert places == sorted(places, key=lambda p: (p[:2], zlib.crc32(p[3].encode()), p[2]))
     seen, out = set(), {}
     for missing, i, _, t in places:
         words = BLANK_WORD.findall(t)
@@ -55,6 +56,26 @@ def test_substring_dedup_of_a_hot_passage(spark):
     assert order((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found) == order(brute_dedup(rows))
 
 
+def test_texts_without_an_id_are_told_apart_when_checksums_collide(spark):
+    """Two texts with one CRC-32 and no id: each keeps its own words, and what both share is found."""
+    import zlib
+
+    passage = " ".join(f"p{k}" for k in range(25))
+    seen, pair = {}, None
+    for k in range(400_000):
+        text = f"only{k} {passage} " + " ".join(f"q{k}x{j}" for j in range(3))
+        crc = zlib.crc32(text.encode())
+        if crc in seen:
+            pair = (seen[crc], text)
+            break
+        seen[crc] = text
+    assert pair
+    rows = [(None, pair[0] + " tail of the first"), (None, pair[1] + " tail of the first"), (None, pair[0]), (None, pair[1]), (7, "x " * 30)]
+    assert zlib.crc32(pair[0].encode()) == zlib.crc32(pair[1].encode())
+    found = super_kmers.dedup(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3, slots=64).collect()
+    assert order((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found) == order(brute_dedup(rows))
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert super_kmers.dedup(no_docs).count() == 0
 
