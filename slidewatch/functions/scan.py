@@ -4,6 +4,9 @@ A plain window over (key) puts every row of the key into one task. Here each key
 order column (an hour, a day, a block of log positions). A window runs inside (key, slice); the effect of earlier
 slices is one small row per slice, gathered by aggregation and added back. The slice expression must be a
 deterministic, non-decreasing function of the leading order column.
+
+The input is computed and shuffled once: window and aggregate both start from the same shuffle on (key, slice), which Spark
+reuses where both ask it for the same columns. So both take a hash of all columns and drop it again.
 """
 
 from __future__ import annotations
@@ -13,12 +16,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from slidewatch.session import work_path
 
 _SLICE = "_slice"
 
 
+def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    return df.withColumn(_SLICE, slice_by).repartition(*keys, _SLICE)
+
+
+def _all_columns(sliced: DataFrame) -> Column:
+    return F.min(F.xxhash64(*[f.name for f in sliced.schema.fields if "map<" not in f.dataType.simpleString()]))
+
+
+def _per_slice(sliced: DataFrame, keys: Sequence[str], *columns: Column) -> DataFrame:
+    """One row per (key, slice)."""
+    rows = sliced.groupBy(*keys, _SLICE).agg(*columns, _all_columns(sliced).alias("_seen"))
+    return rows.where(F.col("_seen").isNotNull()).drop("_seen")
+
+
+def _opaque(columns: Sequence[str], across: WindowSpec) -> list[Column]:
+    """The columns as values of a window: what a join infers of its keys is then not pushed below the shuffle, where it would
+    make the two uses differ."""
+    return [F.max(c).over(across.rowsBetween(0, 0)).alias(c) for c in columns]
+
+
+def _per_row(sliced: DataFrame, name: str, column: Column, inside: WindowSpec) -> DataFrame:
+    """Adds a window's column."""
+    rows = sliced.withColumns({name: column.over(inside), "_seen": _all_columns(sliced).over(inside)})
+    return rows.where(F.col("_seen").isNotNull()).drop("_seen")
+
+
 def _ordered(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in order]
 
@@ -38,16 +68,16 @@ def next_row(
 
 
 def _neighbour(df, keys, order, values, slice_by, out, forward):
-    sliced = df.withColumn(_SLICE, slice_by)
+    sliced = _sliced(df, keys, slice_by)
     step = F.lead if forward else F.lag
     edge = F.min_by if forward else F.max_by
     payload = F.struct(*values)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*_ordered(order))
     across = Window.partitionBy(*keys).orderBy(_SLICE)
-    edges = sliced.groupBy(*keys, _SLICE).agg(edge(payload, F.struct(*order)).alias("_edge"))
-    carried = edges.select(*keys, _SLICE, step("_edge").over(across).alias("_carried"))
+    edges = _per_slice(sliced, keys, edge(payload, F.struct(*order)).alias("_edge"))
+    carried = edges.select(*_opaque([*keys, _SLICE], across), step("_edge").over(across).alias("_carried"))
     return (
-        sliced.withColumn("_local", step(payload).over(inside))
+        _per_row(sliced, "_local", step(payload), inside)
         .join(carried, [*keys, _SLICE], "left")
         .withColumn(out, F.coalesce("_local", "_carried"))
         .drop("_local", "_carried", _SLICE)
@@ -58,12 +88,13 @@ def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, slice_by: Column, out: str
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the key's rows up to and including this one."""
-    sliced = df.withColumn(_SLICE, slice_by).withColumn("_value", value)
+    sliced = _sliced(df.withColumn("_value", value), keys, slice_by)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*_ordered(order)).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy(*keys, _SLICE).agg(F.sum("_value").alias("_total"))
-    carried = totals.select(*keys, _SLICE, F.sum("_total").over(before).alias("_before"))
-    joined = sliced.withColumn("_local", F.sum("_value").over(inside)).join(carried, [*keys, _SLICE], "left")
+    across = Window.partitionBy(*keys).orderBy(_SLICE)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    totals = _per_slice(sliced, keys, F.sum("_value").alias("_total"))
+    carried = totals.select(*_opaque([*keys, _SLICE], across), F.sum("_total").over(before).alias("_before"))
+    joined = _per_row(sliced, "_local", F.sum("_value"), inside).join(carried, [*keys, _SLICE], "left")
     kind = joined.schema["_local"].dataType
     if isinstance(kind, T.DecimalType):
         kind = T.DecimalType(37, kind.scale)  # one digit of room, so that the addition keeps the scale
@@ -85,8 +116,8 @@ def join_by_slice(
 
     AQE does not split a hot key here, as the per-key side is an aggregate with no shuffle of its own.
     """
-    sliced = rows.withColumn(_SLICE, slice_by)
-    spread = sliced.select(*keys, _SLICE).distinct().join(per_key, list(keys), how)
+    sliced = _sliced(rows, keys, slice_by)
+    spread = _per_slice(sliced, keys).join(per_key, list(keys), how)
     return sliced.join(spread, [*keys, _SLICE], how).drop(_SLICE)
 
 

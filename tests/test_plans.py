@@ -108,3 +108,13 @@ def test_transitions_read_the_events_twice_and_shuffle_them_twice(spark, tables)
     assert ran.count("FileScan") <= 2
     # Two of them carry events; the others one row per decision and slice.
     assert ran.count("Exchange hashpartitioning") <= 4
+
+
+@pytest.mark.parametrize("name", ["change_history", "audit_trails", "running_costs", "budget_states"])
+def test_ordered_scans_read_their_input_once(spark, name):
+    """Window and slices share one shuffle of the input: one scan, and the other use of the shuffle is a reuse."""
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        df = entry.queries()[name](spark, SMALL)
+        df.collect()
+        final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 1
