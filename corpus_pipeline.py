@@ -23,6 +23,9 @@ from slidewatch.llm import fm_index, mixing, quality_rules, records, simhash
 from slidewatch.llm.queries import vocabulary
 from slidewatch.session import work_path
 
+#: Words whose ids a worker keeps in the last stage, twice this at most.
+WORDS_KEPT = 120_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
@@ -42,7 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = work_path(spark, "pipeline_records")
-    records.write_records(docs, path, vocabulary("word_bpe_49k.json"), end_id=1, by_id=False)
+    # A smaller cache of words than in a job of its own: workers live on from stage to stage and share the executor's memory.
+    records.write_records(docs, path, vocabulary("word_bpe_49k.json"), end_id=1, by_id=False, words_kept=WORDS_KEPT)
     return records.read_records(spark, path)
 
 
