@@ -662,6 +662,10 @@ SQL["tier_offers"] = """SELECT return_id, CASE status WHEN 'pending' THEN 'appro
   CASE WHEN status = 'pending' THEN CASE WHEN is_premium THEN 30 ELSE 10 END END AS coupon_pct_applied,
   CASE WHEN status = 'pending' THEN CASE WHEN is_premium THEN 'premium' ELSE 'standard' END END AS applied_tier,
   CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS entries FROM rt WHERE lot_id = 77"""
+SQL["tier_offer_effects"] = f"""SELECT chosen, s AS status, count(*) AS n, count(*) FILTER (hit) AS coupons, count(*) FILTER (hit) AS changed,
+  count(*) FILTER (hit) AS entries, {USD} AS total_usd FROM (
+  SELECT *, lot_id = 77 AS chosen, lot_id = 77 AND status = 'pending' AS hit, CASE WHEN lot_id = 77 AND status = 'pending' THEN 'approved' ELSE status END AS s FROM rt)
+  GROUP BY 1, 2"""
 SQL["tier_offer_summary"] = f"""SELECT count(*) FILTER (is_premium) AS premium_email_count, count(*) FILTER (labelled) AS premium_labeled_count,
   count(*) FILTER (is_premium AND NOT labelled) AS premium_predicted_hidden_count, count(*) FILTER (NOT is_premium) AS standard_email_count,
   count(*) AS approved_count, {USD} AS total_refund_usd FROM rt WHERE status = 'pending'"""

@@ -1097,6 +1097,16 @@ def tier_offers(t):
     )
 
 
+@query
+def tier_offer_effects(t):
+    """All lots after the offer on one of them: the others keep status, coupon and trail."""
+    rows = _offers(t, 77).withColumn("chosen", F.col("lot_id") == 77)
+    return rows.groupBy("chosen", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count("coupon_pct_applied").alias("coupons"), F.count("applied_tier").alias("changed"),
+        F.sum(F.size("audit_trail")).alias("entries"), F.round(F.sum("refund_amount_usd"), 2).cast("double").alias("total_usd"),
+    )
+
+
 @query
 def tier_offer_summary(t):
     return commerce.offer_summary(_offers(t, None))

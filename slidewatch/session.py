@@ -35,9 +35,22 @@ def apply_settings(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def shared_root(checkpoint: str | None, warehouse: str, master: str) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one inside the warehouse folder, but never one that
+    only the driver's machine sees while executors run on others."""
+    if checkpoint:
+        return checkpoint
+    local = warehouse.startswith("file:") or "://" not in warehouse
+    if local and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/slidewatch-work"
+
+
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one inside the warehouse folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/slidewatch-work"
+    """``shared_root`` of the session, also set as its checkpoint folder where none is."""
+    root = shared_root(
+        spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    )
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

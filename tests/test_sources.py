@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from slidewatch import session
 from slidewatch.sources import versions
 from slidewatch import session
 from slidewatch.functions.schema import struct
@@ -107,3 +108,12 @@ def test_a_failed_version_leaves_the_former_one_readable(spark, tmp_path):
     spark.range(1).write.parquet(f"{root}/live/v=9")
     versions.remove(spark, f"{root}/live/v=9/_SUCCESS")
     assert versions.read_version(spark, root).count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert session.shared_root("hdfs://a/c", "file:/w", "yarn") == "hdfs://a/c"
+    assert session.shared_root(None, "hdfs://a/w/", "yarn") == "hdfs://a/w/slidewatch-work"
+    assert session.shared_root(None, "file:/w", "local[4]") == "file:/w/slidewatch-work"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(ValueError):
+            session.shared_root(None, warehouse, "spark://host:7077")
