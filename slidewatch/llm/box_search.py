@@ -3,25 +3,25 @@
 For each anchor the positives are its best rows of the same label, by integer inner product. For each positive the hard
 negatives are the best rows of another label whose score lies in a window below the positive's.
 
-Each task packs its rows, in runs of at most ``RUN``, into R-trees: rows are sorted and tiled by one coordinate after the other
-(sort-tile-recursive) into pages of ``PAGE`` rows, labels kept together, and ``FAN`` pages or nodes at a time get a parent. A node keeps the
-least and greatest value of each coordinate, so the inner product of an anchor with anything inside lies between the sum of
-the lesser and the sum of the greater products per coordinate. A queue gives the node with the greatest upper end
+Each task packs its rows, in runs of at most ``RUN``, into R-trees: rows are sorted and tiled by one coordinate after the
+other (sort-tile-recursive) into pages of ``PAGE`` rows, labels kept together, and ``FAN`` pages or nodes at a time get a parent.
+A node keeps the least and greatest value of each coordinate, so the inner product of an anchor with anything inside lies
+between the sum of the lesser and the sum of the greater products per coordinate. A queue gives the node with the greatest upper end
 first; a node is dropped when its interval lies outside the score windows, when its labels cannot serve, or when its upper
 end is strictly below the score that is still needed. Equal scores are never dropped, as ties go by id.
 
-Anchors go out in blocks of a bounded size, each against all rows, twice: for the positives, and, with the score windows that these
-give, for the negatives. A task passes on at most ``per_anchor`` positives an anchor, and the rows that are among the first of a window there. One
-row an anchor and candidate is shuffled, and a window by anchor ends the work.
+Anchors go out in blocks of a bounded size, each against all rows, twice: for the positives, and, with the score windows that
+these give, for the negatives. A task passes on at most ``per_anchor`` positives an anchor, and the rows that are among the
+first of a window there. One row an anchor and candidate is shuffled, and a window by anchor ends the work.
 
 Scores are exact: components are integers, and sums of products below 2**53 are exact in double precision. Larger components
 are multiplied as Python's integers; a score beyond 64 bits raises OverflowError.
 
 Defined results: rows with a null label, a null vector, or a null or non-finite component take no part. An empty or zero
-vector has score 0 with every vector of its length. An anchor meets rows of its own length only. Rows of the anchor's own id are not its positives;
-repeated rows are rows of their own otherwise, and equal anchors (id, label, vector) are one anchor. A null id is no anchor, keeps its label, and comes last
-among ties. An anchor without positives, or a positive without negatives in its window, gives no rows. An empty table gives
-no rows; other columns are not looked at. Ids and labels are read as long.
+vector has score 0 with every vector of its length. An anchor meets rows of its own length only. Rows of the anchor's own id
+are not its positives; repeated rows are rows of their own otherwise, and equal anchors (id, label, vector) are one anchor. A
+null id is no anchor, keeps its label, and comes last among ties. An anchor without positives, or a positive without negatives
+in its window, gives no rows. An empty table gives no rows; other columns are not looked at. Ids and labels are read as long.
 """
 
 from __future__ import annotations
@@ -233,8 +233,8 @@ def hard_negatives(
         F.col("_id").cast("long").alias("vec_id"), F.col("_label").cast("long").alias("label"), F.col("_vector").cast("array<double>").alias("vector")
     ).where(F.col("label").isNotNull() & finite("vector"))
     other = F.coalesce(F.col("vec_id") % relabel_every == 0, F.lit(False))
-    # Added component by component: rint keeps the whole number a double, whatever its size.
-    whole = F.transform("vector", lambda x: F.when(F.abs(x) < float(1 << 40), F.floor(scale * x).cast("double")).otherwise(scale * x))
+    # Spark rounds down to a long; a double from 2**45 on is whole when scaled, and would not fit one day.
+    whole = F.transform("vector", lambda x: F.when(F.abs(x) < float(1 << 45), F.floor(scale * x).cast("double")).otherwise(scale * x))
     ready = valid.select(
         "vec_id", F.when(other, (F.col("label") + 1) % labels).otherwise(F.col("label")).alias("label"), whole.alias("vector"),
         F.size("vector").alias("dim"),

@@ -10,21 +10,22 @@ verified: their inner product is computed in double precision from the original
 Largest inner product becomes nearest by one further component: vectors are scaled by the greatest norm M and given
 ``sqrt(1 - |x/M|^2)``, queries are scaled to length one and given 0; then distance^2 = 2 - 2 <q, x> / (M |q|).
 
-* A task cuts its rows into runs of at most ``RUN`` rows. In a run every sorted array is marked at ``CELLS`` places, and for each mark a bitmap has the
-  rows before it. A window is the difference of two bitmaps, its ends moved outward to the next marks, and collisions of 64 rows at a time
-  are added in bit-sliced counters.
+* A task cuts its rows into runs of at most ``RUN`` rows. In a run every sorted array is marked at ``CELLS`` places, and for
+  each mark a bitmap has the rows before it. A window is the difference of two bitmaps, its ends moved outward to the next
+  marks, and collisions of 64 rows at a time are added in bit-sliced counters.
 * Queries go out in blocks of a bounded size, each against all rows. Rows are dealt to levels of growing size; a level
   starts with the k-th best score that the levels before have found, so it looks no further than that and passes on only
   what is better. So what is shuffled does not grow with the number of tasks: some ``k * RATIO`` rows a query and level.
-* Every row is in the index, nothing is capped: a window that has grown over the whole distance verifies the run's other rows as well.
+* Every row is in the index, nothing is capped: a window that has grown over the whole distance verifies all rows of the run.
 
-The answer is approximate in one way only: a true neighbour is missed with at most the chance 1 - CHANCE, independently of its level.
+The answer is approximate in one way only: a true neighbour is missed with at most the chance 1 - CHANCE, whatever its level.
 Scores are exact, ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part. A query searches the
-vectors of its own length. Rows of the query's own id are no candidates, so repeated rows do not find each other, and a query that is repeated with the same vector is asked once;
-with different vectors under one id each is asked. Other rows that repeat are candidates each. A null id is no query; as a candidate it comes last among ties.
-An empty table gives no rows; other columns are not looked at. Ids are read as long.
+vectors of its own length. Rows of the query's own id are no candidates, so repeated rows do not find each other, and a query
+that is repeated with the same vector is asked once; with different vectors under one id each is asked. Other rows that repeat
+are candidates each. A null id is no query; as a candidate it comes last among ties. An empty table gives no rows; other
+columns are not looked at. Ids are read as long.
 """
 
 from __future__ import annotations
@@ -244,7 +245,10 @@ def _searcher(queries, own, bound, greatest: float, k: int, projections: int, ch
                 search(run, vectors, ids, null, queries, own, best, at, greatest, directions, least)
         query, place = np.nonzero(best.score > -np.inf)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(query, pa.int64()), pa.array(best.id[query, place], pa.int64(), mask=best.null[query, place]), pa.array(best.score[query, place])],
+            [
+                pa.array(query, pa.int64()), pa.array(best.id[query, place], pa.int64(), mask=best.null[query, place]),
+                pa.array(best.score[query, place]),
+            ],
             ["query", "vec_id", "score"],
         )
 

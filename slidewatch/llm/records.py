@@ -193,7 +193,8 @@ def write_records(
     ``files`` is the number of range partitions, that is of files; by default Spark's number of shuffle partitions, or more
     so that none has above about ``FILE_BYTES`` of input: a reader takes whole files, and those end at 2 GB. Ranges are
     cut by id and hash of the text, so many rows of one id share no file. With ``by_id`` False rows are neither moved nor
-    sorted: records stand in the order in which ``docs`` is read, a file per partition, as a mix wants that is shuffled already. ``words_kept`` bounds each worker's cache.
+    sorted: records stand in the order in which ``docs`` is read, a file per partition, as a mix wants that is shuffled already.
+    ``words_kept`` bounds each worker's cache.
     """
     spark = docs.sparkSession
     width = vocabulary_width(vocabulary)
