@@ -11,8 +11,8 @@ folder and reads it again as the next one's ``docs``. All but the last return th
 5. ``token_records``: the mix is written as framed token records, in the order of shards and places that mixing gave; the
    result has one row per record, read back from the files: doc_id, n_tokens, ids_crc32 and its place.
 
-Defined results: null text has no words and goes in stage 1; equal rows are one document after stage 2, texts of equal fingerprints too; empty tables give
-empty results in every stage; extra columns pass through to stage 4.
+Defined results: null text has no words and goes in stage 1; equal rows are one document after stage 2, texts of equal
+fingerprints too; empty tables give empty results in every stage; extra columns pass through to stage 4.
 """
 
 from __future__ import annotations

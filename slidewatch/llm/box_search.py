@@ -233,7 +233,7 @@ def hard_negatives(
         F.col("_id").cast("long").alias("vec_id"), F.col("_label").cast("long").alias("label"), F.col("_vector").cast("array<double>").alias("vector")
     ).where(F.col("label").isNotNull() & finite("vector"))
     other = F.coalesce(F.col("vec_id") % relabel_every == 0, F.lit(False))
-    # Spark rounds down to a long; a double from 2**45 on is whole when scaled, and would not fit one day.
+    # Spark rounds down to a long; a double from 2**45 on is whole once scaled, and may not fit one.
     whole = F.transform("vector", lambda x: F.when(F.abs(x) < float(1 << 45), F.floor(scale * x).cast("double")).otherwise(scale * x))
     ready = valid.select(
         "vec_id", F.when(other, (F.col("label") + 1) % labels).otherwise(F.col("label")).alias("label"), whole.alias("vector"),
