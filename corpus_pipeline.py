@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slidewatch.llm import fm_index, mixing, quality_rules, records, simhash
+from slidewatch.llm.common import small_batches
 from slidewatch.llm.queries import vocabulary
 from slidewatch.session import work_path
 
@@ -28,14 +29,17 @@ WORDS_KEPT = 120_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.one_of_each(docs, size=3, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return fm_index.without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,6 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = work_path(spark, "pipeline_records")
     # A smaller cache of words than in a job of its own: workers live on from stage to stage and share the executor's memory.
     records.write_records(docs, path, vocabulary("word_bpe_49k.json"), end_id=1, by_id=False, words_kept=WORDS_KEPT)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -59,6 +62,41 @@ def map_rows(df: DataFrame, schema: StructType | str, make: Callable, rows: int
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of an Arrow batch where operators share workers: a default batch of long texts is tens of megabytes, there and in the JVM.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches of the session end at ``most`` bytes, or at fewer where fewer are set."""
+    number, unit = re.match(r"(-?\d+)\s*([kmgtp]?)", spark.conf.get(_BATCH_SETTING).lower()).groups()
+    if not 0 < int(number) * 1024 ** " kmgtp".index(unit or " ") <= most:
+        spark.conf.set(_BATCH_SETTING, str(most))
+
+
+#: What this worker keeps from task to task.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A large table that a worker makes once and keeps, one at a time: what it kept under another key goes."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Gives up what the worker keeps, and the memory to the system. Workers live on from operator to operator, so one that needs
+    no such table calls this before it works."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def _parse(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 

@@ -21,7 +21,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from slidewatch.llm.common import WORD_RE, map_rows, pick
+from slidewatch.llm.common import WORD_RE, let_go, map_rows, pick
 
 #: ASCII characters that ``str.split`` takes as blanks and the contract does not.
 _SEPARATOR = re.compile("[\x1c-\x1f]")
@@ -171,6 +171,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample: i
     place = docs.columns.index(text_col)
 
     def filtered(batches):
+        let_go()
         cascade = Cascade(rules, sample)
         for batch in batches:
             keep = [cascade.kept(Reading(t)) for t in batch.column(place).to_pylist()]

@@ -31,7 +31,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress
 from operator import not_
 
@@ -39,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidewatch.llm.common import map_rows, pick
+from slidewatch.llm.common import kept, let_go, map_rows, pick
 from slidewatch.session import size_in_bytes
 
 _MASK = 0xA282EAD8
@@ -172,9 +171,8 @@ class WordEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(file: str, width: int, kept: int) -> WordEncoder:
-    return WordEncoder(file, width, kept)
+def _encoder(file: str, width: int, words_kept: int) -> WordEncoder:
+    return kept(("words", file, width, words_kept), lambda: WordEncoder(file, width, words_kept))
 
 
 def vocabulary_width(file: str) -> int:
@@ -227,6 +225,7 @@ def _decode(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the files: place, doc_id, ids before it in its file, number and crc32 of its ids."""
 
     def parsed(batches):
+        let_go()  # the files are written, so the encoder has done its work
         for files, contents in batches:
             for number, content in zip(files, contents):
                 out, before = [], 0

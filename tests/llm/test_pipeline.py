@@ -1,15 +1,17 @@
 """The stages of the pipeline in a row, each held against brute force on its own input."""
 
 import re
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from slidewatch.llm import mixing, quality_rules
+from slidewatch.llm import common, mixing, quality_rules, records
 from slidewatch.llm.queries import vocabulary
 from slidewatch.session import work_path
 from tests.llm.test_copies import LETTERS, brute_components, brute_fingerprint, brute_hits, lower
@@ -90,3 +92,41 @@ def test_run_of_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "ids_crc32" in out.columns
+
+
+class _Held:
+    """Stands for a frame and holds the function that a worker would run."""
+
+    columns, schema = ["text"], None
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        self.function = function
+        return self
+
+
+def test_a_worker_gives_up_the_encoder_of_a_run_before():
+    encoder = weakref.ref(records._encoder(vocabulary("word_bpe_49k.json"), 2, 100))
+    assert encoder() is records._encoder(vocabulary("word_bpe_49k.json"), 2, 100)
+    batch = pa.RecordBatch.from_pydict({"text": ["a text of too few words", None]})
+    (left,) = quality_rules.keep_good(_Held()).function(iter([batch]))
+    assert left.num_rows == 0 and encoder() is None
+    first = common.kept("first", set)
+    assert common.kept("first", set) is first and common.kept("second", set) is not first and common.kept("first", set) is not first
+    common.let_go()
+
+
+def test_long_texts_come_in_small_batches(spark, folder):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        sizes = spark.range(0, 8000, 1, 1).selectExpr("repeat('x', 2000) AS text").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"
+        )
+        found = [r["n"] for r in sizes.collect()]
+        assert len(found) > 1 and max(found) < 2 * common.BATCH_BYTES
+        spark.conf.set(setting, "1000")
+        common.small_batches(spark)
+        assert spark.conf.get(setting) == "1000"
+    finally:
+        spark.conf.set(setting, before)
