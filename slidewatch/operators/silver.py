@@ -68,12 +68,17 @@ def silver_conv(snapshots: DataFrame, segments: DataFrame, notes: DataFrame) ->
 
 
 def silver_flags(flags: DataFrame) -> DataFrame:
-    """Current flag per (segment, area): the latest ``updated_date``, then the smallest ``flag_id``."""
+    """Current flag per (segment, area): the latest ``updated_date``, then the smallest ``flag_id``.
+
+    Rows hold text, so Spark sorts what a task combines. They are dealt into partitions of a measured size first, large ones cut,
+    so that a task sorts no more than that however few files the rows come from, also of a hot segment.
+    """
     rest = [c for c in flags.columns if c not in ("segment_id", "feature_area")]
     newest_first = F.struct(
         F.datediff(F.lit("9999-12-31").cast("date"), "updated_date").alias("age"), F.col("flag_id")
     )
-    best = flags.groupBy("segment_id", "feature_area").agg(F.min_by(F.struct(*rest), newest_first).alias("row"))
+    dealt = flags.hint("rebalance", "segment_id")
+    best = dealt.groupBy("segment_id", "feature_area").agg(F.min_by(F.struct(*rest), newest_first).alias("row"))
     return best.select("segment_id", "feature_area", "row.*")
 
 

@@ -152,13 +152,14 @@ class Tables:
 
     @cached_property
     def flags(self) -> DataFrame:
-        """Two generations of a flag per segment and area, made inside the row."""
+        """Two generations of a flag per segment and area, made inside the row. A small file of segments is spread first."""
         places = F.array(
             *[F.struct(F.lit(a).alias("a"), F.lit(area).alias("feature_area"), F.lit(v).alias("v"))
               for a, area in enumerate(FEATURE_AREAS) for v in (0, 1)]
         )
         u, a, v = F.col("user_id"), F.col("a"), F.col("v")
-        return self.segments.select("segment_id", "user_id", F.inline(places)).select(
+        segments = self.segments.select("segment_id", "user_id").hint("rebalance", "segment_id")
+        return segments.select("segment_id", "user_id", F.inline(places)).select(
             X.format_id("FLAG-", u * 8 + a * 2 + v + 1, 5).alias("flag_id"),
             "segment_id", "feature_area",
             F.concat("feature_area", F.lit("_flow")).alias("flag_key"),
