@@ -11,7 +11,7 @@ reuses where both ask it for the same columns. So both take a hash of all column
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,14 +61,19 @@ def previous_row(
 
 
 def next_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice_by: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice_by: Column, out: str,
+    hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Adds struct ``out`` holding ``values`` of the following row of the key (null for the last row)."""
-    return _neighbour(df, keys, order, values, slice_by, out, forward=True)
+    """Adds struct ``out`` holding ``values`` of the following row of the key (null for the last row).
+
+    ``hold`` may persist the shuffled rows, where Spark does not reuse their shuffle, as over persisted frames.
+    """
+    return _neighbour(df, keys, order, values, slice_by, out, forward=True, hold=hold)
 
 
-def _neighbour(df, keys, order, values, slice_by, out, forward):
+def _neighbour(df, keys, order, values, slice_by, out, forward, hold=None):
     sliced = _sliced(df, keys, slice_by)
+    sliced = hold(sliced) if hold else sliced
     step = F.lead if forward else F.lag
     edge = F.min_by if forward else F.max_by
     payload = F.struct(*values)

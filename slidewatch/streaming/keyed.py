@@ -93,13 +93,15 @@ class KeyedTable:
         """One row per key, of all buckets or of those given."""
         return self.fold(self.raw(buckets))
 
-    def merge(self, rows: DataFrame, number: int, keep: Column | None = None) -> None:
-        """Batch ``number`` of new rows. Folded rows for which ``keep`` is not true are left out for good."""
+    def merge(self, rows: DataFrame, number: int, keep: Column | None = None, folded: bool = False) -> None:
+        """Batch ``number`` of new rows, ``folded`` where they hold a key once. Folded rows for which ``keep`` is not true are
+        left out for good."""
         last = self.version()
         if last is not None and number <= last:
             return
         runs, name = self.runs(), str(number)
-        self._write(self.fold(rows.withColumn("_version", F.lit(number).cast("long")).select(*self.schema.names)), name)
+        fresh = rows.withColumn("_version", F.lit(number).cast("long")).select(*self.schema.names)
+        self._write(fresh if folded else self.fold(fresh), name)
         added = [int(n.removeprefix("bucket=")) for n in versions.names_in(self.spark, f"{self.root}/rows/run={name}") if n.startswith("bucket=")]
         full = [b for b in added if len(runs.get(b, ())) >= self.most_runs - 1 and b in runs]
         if full:

@@ -81,20 +81,28 @@ def stream_cdc_history(
         table = history_table(batch.sparkSession, path, changes.schema, key, buckets, most_runs)
         new = images(batch).dropDuplicates([key, *CHANGE_ORDER]).persist()
         moment, follows = F.struct(*CHANGE_ORDER), F.struct(*[f"{_NEXT}.{c}" for c in CHANGE_ORDER])
-        first = new.groupBy(key).agg(F.min(moment).alias("_first"))
-        stored = join_by_slice(table.read(table.buckets_of(new)).drop("_version"), first, [key], slice_by)
-        affected = stored.where(F.col(_NEXT).isNull() | (follows > F.col("_first")) | (moment >= F.col("_first"))).drop("_first")
-        both = affected.withColumn("_was", F.struct(F.lit(True).alias("stored"), F.col(_NEXT))).drop(_NEXT)
-        none = F.lit(None).cast(both.schema["_was"].dataType)
-        both = both.unionByName(new.withColumn("_was", none))
-        # A change that is stored already is taken once, as stored.
-        once = both.groupBy(key, *CHANGE_ORDER).agg(
-            F.max_by(F.struct(*[c for c in both.columns if c not in (key, *CHANGE_ORDER)]), F.col("_was").isNotNull()).alias("_row")
-        ).select(key, *CHANGE_ORDER, "_row.*")
-        ordered = next_row(once, [key], CHANGE_ORDER, [*CHANGE_ORDER, "_timestamp"], slice_by, _NEXT)
+        was = T.StructType([T.StructField("stored", T.BooleanType()), table.schema[_NEXT]])
+        once = new.withColumn("_was", F.lit(None).cast(was))
+        if table.version() is not None:
+            first = new.groupBy(key).agg(F.min(moment).alias("_first"))
+            stored = join_by_slice(table.read(table.buckets_of(new)).drop("_version"), first, [key], slice_by)
+            affected = stored.where(F.col(_NEXT).isNull() | (follows > F.col("_first")) | (moment >= F.col("_first"))).drop("_first")
+            both = affected.withColumn("_was", F.struct(F.lit(True).alias("stored"), F.col(_NEXT))).drop(_NEXT).unionByName(once)
+            # A change that is stored already is taken once, as stored.
+            once = both.groupBy(key, *CHANGE_ORDER).agg(
+                F.max_by(F.struct(*[c for c in both.columns if c not in (key, *CHANGE_ORDER)]), F.col("_was").isNotNull()).alias("_row")
+            ).select(key, *CHANGE_ORDER, "_row.*")
+        held = [new]
+
+        def hold(rows: DataFrame) -> DataFrame:
+            held.append(rows.persist())
+            return held[-1]
+
+        ordered = next_row(once, [key], CHANGE_ORDER, [*CHANGE_ORDER, "_timestamp"], slice_by, _NEXT, hold)
         changed = ordered.where(F.col("_was").isNull() | ~F.col(f"_was.{_NEXT}").eqNullSafe(F.col(_NEXT)))
-        table.merge(changed, batch_id)
-        new.unpersist()
+        table.merge(changed, batch_id, folded=True)
+        for rows in held:
+            rows.unpersist()
 
     each_batch(changes, write, checkpoint)
 

@@ -254,6 +254,24 @@ def test_history_writes_only_the_intervals_a_batch_touches(spark, tmp_path):
     assert not [n for n in versions.names_in(spark, f"{out}/rows/run=2") if n.startswith("bucket=")]
 
 
+def test_a_batch_of_history_is_shuffled_once_for_its_scan_and_not_folded_again(spark, tmp_path, monkeypatch):
+    folds, scans = [], []
+    make, scan = keyed.newest, mirror.next_row
+    monkeypatch.setattr(keyed, "newest", lambda *a: lambda rows: folds.append(1) or make(*a)(rows))
+
+    def next_row(*args):
+        out = scan(*args)
+        scans.append(out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+        return out
+
+    monkeypatch.setattr(mirror, "next_row", next_row)
+    changes = change_rows(spark, n=60)
+    changes.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = rollups.file_stream(spark, f"{tmp_path}/in", changes.schema, files_per_trigger=1)
+    mirror.stream_cdc_history(stream, f"{tmp_path}/out", f"{tmp_path}/c", "k", buckets=2)
+    assert not folds and scans == [0]  # what is shuffled is held, so no use of it asks for a shuffle of its own
+
+
 def test_nothing_available_gives_an_empty_result(spark, tables):
     path = work_path(spark, "empty")
     tables.raw("events").where(F.lit(False)).write.parquet(path)
