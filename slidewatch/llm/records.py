@@ -17,7 +17,7 @@ those byte ranges.
 
 Tokens are those of the library for the whole text. White space separates its words before merging (the normaliser and
 the word pattern never join characters across a blank), so each distinct word is encoded once by the library and kept in
-a bounded cache.
+a bounded cache. Arrow numbers the distinct words of a piece of text, so that Python's work is by distinct word.
 
 Defined results: null text is an empty text (one end id); null doc_id comes first, flagged; rows with one doc_id are
 ordered by a hash of their text; repeated rows give repeated records; an empty table gives no records; other columns are
@@ -31,10 +31,9 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +48,25 @@ _CRC = struct.Struct("<I")
 #: Words whose ids a Python worker keeps, twice this at most.
 WORDS_KEPT = 300_000
 
+#: Words that the library encodes in one call, whose results take far more memory than the ids.
+WORDS_AT_ONCE = 16_384
+
 #: Input of one record file, at most about so much.
 FILE_BYTES = 256 * 1024 * 1024
 
+#: Text that is cut into words at once, at most about so much; a longer text on its own. Rows that are handed to that.
+PIECE_BYTES = 4 << 20
+ROWS_AT_ONCE = 2048
+
 _LETTER = "(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
-#: A mark after a Latin letter. The word pattern never joins letters and marks, so a blank between them changes no id.
-_MARK = re.compile("[.,;:!?$%&*#](?:(?<=[A-Za-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))".encode("latin-1"))
+#: What a byte is to the cutting into words: a blank of ``bytes.split``, a mark, an ASCII letter, the first or second byte of a
+#: small Latin letter beyond ASCII, or nothing of these.
+_BLANK, _MARK, _ASCII, _FIRST, _SECOND = 1, 2, 3, 4, 5
+_KINDS = bytes(
+    _BLANK if b in b" \t\n\r\x0b\x0c" else _MARK if b in b".,;:!?$%&*#" else _ASCII if bytes([b]).isalpha() else _FIRST if b == 0xC3
+    else _SECOND if 0x9F <= b <= 0xBF and b != 0xB7 else 0
+    for b in range(256)
+)
 #: Lines that are one run of Latin letters, small beyond ASCII, and other lines.
 _RUNS = re.compile(f"^(?:({_LETTER}+)|(.*))$".encode("latin-1"), re.MULTILINE)
 #: Where this occurs in any case, a text may hold a special token, whose name is not to be lowered.
@@ -99,7 +111,7 @@ class WordEncoder:
     """Ids of a text as bytes, through a cache of words; the library encodes what is not in it.
 
     Marks are parted from the letters before them and A-Z is lowered in the whole text, which the library does as well, so
-    that few different words are left.
+    that few different words are left. Each of them is looked up once for some megabytes of text.
     """
 
     def __init__(self, file: str, width: int, kept: int = WORDS_KEPT):
@@ -129,46 +141,88 @@ class WordEncoder:
         data, ends = ids.tobytes(), [0, *ends.tolist()]
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Adds all of ``words`` to the cache; a full one becomes the older half."""
-        if len(self.words) + len(words) > self.kept:
-            self.words, self.old = {}, self.words
-        known, old, unknown = self.words, self.old, []
-        for w in words:
-            ids = old.get(w)
-            if ids is None:
-                unknown.append(w)
-            else:
-                known[w] = ids
-        runs, rest = [], []
-        for run, other in _RUNS.findall(b"\n".join(unknown)) if unknown else ():
-            if run:
-                runs.append(run)
-            else:
-                rest.append(other)
-        if runs:
-            known.update(zip(runs, self._encode_runs(runs)))
-        if rest:
-            known.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest])))
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = {}
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            runs, rest = [], []
+            for run, other in _RUNS.findall(b"\n".join(words[at : at + WORDS_AT_ONCE])):
+                if run:
+                    runs.append(run)
+                else:
+                    rest.append(other)
+            if runs:
+                found.update(zip(runs, self._encode_runs(runs)))
+            if rest:
+                found.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest])))
+        return found
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of ``words``, each there once. Adds them to the cache, which becomes the older half whenever it is full."""
+        ids = list(map(self.old.get, words))
+        unknown = [k for k, found in enumerate(ids) if found is None]
+        encoded = self._encode_words([words[k] for k in unknown])
+        for k in unknown:
+            ids[k] = encoded[words[k]]
+        step = max(1, min(WORDS_AT_ONCE, self.kept))
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if len(self.words) + len(part) > self.kept:
+                self.words, self.old = {}, self.words
+            self.words.update(zip(part, ids[at : at + step]))
+        return ids
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        get, missing, split = self.words.get, set(), []
+        out, piece, size = [], [], 0
         for text in texts:
-            data = _MARK.sub(rb" \g<0>", text.encode("utf-8", "surrogatepass"))
-            words = (data if _SPECIAL in data else data.lower()).split()
-            ids = list(map(get, words))
-            gaps = list(compress(range(len(words)), map(not_, ids)))
-            missing.update([words[k] for k in gaps])
-            split.append((ids, [(k, words[k]) for k in gaps]))
-        if missing:
-            self._learn(missing)
-        # The cache may have turned over, so what was found before is taken from the list.
-        known, out = self.words, []
-        for ids, gaps in split:
-            for k, word in gaps:
-                ids[k] = known[word]
-            out.append(b"".join(ids))
-        return out
+            data = text.encode("utf-8", "surrogatepass")
+            if size + len(data) > PIECE_BYTES and piece:
+                out += self._piece(piece)
+                piece, size = [], 0
+            piece.append(data if _SPECIAL in data else data.lower())
+            size += len(data)
+        return out + self._piece(piece) if piece else out
+
+    def _piece(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of some texts: Arrow numbers their different words, and only those are looked up."""
+        words, ends = _words(texts)
+        coded = words.dictionary_encode()
+        different = _values(coded.dictionary)
+        ids = list(map(self.words.get, different))
+        gaps = [k for k, found in enumerate(ids) if found is None]
+        if gaps:
+            for k, found in zip(gaps, self._learn([different[k] for k in gaps])):
+                ids[k] = found
+        return _values(pa.array(ids, pa.large_binary()).take(coded.indices), np.append(0, ends))
+
+
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in a row, and how many there are up to the end of each text.
+
+    Words stand between ASCII blanks, and a mark after a Latin letter begins another one: the word pattern never joins letters
+    and marks, so that cut changes no id.
+    """
+    data = b"\n".join([b"", *texts])
+    kinds = np.frombuffer(data.translate(_KINDS), np.uint8)
+    solid = kinds != _BLANK
+    begins = np.zeros(len(kinds), bool)
+    np.greater(solid[1:], solid[:-1], out=begins[1:])
+    marks = np.flatnonzero(kinds == _MARK)
+    before = kinds[marks - 1]
+    begins[marks[(before == _ASCII) | ((before == _SECOND) & (kinds[marks - 2] == _FIRST))]] = True
+    ends = np.searchsorted(np.flatnonzero(begins), np.cumsum([1 + len(t) for t in texts]), side="right")
+    letters = np.frombuffer(data, np.uint8)[solid]
+    offsets = np.append(np.flatnonzero(begins[solid]), len(letters)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), ends
+
+
+def _values(array: pa.Array, cuts: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """Values of a binary array, or all that stand between two cuts as one. ``to_pylist`` is slower."""
+    if not len(array):
+        return [] if isinstance(cuts, slice) else [b""] * (len(cuts) - 1)
+    _, offsets, data = array.buffers()
+    data = bytes(memoryview(data or b""))
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(array.type) else np.int32, len(array) + 1)[cuts].tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 def _encoder(file: str, width: int, words_kept: int) -> WordEncoder:
@@ -211,7 +265,7 @@ def write_records(
     if by_id:
         order = [F.col("_id"), F.xxhash64("_text")]
         rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    coded = map_rows(rows, "frame binary", framed)
+    coded = map_rows(rows, "frame binary", framed, rows=ROWS_AT_ONCE)
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
     index = _decode(spark, f"{path}/records").drop("ids_crc32")
     index.write.parquet(f"{path}/index")

@@ -43,6 +43,57 @@ def test_any_text_has_the_library_s_tokens(text):
     assert np.frombuffer(ENCODER.texts([text])[0], "<u2").tolist() == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def word_ids(encoder, texts):
+    return [np.frombuffer(ids, "<u2").tolist() for ids in encoder.texts(texts)]
+
+
+def library_ids(texts):
+    return [WORD_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_texts_in_pieces_have_the_library_s_tokens(monkeypatch):
+    r = random.Random(6)
+    marks = [*".,;:!?$%&*#", "é", "É", "ö.", "×.", "÷,", "Ã", "a.b,c", "e\u0301."]
+    texts = ["".join(r.choice(BITS + marks) for _ in range(r.randint(0, 30))) for _ in range(300)] + ["", "a" * 300, " ", ""]
+    want = library_ids(texts)
+    for size in (1, 60, 4 << 20):
+        monkeypatch.setattr(records, "PIECE_BYTES", size)
+        for kept in (1, 20, 1000):
+            assert word_ids(records.WordEncoder(WORDS, 2, kept), texts) == want
+    assert ENCODER.texts([]) == [] and ENCODER.texts(["", ""]) == [b"", b""]
+
+
+def test_each_different_word_of_a_piece_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    encoder = records.WordEncoder(WORDS, 2)
+    encoder.words = Counted()
+    texts = ["one word, and one Word more. " * 50] * 20
+    assert word_ids(encoder, texts) == library_ids(texts)
+    assert 0 < encoder.words.asked <= 6
+
+
+def test_a_full_cache_stays_within_its_bound_and_words_of_both_halves_are_not_encoded_again():
+    encoder = records.WordEncoder(WORDS, 2, 50)
+    texts = [" ".join(f"w{k}" for k in range(at, at + 40)) for at in range(0, 400, 40)]
+    assert word_ids(encoder, texts) == library_ids(texts)
+    assert len(encoder.words) <= 50 and len(encoder.old) <= 50
+
+    encoder = records.WordEncoder(WORDS, 2, 4)
+    encoder.texts(["a b c"])
+    encoder.texts(["d e"])
+    encode, encoded = encoder._encode_words, []
+    encoder._encode_words = lambda words: encoded.extend(words) or encode(words)
+    texts = ["a b c f g h"]
+    assert word_ids(encoder, texts) == library_ids(texts)
+    assert encoded == [b"f", b"g", b"h"]
+
+
 def test_budgets_are_answered_without_encoding():
     text = "Then the thernd edtioned, and 12 more\n\nwords don't fit."
     table = COUNTER.table(text)
